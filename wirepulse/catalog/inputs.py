@@ -86,12 +86,23 @@ def line_expression(tab: str) -> str:
     )
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared schemas of the tables that are read; no file is opened to infer them.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pages_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").selectExpr(
+    return table(spark, sf_dir, "pages").selectExpr(
         "page_id", "url as source_url", f"{TITLE} as page_title"
     )
 
@@ -101,7 +112,7 @@ def raw_events(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFra
 
     ``titles=False`` leaves URL and title NULL and does not touch ``pages``.
     """
-    events = _table(spark, sf_dir, "events").selectExpr(
+    events = table(spark, sf_dir, "events").selectExpr(
         "*", "cast(regexp_extract(props, '[0-9]+', 0) as int) as k"
     )
     columns = [
@@ -112,7 +123,7 @@ def raw_events(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFra
         return events.selectExpr(
             *columns, "cast(null as string) as source_url", "cast(null as string) as page_title"
         )
-    n_pages = _table(spark, sf_dir, "pages").agg(F.count("*")).scalar()
+    n_pages = table(spark, sf_dir, "pages").agg(F.count("*")).scalar()
     page_id = F.when(F.col("event_id") % 43 != 0, F.col("event_id") % n_pages)
     rows = events.withColumn("page_id", page_id).selectExpr(*columns, "page_id")
     return rows.join(pages_with_titles(spark, sf_dir), "page_id", "left").drop("page_id")
@@ -134,7 +145,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cycle, line_no, value): one article line per page; some are sent again with a new title."""
-    pages = _table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     title = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 
     def lines(rows: DataFrame, text: str, offset: str) -> DataFrame:
@@ -153,7 +164,7 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index entries, one per page."""
-    return _table(spark, sf_dir, "pages").selectExpr(
+    return table(spark, sf_dir, "pages").selectExpr(
         "cast(page_id as string) as id",
         f"coalesce({TITLE}, '') as title",
         f"coalesce({HEADLINE}, '') as summary",
@@ -166,7 +177,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per user turn of the conversations."""
-    return _table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr(
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr(
         "conv_id * 1000 + turn as question_id", f"{QUESTION} as question"
     )
 
@@ -194,7 +205,7 @@ REQUEST_EXPRESSIONS = {
 
 def map_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request rows with bbox text, start, end, at, categories, themes and limit."""
-    rows = _table(spark, sf_dir, "supplier").selectExpr(
+    rows = table(spark, sf_dir, "supplier").selectExpr(
         *[f"{e} as {n}" for n, e in REQUEST_EXPRESSIONS.items()]
     )
     day = lambda c: (

@@ -157,7 +157,7 @@ EMBED = """list_transform(range(64), lambda b: len(list_filter(list_transform(
 
 def unit_vector(counts: str) -> str:
     dbl = f"cast({counts} as double[])"
-    return f"list_transform({dbl}, lambda c: c / sqrt(list_dot_product({dbl}, {dbl})))"
+    return f"list_transform({dbl}, lambda z: z / sqrt(list_dot_product({dbl}, {dbl})))"
 
 
 COMPONENTS = f"""nodes as (
@@ -366,7 +366,7 @@ select c as cell_deg, cast(floor(lat_ / c) as int) as cell_lat, cast(floor(lon_
   num_articles, num_sources, cluster_size from (
   select c, floor(lat / c) * c as lat_, floor(lon / c) * c as lon_,
     arg_max({'id': global_event_id, 'lat': lat, 'lon': lon, 'intensity': intensity},
-            {'i': round(intensity, 9), 'n': -global_event_id}) as rep,
+            {'i': intensity, 'n': -global_event_id}) as rep,
     cast(case when count(*) > 1 then sum(coalesce(num_articles, 0)) else sum(num_articles) end as bigint) as num_articles,
     cast(case when count(*) > 1 then sum(coalesce(num_sources, 0)) else sum(num_sources) end as bigint) as num_sources,
     case when count(*) > 1 then count(*) end as cluster_size
@@ -375,7 +375,7 @@ add("slider_replay", RAW, CLEANED, SCORED, f"""bounds as (
   select time_bucket(interval 15 minute, {AS_OF}) as hi),
 ticks as (select unnest(generate_series(hi - interval 48 hour, hi, interval 15 minute)) as tick from bounds)""",
     select=f"""
-select cast(tick as varchar) as tick, rank, global_event_id, round(effective, 6) as effective_intensity from (
+select cast(tick as varchar) as tick, cast(rank as int) as rank, global_event_id, round(effective, 6) as effective_intensity from (
   select *, row_number() over (partition by tick order by round(effective, 9) desc, global_event_id) as rank from (
     select tick, global_event_id, {score_sql('tick', 's.')} as effective
     from scored s join ticks t on s.date_added between t.tick - interval 6 hour and t.tick))
@@ -470,7 +470,7 @@ add("batch_viewport", RAW, CLEANED, SCORED, REQUESTS, f"""accepted as (
     list_concat(case when category is null then [] else [category] end,
       case theme {_theme_codes} else [] end) as wanted
   from judged_requests where reason is null)""", select=f"""
-select request_id, rank, global_event_id, round(effective, 6) as effective_intensity from (
+select request_id, cast(rank as int) as rank, global_event_id, round(effective, 6) as effective_intensity from (
   select *, row_number() over (partition by request_id order by round(effective, 9) desc, global_event_id) as rank
   from (
     select request_id, lim, global_event_id,
@@ -498,7 +498,7 @@ add("similar_pairs", """v as (select vec_id as id, cast(embedding as double[]) a
 pairs as (
   select a.id, b.id as other, round(list_dot_product(a.e, b.e), 9) as sim from v a join v b on a.id <> b.id)""",
     select="""
-select id, count(*) as partners, -max({'s': sim, 'n': -other}).n as best_id, round(max(sim), 6) as best_similarity
+select id, count(*) as partners, -max({'s': sim, 'n': -other}).n as best_id, max(sim) as best_similarity
 from pairs where sim >= 0.4 group by id""")
 add("story_input", RAW, CLEANED, SCORED, select=f"""
 select global_event_id, cast(date_added as varchar) as date_added, page_title from scored
@@ -593,7 +593,7 @@ named as (
   group by question_id)"""
 add("index_upsert", ENTRIES, """all_entries as (
   select * from entries union all
-  select * replace (upper(title) as summary, load_seq + 1000000000 as load_seq) from entries where load_seq % 7 = 0)""",
+  select * replace ('Updated: ' || title as summary, load_seq + 1000000000 as load_seq) from entries where load_seq % 7 = 0)""",
     select="""
 select id, title, summary, load_seq, trim(trim(title) || ' ' || trim(summary)) as document
 from (select *, row_number() over (partition by id order by load_seq desc) as rn from all_entries) where rn = 1""")
@@ -605,7 +605,7 @@ ranked as (
   select a.vec_id as question_id, b.id, round(list_dot_product(a.e, b.e), 9) as sim,
     row_number() over (partition by a.vec_id order by round(list_dot_product(a.e, b.e), 9) desc, b.id) as rank
   from v a, v b)""", select="""
-select question_id, cast(rank as int) as rank, id, round(sim, 6) as similarity from ranked where rank <= 5""")
+select question_id, cast(rank as int) as rank, id, sim as similarity from ranked where rank <= 5""")
 KNN = f"""asked_counts as (select *, {EMBED.format('question')} as c from asked),
 asked_vectors as (select question_id, question, {unit_vector('c')} as v from asked_counts),
 entry_counts as (select *, {EMBED.format("trim(trim(title) || ' ' || trim(summary))")} as c from entries),
@@ -623,7 +623,7 @@ hits as (
   select question_id, true as scoped, rank, id, sim from scoped where rank <= 5
   union all select question_id, false, rank, id, sim from unscoped where rank <= 5)"""
 add("knn_country_fallback", ENTRIES, ASKED, NAMED, KNN, select="""
-select question_id, scoped, cast(rank as int) as rank, id, round(sim, 6) as similarity from hits""")
+select question_id, scoped, cast(rank as int) as rank, id, sim as similarity from hits""")
 _answer = quote(ANSWER_PROMPT + "Context:\n").replace("\n", "' || chr(10) || '")
 add("rag_prompts", ENTRIES, ASKED, NAMED, KNN, select=f"""
 select question_id, {_answer} || string_agg('- ' || title || case when summary <> '' then ': ' || summary else '' end,

@@ -367,7 +367,7 @@ def display_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zoom_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _scored(spark, sf_dir, False).select(
         F.col("global_event_id").alias("id"), "lat", "lon",
-        F.round("intensity", 9).alias("intensity"), "num_articles", "num_sources",
+        "intensity", "num_articles", "num_sources",
     )
     return grid.zoom_grid(points).select(
         "cell_deg", "cell_lat", "cell_lon", "id", "lat", "lon", _r6("intensity"), "num_articles",
@@ -434,7 +434,7 @@ def batch_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return inputs.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), "user_id", "ts"
     )
 
@@ -476,12 +476,10 @@ def embed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+    vectors = inputs.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")
     )
-    return similarity.similarity_summary(vectors, 0.4).withColumn(
-        "best_similarity", F.round("best_similarity", 6)
-    )
+    return similarity.similarity_summary(vectors, 0.4)
 
 
 @register
@@ -642,14 +640,14 @@ def _prepared_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select("question_id", *extra, "rank", "id", _r6("similarity"))
+    return df.select("question_id", *extra, "rank", "id", "similarity")
 
 
 @register
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = inputs.articles(spark, sf_dir)
     again = entries.filter("load_seq % 7 = 0").withColumns(
-        {"summary": F.upper("title"), "load_seq": F.col("load_seq") + 1_000_000_000}
+        {"summary": F.concat(F.lit("Updated: "), "title"), "load_seq": F.col("load_seq") + 1_000_000_000}
     )
     current = retrieval.upsert_index(entries.unionByName(again))
     return current.select(
@@ -668,7 +666,7 @@ def detect_country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def knn_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unscoped neighbours of every labelled vector among all others of the table."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = inputs.table(spark, sf_dir, "embeddings")
     dense = F.col("embedding").cast("array<double>")
     asked = vectors.select(
         F.col("vec_id").alias("question_id"), dense.alias("vector"), F.lit(None).cast("string").alias("country")
@@ -716,7 +714,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = inputs.TABLE_SCHEMAS["events"]
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
     out, state = fresh_path(spark, "rates"), fresh_path(spark, "state")
     write_counts(windowed_counts(stream, "ts", "1 hour"), out, state).awaitTermination()

@@ -17,6 +17,12 @@ from pyspark.sql.types import ArrayType, DoubleType
 DIMENSIONS = 64
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time per row: as a lambda argument it is
+    not repeated wherever ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Words per hash bucket; the bucket is the low byte of the word's md5 modulo the size, which
     equals the full digest modulo any power of two up to 256."""
@@ -26,18 +32,25 @@ def word_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
     buckets = F.transform(
         words, lambda w: F.conv(F.right(F.md5(w), F.lit(2)), 16, 10).cast("int") % dimensions
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda b: F.size(F.filter(buckets, lambda x: x == b)),
+    return once(
+        buckets,
+        lambda found: F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda b: F.size(F.filter(found, lambda x: x == b)),
+        ),
     )
 
 
 def normalize(vector: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(
-        F.transform(vector, lambda x: x.cast("double"))
-    )
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+        return once(
+            F.when(norm > 0, norm).otherwise(1.0), lambda n: F.transform(v, lambda x: x / n)
+        )
+
+    return once(vector, scaled)
 
 
 def hashed_words(text: Column, dimensions: int = DIMENSIONS) -> Column:

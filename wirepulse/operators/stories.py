@@ -17,6 +17,7 @@ from wirepulse.operators.events import time_filter
 from wirepulse.operators.ranking import top_k_per_group
 from wirepulse.operators.similarity import similarity_links
 from wirepulse.params import StoryParams
+from wirepulse.session import shared_dir
 
 Instant = datetime | str | Column
 
@@ -39,7 +40,12 @@ def title_nodes(events: DataFrame) -> DataFrame:
 def title_components(
     nodes: DataFrame, embed, threshold: float = 0.6, blocks: int | None = None
 ) -> DataFrame:
-    """(page_title, story_id) by transitive title similarity; ``embed`` maps text to unit vectors."""
+    """(page_title, story_id) by transitive title similarity; ``embed`` maps text to unit vectors.
+
+    The distinct titles are checkpointed once, since they are counted, compared and joined.
+    """
+    shared_dir(nodes.sparkSession)
+    nodes = nodes.checkpoint()
     vectors = nodes.select("id", embed(F.col("page_title")).alias("vector"))
     components = connected_components(nodes, similarity_links(vectors, threshold, blocks))
     return nodes.join(components, "id").select("page_title", F.col("component").alias("story_id"))

@@ -14,29 +14,31 @@ LINE_SCHEMA = "cycle string, line_no bigint, value string"
 CHUNK_LINES = 10_000
 
 
-def with_positions(lines: DataFrame) -> DataFrame:
-    """(cycle, line_no, value) for a text scan.
+def with_file_positions(lines: DataFrame) -> DataFrame:
+    """(cycle, file, block, value) for a text scan, batch or streaming.
 
-    The cycle is a ``cycle=...`` folder if the files lie in such, else the file. ``line_no``
-    orders the lines of a cycle: files by name, splits by offset, lines within the split.
+    The cycle is a ``cycle=...`` folder if the files lie in such, else the file.
     """
     path = F.col("_metadata.file_path")
-    position = F.struct(
-        path.alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
     cycle = F.col("cycle").cast("string") if "cycle" in lines.columns else path
     return lines.select(
         cycle.alias("cycle"),
-        position.alias("line_no"),
+        path.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
         # Bad bytes become U+FFFD instead of losing the row.
         F.make_valid_utf8("value").alias("value"),
     )
 
 
+def number_lines(positioned: DataFrame) -> DataFrame:
+    """(cycle, line_no, value): ``line_no`` orders the lines of a cycle, files by name, splits by
+    offset, lines within the split. Apply it directly on the scan (or on a micro-batch)."""
+    position = F.struct("file", "block", F.monotonically_increasing_id().alias("row"))
+    return positioned.select("cycle", position.alias("line_no"), "value")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return with_positions(spark.read.text(path))
+    return number_lines(with_file_positions(spark.read.text(path)))
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from wirepulse.plans.ingest import attach_titles
 from wirepulse.operators.validate import validate_batch
 from wirepulse.sources.event_export import classify_lines, good_rows
 from wirepulse.sources.landing import append_batch, to_landing_rows
-from wirepulse.sources.text_files import with_positions
+from wirepulse.sources.text_files import number_lines, with_file_positions
 
 
 def batch_writer(
@@ -22,7 +22,7 @@ def batch_writer(
     its own files and nothing is counted twice."""
 
     def write(lines: DataFrame, batch_id: int) -> None:
-        valid = validate_batch(good_rows(classify_lines(lines)))
+        valid = validate_batch(good_rows(classify_lines(number_lines(lines))))
         if titles is not None:
             valid = attach_titles(valid, titles())
         rows = to_landing_rows(valid, batch_id, F.current_timestamp().cast("timestamp_ntz"))
@@ -44,7 +44,7 @@ def start_ingest(
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = with_positions(reader.text(lines_path))
+    lines = with_file_positions(reader.text(lines_path))
     writer = lines.writeStream.foreachBatch(batch_writer(landing_path, titles)).option(
         "checkpointLocation", checkpoint_path
     )
