@@ -138,8 +138,10 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cycle, line_no, value): the events as export lines; the day is the cycle."""
-    return raw_events(spark, sf_dir).selectExpr(
-        "cycle", "load_seq as line_no", line_expression("'\\t'") + " as value"
+    line = F.struct(F.expr(line_expression("'\\t'")).alias("value"))
+    # A generator builds each line once, like a scan would, instead of once per mention.
+    return raw_events(spark, sf_dir).select(
+        "cycle", F.col("load_seq").alias("line_no"), F.inline_outer(F.array(line))
     )
 
 

@@ -11,21 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirepulse.catalog import inputs
+from wirepulse.catalog import inputs, tables
 from wirepulse.functions import text
 from wirepulse.functions.embedding import hashed_words, word_counts
 from wirepulse.functions.geo import detect_country
 from wirepulse.functions.scoring import latest
-from wirepulse.functions.timegrid import floor_minutes
 from wirepulse.operators import events as ev
 from wirepulse.operators import geojson, grid, metrics, quality, replay, requests, retrieval
 from wirepulse.operators import rollup, search, similarity
 from wirepulse.operators import stories as st
 from wirepulse.operators import validate
 from wirepulse.operators.clean import clean, score, stage
-from wirepulse.params import StoryParams
 from wirepulse.plans.ingest import attach_titles, ingest
-from wirepulse.plans.story_job import cluster_events, inline_event_ids
+from wirepulse.plans.story_job import inline_event_ids
 from wirepulse.schemas import EVENT_COLUMNS
 from wirepulse.session import fresh_path
 from wirepulse.sources import json_lines, landing, text_files
@@ -37,8 +35,6 @@ from wirepulse.streaming.rates import windowed_counts, write_counts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# The tables span one month; stories of the whole table use a window that covers it.
-WHOLE_TABLE = StoryParams(window_hours=24 * 31)
 RETENTION_AS_OF = "2024-03-01 00:00:00"
 
 
@@ -65,16 +61,6 @@ def _event_columns(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*extra, *[shown.get(c, F.col)(c) for c in EVENT_COLUMNS])
 
 
-def _scored(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFrame:
-    raw = inputs.raw_events(spark, sf_dir, titles)
-    as_of = latest(inputs.raw_events(spark, sf_dir, titles=False))
-    return score(clean(raw), as_of)
-
-
-def _as_of(spark: SparkSession, sf_dir: str) -> Column:
-    return latest(inputs.raw_events(spark, sf_dir, titles=False))
-
-
 # --- parsing and validation -------------------------------------------------------------------
 
 
@@ -279,7 +265,8 @@ def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, titles=False).select(
+    raw = inputs.raw_events(spark, sf_dir, titles=False)
+    return score(clean(raw), latest(raw)).select(
         "global_event_id", _txt("date_added"), "num_articles", "num_sources", _r6("intensity"),
         _txt("scored_at"),
     )
@@ -293,23 +280,23 @@ def _hits(df: DataFrame) -> DataFrame:
 
 @register
 def events_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(ev.bbox_filter(_scored(spark, sf_dir, False), -10.5, 35.0, 30.0, 60.0))
+    return _hits(ev.bbox_filter(tables.scored_events(spark, sf_dir), -10.5, 35.0, 30.0, 60.0))
 
 
 @register
 def events_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir, False)
+    scored = tables.scored_events(spark, sf_dir)
     return _hits(ev.time_filter(scored, "2024-01-10 06:00:00", "2024-01-12 18:30:00"))
 
 
 @register
 def events_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(ev.category_filter(_scored(spark, sf_dir, False), ["04", "14"]))
+    return _hits(ev.category_filter(tables.scored_events(spark, sf_dir), ["04", "14"]))
 
 
 @register
 def events_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(ev.category_filter(_scored(spark, sf_dir, False), ["04"], ["protest", "conflict"]))
+    return _hits(ev.category_filter(tables.scored_events(spark, sf_dir), ["04"], ["protest", "conflict"]))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -321,14 +308,14 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @register
 def events_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(ev.query_events(_scored(spark, sf_dir), limit=500))
+    return _ranked(ev.query_events(tables.scored_events(spark, sf_dir), limit=500))
 
 
 @register
 def events_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(
         ev.query_events(
-            _scored(spark, sf_dir),
+            tables.scored_events(spark, sf_dir),
             bbox=(-120.0, -50.0, 120.0, 70.0),
             end="2024-01-15 12:00:00",
             themes=["diplomacy", "coercion"],
@@ -339,7 +326,7 @@ def events_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ev.query_events(_scored(spark, sf_dir), limit=500)
+    top = ev.query_events(tables.scored_events(spark, sf_dir), limit=500)
     return geojson.event_features(top.withColumn("effective_intensity", F.round("effective_intensity", 6)))
 
 
@@ -358,14 +345,14 @@ def display_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = text.display_title(
         F.col("page_title"), F.col("actor1_name"), F.col("actor2_name"), F.col("global_event_id")
     )
-    return _scored(spark, sf_dir).select(
+    return tables.scored_events(spark, sf_dir).select(
         "global_event_id", title.alias("label"), text.buzz(F.round("intensity", 9)).alias("buzz")
     )
 
 
 @register
 def zoom_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _scored(spark, sf_dir, False).select(
+    points = tables.scored_events(spark, sf_dir).select(
         F.col("global_event_id").alias("id"), "lat", "lon",
         "intensity", "num_articles", "num_sources",
     )
@@ -377,19 +364,19 @@ def zoom_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def slider_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = replay.slider_replay(_scored(spark, sf_dir, False), _as_of(spark, sf_dir))
+    shown = replay.slider_replay(tables.scored_events(spark, sf_dir), tables.as_of(spark, sf_dir))
     return shown.select(_txt("tick"), "rank", "global_event_id", _r6("effective_intensity"))
 
 
 @register
 def slider_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = replay.slider_counts(_scored(spark, sf_dir, False))
+    counts = replay.slider_counts(tables.scored_events(spark, sf_dir))
     return counts.select(_txt("tick"), "events", "articles")
 
 
 @register
 def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir, False)
+    scored = tables.scored_events(spark, sf_dir)
     events = scored.withColumn("effective_intensity", F.round("intensity", 9))
     return search.place_search(events, ["united", "in", "FRANCE", "region 3", "east", "x"])
 
@@ -397,12 +384,12 @@ def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = inputs.raw_events(spark, sf_dir, titles=False)
-    return quality.quality_report(raw, stage(raw), clean(raw), _scored(spark, sf_dir, False))
+    return quality.quality_report(raw, stage(raw), clean(raw), tables.scored_events(spark, sf_dir))
 
 
 @register
 def dq_intensity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.intensity_out_of_range(_scored(spark, sf_dir, False))
+    return quality.intensity_out_of_range(tables.scored_events(spark, sf_dir))
 
 
 # --- map requests -----------------------------------------------------------------------------
@@ -429,7 +416,7 @@ def batch_viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A request without a box sees the whole map.
     world = {"west": -180.0, "south": -90.0, "east": 180.0, "north": 90.0}
     boxed = requests.with_codes(accepted).fillna(world, subset=list(world))
-    answers = requests.answer_requests(boxed, _scored(spark, sf_dir, False))
+    answers = requests.answer_requests(boxed, tables.scored_events(spark, sf_dir))
     return answers.select("request_id", "rank", "global_event_id", _r6("effective_intensity"))
 
 
@@ -454,17 +441,13 @@ def rate_limit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stories ----------------------------------------------------------------------------------
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_events(_scored(spark, sf_dir), _as_of(spark, sf_dir), params=WHOLE_TABLE)
-
-
 def _stories(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
     """Labelled stories; one in three stories got no answer from the label generator."""
-    plain = st.aggregate_stories(members, _as_of(spark, sf_dir), WHOLE_TABLE)
+    plain = st.aggregate_stories(members, tables.as_of(spark, sf_dir), tables.WHOLE_TABLE)
     response = F.when(
         F.col("story_id") % 3 != 0, F.concat(F.lit(' "'), "rep_title", F.lit('."\nmore'))
     )
-    return st.label_stories(plain, plain.select("story_id", response.alias("response")), WHOLE_TABLE)
+    return st.label_stories(plain, plain.select("story_id", response.alias("response")), tables.WHOLE_TABLE)
 
 
 @register
@@ -484,13 +467,13 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def story_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = st.story_input(_scored(spark, sf_dir), _as_of(spark, sf_dir))
+    rows = st.story_input(tables.scored_events(spark, sf_dir), tables.as_of(spark, sf_dir))
     return rows.select("global_event_id", _txt("date_added"), "page_title")
 
 
 @register
 def story_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir).select("global_event_id", "story_id")
+    return tables.story_members(spark, sf_dir).select("global_event_id", "story_id")
 
 
 def _story_columns(df: DataFrame, *extra: str) -> DataFrame:
@@ -504,39 +487,39 @@ def _story_columns(df: DataFrame, *extra: str) -> DataFrame:
 
 @register
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stories = st.aggregate_stories(_members(spark, sf_dir), _as_of(spark, sf_dir), WHOLE_TABLE)
+    stories = st.aggregate_stories(tables.story_members(spark, sf_dir), tables.as_of(spark, sf_dir), tables.WHOLE_TABLE)
     return _story_columns(stories, "story_id")
 
 
 @register
 def story_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.story_event_ids(_members(spark, sf_dir)).select(
+    return st.story_event_ids(tables.story_members(spark, sf_dir)).select(
         "story_id", "parts", "part", _list("event_ids", ",")
     )
 
 
 @register
 def story_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stories(spark, sf_dir, _members(spark, sf_dir)).select(
+    return _stories(spark, sf_dir, tables.story_members(spark, sf_dir)).select(
         "story_id", "member_count", "label", "summary"
     )
 
 
 @register
 def story_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.story_metrics(_stories(spark, sf_dir, _members(spark, sf_dir)))
+    return st.story_metrics(_stories(spark, sf_dir, tables.story_members(spark, sf_dir)))
 
 
 @register
 def story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = _members(spark, sf_dir)
+    members = tables.story_members(spark, sf_dir)
     ids = st.document_ids(st.story_event_ids(members))
     return st.story_documents(_stories(spark, sf_dir, members), ids)
 
 
 @register
 def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.label_prompts(_members(spark, sf_dir))
+    return st.label_prompts(tables.story_members(spark, sf_dir))
 
 
 @register
@@ -557,7 +540,7 @@ def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _daily_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of exactly equal titles, one run per day."""
     run_at = F.date_trunc("day", "date_added").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1))
-    events = _scored(spark, sf_dir).filter("page_title is not null").withColumn("run_at", run_at)
+    events = tables.scored_events(spark, sf_dir).filter("page_title is not null").withColumn("run_at", run_at)
     titles = events.groupBy("run_at", "page_title").agg(F.min("global_event_id").alias("story_id"))
     return events.join(titles, ["run_at", "page_title"])
 
@@ -572,7 +555,7 @@ def _daily_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def story_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_at = F.date_trunc("day", "date_added").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1))
-    events = _scored(spark, sf_dir, False).withColumn("run_at", run_at)
+    events = tables.scored_events(spark, sf_dir).withColumn("run_at", run_at)
     trend = st.story_trend(events, F.col("run_at"), "run_at", "action_geo_country_code")
     return trend.select(
         _txt("run_at"), "action_geo_country_code", "articles_last_hour", "articles_prev_hour", "trend"
@@ -604,14 +587,14 @@ def stories_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def story_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = st.retained_stories(_daily_stories(spark, sf_dir), _as_of(spark, sf_dir))
+    kept = st.retained_stories(_daily_stories(spark, sf_dir), tables.as_of(spark, sf_dir))
     return kept.select(_txt("run_at"), "story_id", "member_count")
 
 
 @register
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = ev.pipeline_stats(
-        _scored(spark, sf_dir, False), _daily_stories(spark, sf_dir), _runs(spark, sf_dir)
+        tables.scored_events(spark, sf_dir), _daily_stories(spark, sf_dir), _runs(spark, sf_dir)
     )
     return stats.select("total_events", "total_stories", _txt("last_ingestion_at"), "last_ingestion_rows")
 
@@ -620,7 +603,7 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stories_or_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day by day: days without a story of five or more members show their events."""
     stories = _daily_stories(spark, sf_dir).filter("member_count >= 1000000")
-    return ev.stories_or_events(stories, _scored(spark, sf_dir)).withColumn(
+    return ev.stories_or_events(stories, tables.scored_events(spark, sf_dir)).withColumn(
         "intensity", F.round("intensity", 6)
     )
 

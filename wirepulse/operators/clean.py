@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirepulse.functions.geo import cell
 from wirepulse.functions.scoring import as_of_column, intensity
+from wirepulse.functions.timegrid import month_key
 from wirepulse.operators.ranking import latest_per_key
 from wirepulse.operators.validate import (
     has_event_code,
@@ -51,13 +53,23 @@ def score(
 
 
 def write_scored(scored: DataFrame, path: str) -> None:
-    """Full rebuild. Files are clustered by grid cell and time inside each month, so a viewport
-    query skips row groups by the min/max of ``lat``, ``lon`` and ``date_added``."""
-    cell = lambda c: F.floor(F.col(c) / 8)
+    """Full rebuild of the scored table.
+
+    Rows are clustered by month and grid cell, then sorted by time, so a viewport query skips
+    files and row groups by the min/max of ``lat``, ``lon`` and ``date_added``. The rebalance
+    splits a hot cell and merges small ones at runtime, in a single pass over the input.
+    """
+    placed = scored.withColumns(
+        {
+            "month": month_key(F.col("date_added")),
+            "_clat": cell(F.col("lat"), 8),
+            "_clon": cell(F.col("lon"), 8),
+        }
+    )
     (
-        scored.withColumn("month", F.date_format("date_added", "yyyy-MM"))
-        .repartitionByRange("month", cell("lat"), cell("lon"), "date_added")
-        .sortWithinPartitions("month", cell("lat"), cell("lon"), "date_added")
+        placed.hint("rebalance", "month", "_clat", "_clon")
+        .sortWithinPartitions("month", "_clat", "_clon", "date_added")
+        .drop("_clat", "_clon")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("month")

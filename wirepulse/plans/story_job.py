@@ -16,7 +16,7 @@ from wirepulse.params import StoryParams
 
 @dataclass(frozen=True)
 class StoryRun:
-    """Lazy results of one run."""
+    """Results of one run; all but the checkpointed members are lazy."""
 
     members: DataFrame
     stories: DataFrame
@@ -45,7 +45,8 @@ def run_story_job(
     params: StoryParams = StoryParams(),
 ) -> StoryRun:
     """All outputs of a run. ``responses`` (story_id, response) are generated labels, if any."""
-    members = cluster_events(scored, run_at, embed, params)
+    # Read by every output below; checkpointed so that the clustering runs once.
+    members = cluster_events(scored, run_at, embed, params).checkpoint()
     if responses is None:
         responses = scored.sparkSession.createDataFrame([], "story_id bigint, response string")
     plain = st.aggregate_stories(members, run_at, params)

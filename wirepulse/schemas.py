@@ -22,6 +22,12 @@ EVENT_SCHEMA = (
     "source_url string, page_title string"
 )
 
+# Columns of the scored table besides the event columns; ``month`` is its partition column.
+SCORED_SCHEMA = EVENT_SCHEMA + (
+    ", ingested_at timestamp_ntz, load_seq bigint, intensity double, scored_at timestamp_ntz, "
+    "month string"
+)
+
 RUN_SCHEMA = (
     "run_at timestamp_ntz, source string, rows_fetched bigint, rows_parsed bigint, "
     "rows_rejected bigint, rows_loaded bigint, titles_matched bigint, "

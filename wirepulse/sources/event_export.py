@@ -37,13 +37,15 @@ TEXTS = ["actor1_name", "actor2_name", "action_geo_full_name", "action_geo_count
          "source_url"]
 CODES = ["event_code", "event_root_code"]
 
-_INTEGER = r"^[+-]?[0-9]+$"
-_DECIMAL = r"(?i)^[+-]?([0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|nan|inf|infinity)$"
+def _integer(text: Column, kind: str) -> Column:
+    """``try_cast`` takes an optional sign and digits, nothing else."""
+    return text.try_cast(kind)
 
 
-def _number(text: Column, pattern: str, kind: str) -> Column:
-    """Strict cast: ``try_cast`` alone would accept forms such as ``1d``."""
-    return F.when(text.rlike(pattern), text.try_cast(kind))
+def _decimal(text: Column) -> Column:
+    """``try_cast`` without the forms only a cast would accept, such as ``1d`` or ``0x1p3``."""
+    plain = ~text.rlike("[dDfFxXpP]") | text.rlike("(?i)^[+-]?inf(inity)?$")
+    return F.when(plain, text.try_cast("double"))
 
 
 def _timestamp(text: Column, with_time: bool) -> Column:
@@ -78,11 +80,11 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     )
     typed = texts.select(
         "*",
-        _number(F.col("_id"), _INTEGER, "bigint").alias("global_event_id"),
+        _integer(F.col("_id"), "bigint").alias("global_event_id"),
         _timestamp(F.col("_event_date"), with_time=False).alias("event_date"),
         _timestamp(F.col("_date_added"), with_time=True).alias("date_added"),
-        *[_number(F.col(f"_{c}"), _INTEGER, "int").alias(c) for c in INTEGERS],
-        *[_number(F.col(f"_{c}"), _DECIMAL, "double").alias(c) for c in DECIMALS],
+        *[_integer(F.col(f"_{c}"), "int").alias(c) for c in INTEGERS],
+        *[_decimal(F.col(f"_{c}")).alias(c) for c in DECIMALS],
         F.lit(None).cast("string").alias("page_title"),
     )
     bad_number = reduce(
