@@ -567,10 +567,13 @@ select (select count(*) from scored) as total_events,
   (select count(*) from daily_stories where run_at = (select max(run_at) from daily_stories)) as total_stories,
   cast((select max(run_at) from runs) as varchar) as last_ingestion_at,
   (select arg_max(rows_loaded, run_at) from runs) as last_ingestion_rows""")
-add("stories_or_events", RAW, CLEANED, SCORED, select="""
-select 'event' as kind, global_event_id as id, page_title as title, lat, lon, round(intensity, 6) as intensity,
-  cast(num_articles as bigint) as num_articles
-from scored order by scored.intensity desc, global_event_id limit 1000""")
+add("stories_or_events", *_daily, LATEST, select="""
+select * from (
+  select 'before' as moment, 'event' as kind, global_event_id as id, page_title as title, lat, lon,
+    round(intensity, 6) as intensity, cast(num_articles as bigint) as num_articles
+  from scored order by scored.intensity desc, global_event_id limit 1000)
+union all
+select 'after', 'story', story_id, summary, lat, lon, round(intensity, 6), total_articles from latest_stories""")
 
 # --- retrieval --------------------------------------------------------------------------------
 

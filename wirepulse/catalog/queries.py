@@ -601,11 +601,17 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def stories_or_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day by day: days without a story of five or more members show their events."""
-    stories = _daily_stories(spark, sf_dir).filter("member_count >= 1000000")
-    return ev.stories_or_events(stories, tables.scored_events(spark, sf_dir)).withColumn(
-        "intensity", F.round("intensity", 6)
-    )
+    """Map points before and after the first story run: no story yet, then the newest stories."""
+    stories = ev.latest_run(_daily_stories(spark, sf_dir))
+    first_run = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    events = tables.scored_events(spark, sf_dir)
+
+    def points(known: DataFrame, moment: str) -> DataFrame:
+        shown = ev.stories_or_events(known, events).withColumn("intensity", F.round("intensity", 6))
+        return shown.select(F.lit(moment).alias("moment"), "*")
+
+    before = points(stories.filter(F.col("run_at") <= first_run), "before")
+    return before.unionByName(points(stories, "after"))
 
 
 # --- retrieval --------------------------------------------------------------------------------
