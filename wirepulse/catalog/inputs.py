@@ -97,8 +97,18 @@ TABLE_SCHEMAS = {
 }
 
 
+# Tables whose rows are spread by this key when they arrive in fewer splits than there are cores.
+SPREAD_KEYS = {"events": "event_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A small one is a single file with a single row group, which would leave
+    all cores but one idle; a table with enough splits is scanned as it is, without a shuffle."""
+    df = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, SPREAD_KEYS[name])
+    return df
 
 
 def pages_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +148,12 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cycle, line_no, value): the events as export lines; the day is the cycle."""
-    line = F.struct(F.expr(line_expression("'\\t'")).alias("value"))
-    # A generator builds each line once, like a scan would, instead of once per mention.
-    return raw_events(spark, sf_dir).select(
-        "cycle", F.col("load_seq").alias("line_no"), F.inline_outer(F.array(line))
+    lines = raw_events(spark, sf_dir).selectExpr(
+        "cycle", "load_seq as line_no", line_expression("'\\t'") + " as _line"
     )
+    # A generator builds each line once, like a scan would, instead of once per mention.
+    once = F.inline_outer(F.array(F.struct(F.col("_line").alias("value"))))
+    return lines.select("cycle", "line_no", once)
 
 
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

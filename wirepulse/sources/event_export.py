@@ -97,10 +97,11 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("event_date").isNull() | F.col("date_added").isNull(), "bad_timestamp")
         .when(bad_number, "bad_numeric_field")
     )
-    row = F.struct(reason.alias("reason"), *EVENT_COLUMNS)
+    judged = typed.select(*lines.columns, reason.alias("_reason"), *EVENT_COLUMNS)
     # The generator keeps later filters on parsed columns from being pushed into the parse, where
     # each of them would split the line again.
-    return typed.select(*lines.columns, F.inline_outer(F.array(row)))
+    row = F.struct(F.col("_reason").alias("reason"), *EVENT_COLUMNS)
+    return judged.select(*lines.columns, F.inline_outer(F.array(row)))
 
 
 def good_rows(classified: DataFrame) -> DataFrame:
