@@ -22,7 +22,7 @@ from wirepulse.operators import rollup, search, similarity
 from wirepulse.operators import stories as st
 from wirepulse.operators import validate
 from wirepulse.operators.clean import clean, score, stage
-from wirepulse.plans.ingest import attach_titles, ingest
+from wirepulse.plans.ingest import ingest
 from wirepulse.plans.story_job import inline_event_ids
 from wirepulse.schemas import EVENT_COLUMNS
 from wirepulse.session import fresh_path
@@ -114,19 +114,17 @@ def validation_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def title_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = validate.validate_batch(good_rows(_classified(spark, sf_dir)))
     titles = parse_titles(inputs.title_lines(spark, sf_dir))
-    return attach_titles(valid, titles).select(
+    _, loaded = ingest(inputs.event_lines(spark, sf_dir), titles)
+    return loaded.select(
         "cycle", "line_no", "global_event_id", "source_url", "page_title"
     )
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = parse_titles(inputs.title_lines(spark, sf_dir))
-    classified, loaded = ingest(inputs.event_lines(spark, sf_dir), titles)
-    return metrics.run_metrics(classified, loaded).withColumn(
-        "run_at", F.to_timestamp_ntz("cycle")
-    )
+    runs = metrics.run_metrics(_classified(spark, sf_dir), titles)
+    return runs.withColumn("run_at", F.to_timestamp_ntz("cycle"))
 
 
 def _drops_text(column: str) -> Column:

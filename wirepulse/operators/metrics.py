@@ -7,55 +7,64 @@ from pyspark.sql import functions as F
 
 from wirepulse.functions.timegrid import CYCLE_MINUTES, cycle_key, floor_minutes
 from wirepulse.operators.ranking import top_k_per_group
-from wirepulse.operators.validate import drop_counts
-from wirepulse.sources.event_export import good_rows
+from wirepulse.operators.validate import DUPLICATE, rule_reason
 
 
-def run_metrics(classified: DataFrame, loaded: DataFrame, batch: str = "cycle") -> DataFrame:
+def run_metrics(classified: DataFrame, titles: DataFrame, batch: str = "cycle") -> DataFrame:
     """One row per cycle: fetched, parsed, rejected, loaded, titles matched, drops by reason.
 
-    ``classified`` are parsed lines with their reject reason, ``loaded`` the validated rows with
-    titles. Each side is one aggregation; only a handful of reasons meet per cycle.
+    ``classified`` are parsed lines with their reject reason, ``titles`` is (url, page_title). The
+    lines are read once: they shrink to one row per (cycle, reason) and per loaded event id, which
+    keeps the URL of its last line, and everything else is computed from those rows.
     """
-    parse = (
-        classified.groupBy(batch, "reason")
-        .agg(F.count("*").alias("n"))
-        .groupBy(batch)
-        .agg(
-            F.sum("n").alias("rows_fetched"),
-            F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("rows_parsed"),
-            _drops("n").alias("parse_drops"),
+    parse = F.col("reason")
+    judged = classified.withColumn("_rule", F.when(parse.isNull(), rule_reason()))
+    valid = parse.isNull() & F.col("_rule").isNull()
+    per_id = (
+        judged.groupBy(
+            batch, parse.alias("_parse"), "_rule", F.when(valid, F.col("global_event_id")).alias("_id")
         )
+        .agg(F.count("*").alias("n"), F.max_by("source_url", "line_no").alias("url"))
+        # Rows without URL get a key of their own, so they do not meet in one task of the join.
+        .withColumn("_url", F.when(F.col("_id").isNotNull(), F.col("url")))
+        .withColumn("_url", F.coalesce("_url", F.concat(F.lit("\0"), F.coalesce("_id", F.lit(0)))))
     )
-    validation = (
-        drop_counts(good_rows(classified), batch, batch=batch)
-        .groupBy(batch)
-        .agg(_drops("rows").alias("validation_drops"))
-    )
-    load = loaded.groupBy(batch).agg(
-        F.count("*").alias("rows_loaded"),
-        F.count_if(F.coalesce("page_title", F.lit("")) != "").alias("titles_matched"),
+    has_title = titles.select(F.col("url").alias("_url"), F.lit(1).alias("_titled"))
+    per_reason = (
+        per_id.join(has_title, "_url", "left")
+        .groupBy(batch, "_parse", "_rule")
+        .agg(
+            F.sum("n").alias("rows"),
+            F.count("_id").alias("ids"),
+            F.count(F.when(F.col("_id").isNotNull(), F.col("_titled"))).alias("titled"),
+        )
     )
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    good = F.col("_parse").isNull()
+    rule = F.when(good, F.coalesce("_rule", F.lit(DUPLICATE)))
     return (
-        parse.join(validation, batch, "left")
-        .join(load, batch, "left")
+        per_reason.groupBy(batch)
+        .agg(
+            F.sum("rows").alias("rows_fetched"),
+            F.coalesce(F.sum(F.when(good, F.col("rows"))), F.lit(0)).alias("rows_parsed"),
+            F.sum("ids").alias("rows_loaded"),
+            F.sum("titled").alias("titles_matched"),
+            _drops(F.col("_parse"), F.col("rows")).alias("parse_drops"),
+            # Of the valid rows, all but one per id were repeats.
+            _drops(rule, F.col("rows") - F.col("ids")).alias("validation_drops"),
+        )
+        .withColumn("rows_rejected", F.col("rows_fetched") - F.col("rows_loaded"))
         .select(
-            batch, "rows_fetched", "rows_parsed",
-            (F.col("rows_fetched") - F.coalesce("rows_loaded", F.lit(0))).alias("rows_rejected"),
-            zero("rows_loaded"), zero("titles_matched"),
-            F.coalesce("parse_drops", empty).alias("parse_drops"),
-            F.coalesce("validation_drops", empty).alias("validation_drops"),
+            batch, "rows_fetched", "rows_parsed", "rows_rejected", "rows_loaded",
+            "titles_matched", "parse_drops", "validation_drops",
         )
     )
 
 
-def _drops(count: str) -> Column:
+def _drops(reason: Column, rows: Column) -> Column:
     """Map reason -> rows; the number of reasons is fixed."""
     pairs = F.filter(
-        F.array_sort(F.collect_list(F.struct("reason", F.col(count).alias("rows")))),
-        lambda p: p["reason"].isNotNull(),
+        F.array_sort(F.collect_list(F.struct(reason.alias("reason"), rows.alias("rows")))),
+        lambda p: p["reason"].isNotNull() & (p["rows"] > 0),
     )
     return F.map_from_entries(pairs)
 
