@@ -5,9 +5,10 @@ The expressions of this module run unchanged in Spark and in DuckDB; they only p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirepulse.functions.scoring import latest
 from wirepulse.sources.event_export import EXPORT_FIELDS, POSITIONS
 
 # Column -> expression over events (plus k, the number in props).
@@ -101,16 +102,22 @@ TABLE_SCHEMAS = {
 SPREAD_KEYS = {"events": "event_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A driver table. A small one is a single file with a single row group, which would leave
     all cores but one idle; a table with enough splits is scanned as it is, without a shuffle."""
     df = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+    if spread and name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores, SPREAD_KEYS[name])
     return df
 
 
+def newest(spark: SparkSession, sf_dir: str) -> Column:
+    """The newest event time as a scalar subquery, in place of the wall clock."""
+    times = EVENT_EXPRESSIONS["date_added"].format(ntz="timestamp_ntz")
+    return latest(table(spark, sf_dir, "events", spread=False).selectExpr(f"{times} as date_added"))
+
+
 def pages_with_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr(
         "page_id", "url as source_url", f"{TITLE} as page_title"
@@ -133,7 +140,7 @@ def raw_events(spark: SparkSession, sf_dir: str, titles: bool = True) -> DataFra
         return events.selectExpr(
             *columns, "cast(null as string) as source_url", "cast(null as string) as page_title"
         )
-    n_pages = table(spark, sf_dir, "pages").agg(F.count("*")).scalar()
+    n_pages = table(spark, sf_dir, "pages", spread=False).agg(F.count("*")).scalar()
     page_id = F.when(F.col("event_id") % 43 != 0, F.col("event_id") % n_pages)
     rows = events.withColumn("page_id", page_id).selectExpr(*columns, "page_id")
     return rows.join(pages_with_titles(spark, sf_dir), "page_id", "left").drop("page_id")

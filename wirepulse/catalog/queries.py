@@ -15,7 +15,6 @@ from wirepulse.catalog import inputs, tables
 from wirepulse.functions import text
 from wirepulse.functions.embedding import hashed_words, word_counts
 from wirepulse.functions.geo import detect_country
-from wirepulse.functions.scoring import latest
 from wirepulse.operators import events as ev
 from wirepulse.operators import geojson, grid, metrics, quality, replay, requests, retrieval
 from wirepulse.operators import rollup, search, similarity
@@ -264,7 +263,7 @@ def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = inputs.raw_events(spark, sf_dir, titles=False)
-    return score(clean(raw), latest(raw)).select(
+    return score(clean(raw), inputs.newest(spark, sf_dir)).select(
         "global_event_id", _txt("date_added"), "num_articles", "num_sources", _r6("intensity"),
         _txt("scored_at"),
     )
@@ -362,7 +361,7 @@ def zoom_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def slider_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = replay.slider_replay(tables.scored_events(spark, sf_dir), tables.as_of(spark, sf_dir))
+    shown = replay.slider_replay(tables.scored_events(spark, sf_dir), inputs.newest(spark, sf_dir))
     return shown.select(_txt("tick"), "rank", "global_event_id", _r6("effective_intensity"))
 
 
@@ -441,7 +440,7 @@ def rate_limit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stories(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
     """Labelled stories; one in three stories got no answer from the label generator."""
-    plain = st.aggregate_stories(members, tables.as_of(spark, sf_dir), tables.WHOLE_TABLE)
+    plain = st.aggregate_stories(members, inputs.newest(spark, sf_dir), tables.WHOLE_TABLE)
     response = F.when(
         F.col("story_id") % 3 != 0, F.concat(F.lit(' "'), "rep_title", F.lit('."\nmore'))
     )
@@ -465,7 +464,7 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def story_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = st.story_input(tables.scored_events(spark, sf_dir), tables.as_of(spark, sf_dir))
+    rows = st.story_input(tables.scored_events(spark, sf_dir), inputs.newest(spark, sf_dir))
     return rows.select("global_event_id", _txt("date_added"), "page_title")
 
 
@@ -485,7 +484,7 @@ def _story_columns(df: DataFrame, *extra: str) -> DataFrame:
 
 @register
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stories = st.aggregate_stories(tables.story_members(spark, sf_dir), tables.as_of(spark, sf_dir), tables.WHOLE_TABLE)
+    stories = st.aggregate_stories(tables.story_members(spark, sf_dir), inputs.newest(spark, sf_dir), tables.WHOLE_TABLE)
     return _story_columns(stories, "story_id")
 
 
@@ -585,7 +584,7 @@ def stories_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def story_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = st.retained_stories(_daily_stories(spark, sf_dir), tables.as_of(spark, sf_dir))
+    kept = st.retained_stories(_daily_stories(spark, sf_dir), inputs.newest(spark, sf_dir))
     return kept.select(_txt("run_at"), "story_id", "member_count")
 
 

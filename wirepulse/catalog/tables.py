@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from wirepulse.catalog import inputs
-from wirepulse.functions.scoring import latest
 from wirepulse.operators.clean import clean, score, write_scored
 from wirepulse.params import StoryParams
 from wirepulse.plans.story_job import cluster_events
@@ -32,17 +31,12 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
     return _PATHS[key]
 
 
-def as_of(spark: SparkSession, sf_dir: str) -> Column:
-    """The newest event time, in place of the wall clock."""
-    return latest(inputs.raw_events(spark, sf_dir, titles=False))
-
-
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored table of the whole event table."""
 
     def write(path: str) -> None:
         raw = inputs.raw_events(spark, sf_dir)
-        write_scored(score(clean(raw), as_of(spark, sf_dir)), path)
+        write_scored(score(clean(raw), inputs.newest(spark, sf_dir)), path)
 
     path = _stored(spark, sf_dir, "events_scored", write)
     return spark.read.schema(SCORED_SCHEMA).parquet(path)
@@ -53,7 +47,7 @@ def story_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(path: str) -> None:
         events = scored_events(spark, sf_dir)
-        cluster_events(events, as_of(spark, sf_dir), params=WHOLE_TABLE).write.parquet(path)
+        cluster_events(events, inputs.newest(spark, sf_dir), params=WHOLE_TABLE).write.parquet(path)
 
     path = _stored(spark, sf_dir, "story_members", write)
     return spark.read.schema(SCORED_SCHEMA + ", story_id bigint").parquet(path)

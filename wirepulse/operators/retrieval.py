@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirepulse.functions.geo import detect_country
@@ -121,10 +121,16 @@ def nearest_entries(
 
 
 def with_fallback(nearest: DataFrame) -> DataFrame:
-    """The scoped entries of a question if there are any, else the unscoped ones."""
-    answered = nearest.filter("scoped").select("question_id").distinct()
-    fallback = nearest.filter(~F.col("scoped")).join(answered, "question_id", "left_anti")
-    return nearest.filter("scoped").unionByName(fallback)
+    """The scoped entries of a question if there are any, else the unscoped ones.
+
+    At most ``2 * k`` rows meet per question.
+    """
+    any_scoped = F.max("scoped").over(Window.partitionBy("question_id"))
+    return (
+        nearest.withColumn("_any", any_scoped)
+        .filter(F.col("scoped") == F.col("_any"))
+        .drop("_any")
+    )
 
 
 def embed_questions(questions: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:

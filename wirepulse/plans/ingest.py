@@ -15,16 +15,14 @@ from wirepulse.sources.landing import merge_log
 def attach_titles(events: DataFrame, titles: DataFrame, *keys: str) -> DataFrame:
     """Set ``page_title`` by URL (and ``keys``, such as the cycle); events without URL keep NULL.
 
-    Titles are broadcast only when Spark's size estimate allows it. Otherwise rows are joined by
-    URL, and events without one are kept apart, since their NULL keys would meet in one task.
+    Titles are broadcast only when Spark's size estimate allows it. In a shuffled join a URL that
+    very many events share is split by the skew join, and events without URL get a key of their
+    own, so they do not meet in one task.
     """
-    untitled = events.drop("page_title")
-    lookup = titles.select(*keys, F.col("url").alias("source_url"), "page_title")
-    linked = untitled.filter("source_url is not null").join(lookup, [*keys, "source_url"], "left")
-    unlinked = untitled.filter("source_url is null").withColumn(
-        "page_title", F.lit(None).cast("string")
-    )
-    return linked.select(*events.columns).unionByName(unlinked.select(*events.columns))
+    lookup = titles.select(*keys, F.col("url").alias("_url"), "page_title")
+    own = F.concat(F.lit("\0"), F.col("global_event_id").cast("string"))
+    keyed = events.drop("page_title").withColumn("_url", F.coalesce("source_url", own))
+    return keyed.join(lookup, [*keys, "_url"], "left").select(*events.columns)
 
 
 def ingest(lines: DataFrame, titles: DataFrame, *title_keys: str) -> tuple[DataFrame, DataFrame]:
