@@ -116,7 +116,11 @@ valid as (select * exclude (rule, rn) from ranked where rn = 1),
 drops as (select cycle, rule as reason from judged where rule is not null
   union all select cycle, 'duplicate_event_id_in_batch' from ranked where rn > 1)"""
 
-_entities = "replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&amp;', '&')"
+# The entities of the table; a title cut off before the semicolon still counts.
+_entities = (
+    "regexp_replace(regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), "
+    "'&amp;?', '&', 'g')"
+)
 _page_title = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 TITLES = f"""titles as (
   select url, arg_max(title, n) as page_title from (
@@ -567,13 +571,15 @@ select (select count(*) from scored) as total_events,
   (select count(*) from daily_stories where run_at = (select max(run_at) from daily_stories)) as total_stories,
   cast((select max(run_at) from runs) as varchar) as last_ingestion_at,
   (select arg_max(rows_loaded, run_at) from runs) as last_ingestion_rows""")
-add("stories_or_events", *_daily, LATEST, select="""
+add("stories_or_events", *_daily, """shown as (
+  select * from daily_stories where run_at = (select max(run_at) from daily_stories)
+  order by least(1.0, intensity) desc, story_id limit 800)""", select="""
 select * from (
   select 'before' as moment, 'event' as kind, global_event_id as id, page_title as title, lat, lon,
     round(intensity, 6) as intensity, cast(num_articles as bigint) as num_articles
   from scored order by scored.intensity desc, global_event_id limit 1000)
 union all
-select 'after', 'story', story_id, summary, lat, lon, round(intensity, 6), total_articles from latest_stories""")
+select 'after', 'story', story_id, rep_title, lat, lon, round(intensity, 6), total_articles from shown""")
 
 # --- retrieval --------------------------------------------------------------------------------
 

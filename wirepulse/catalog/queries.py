@@ -599,7 +599,7 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def stories_or_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map points before and after the first story run: no story yet, then the newest stories."""
-    stories = ev.latest_run(_daily_stories(spark, sf_dir))
+    stories = ev.query_stories(_daily_stories(spark, sf_dir), 800)
     first_run = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     events = tables.scored_events(spark, sf_dir)
 
