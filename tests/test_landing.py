@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from tests.test_validate_clean import batch, event
 from wirepulse.operators.events import time_filter
 from wirepulse.operators.rollup import daily_rollup, insert_absent
+from wirepulse.plans.ingest import attach_titles
 from wirepulse.plans.retention import create_landing_table, run_retention
 from wirepulse.sources.landing import (
-    append_batch, bounds, list_partitions, merge_log, read_log, to_landing_rows, to_monthly,
+    append_batch, bounds, compact, list_partitions, merge_log, read_log, to_landing_rows, to_monthly,
     write_monthly,
 )
 
@@ -42,6 +43,25 @@ def test_upsert_changes_volatile_columns_only_and_is_repeatable(spark, tmp_path)
     assert got[4].num_articles == 99 and got[4].page_title is None and got[4].actor1_name == "A"
 
 
+def test_compaction_keeps_the_result(spark, tmp_path):
+    first = rows_for(spark, [event(4, page_title="Old", actor1_name="A"), event(5)], 0)
+    second = rows_for(spark, [event(4, num_articles=7, actor1_name="B")], 1)
+    third = rows_for(spark, [event(4, num_articles=9, actor1_name="C")], 2)
+    compact(first.unionByName(second), str(tmp_path / "compact"))
+    stored = spark.read.parquet(str(tmp_path / "compact")).withColumn("month", F.col("month").cast("string"))
+    folded = merge_log(stored.unionByName(third))
+    whole = merge_log(first.unionByName(second).unionByName(third))
+    assert sorted(map(str, folded.collect())) == sorted(map(str, whole.collect()))
+    assert stored.count() == 2
+
+
+def test_titles_join_within_the_cycle(spark):
+    events = batch(spark, [event(1, source_url="u"), event(2), event(3, source_url="v")])
+    titles = spark.createDataFrame([("c", "u", "T"), ("other", "v", "X")], "cycle string, url string, page_title string")
+    got = {r.global_event_id: r.page_title for r in attach_titles(events, titles, "cycle").collect()}
+    assert got == {1: "T", 2: None, 3: None}
+
+
 def test_new_date_added_is_a_new_row(spark):
     log = rows_for(spark, [event(1), event(1, date_added=RECENT)], 0)
     assert merge_log(log).count() == 2

@@ -2,7 +2,8 @@
 
 A batch is appended under its own ``load_seq`` and never changes older files. Reading folds the
 log to one row per key (``global_event_id``, ``date_added``): the volatile columns come from the
-last load, all others from the first. Compaction rewrites closed months in that folded form.
+last load, all others from the first. Compaction writes the folded form to a new folder, which
+takes the place of the log's older loads.
 """
 
 from __future__ import annotations
@@ -58,14 +59,21 @@ def merge_log(log: DataFrame) -> DataFrame:
     merged = log.groupBy(*KEY_COLUMNS).agg(
         F.max_by(F.struct(*VOLATILE_COLUMNS), order).alias("_last"),
         F.min_by(F.struct(*first), order).alias("_first"),
-        F.max("load_seq").alias("load_seq"),
+        F.max(order).alias("_order"),
     )
-    picked = merged.select(*KEY_COLUMNS, "_last.*", "_first.*", "load_seq")
+    picked = merged.select(*KEY_COLUMNS, "_last.*", "_first.*", "_order.*")
     return picked.select(
-        *EVENT_COLUMNS, "ingested_at", "load_seq", month_key(F.col("date_added")).alias("month")
+        *EVENT_COLUMNS, "ingested_at", "load_seq", "cycle",
+        month_key(F.col("date_added")).alias("month"),
     )
 
 
+def compact(log: DataFrame, path: str) -> None:
+    """Fold ``log`` into a new monthly table. Merging that table with later loads gives the same
+    rows as merging the whole log, because a folded row keeps the order of its last load."""
+    write_monthly(merge_log(log), path)
+
+
 def write_monthly(rows: DataFrame, path: str) -> None:
     """Rows as one folder per calendar month, replacing only the months present in ``rows``."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
