@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirepulse.llm.common import table
+from wirepulse.llm.packing import pack_documents
 from wirepulse.llm.quality_rules import judge_quality
+from wirepulse.llm.records import read_records, write_records
 from wirepulse.llm.sharding import histogram_shards
 from wirepulse.llm.url_filter import filter_urls
+from wirepulse.session import fresh_path
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -44,8 +47,27 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the queries; every executor has it at this path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
+def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-records")
+    write_records(table(spark, sf_dir, "documents"), path, vocabulary())
+    return read_records(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
+    "op10_records": op10_records,
 }
