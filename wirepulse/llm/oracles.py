@@ -52,4 +52,13 @@ select *, not base_failed and not (lost_words > 0 and (n_words - lost_words < 20
     or n_words - lost_words < 0.3 * n_words)) as kept from failed
 """
 
-ORACLES = {"op1_url_filter": URL_FILTER, "op5_quality_rules": QUALITY_RULES}
+WARC = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest from p),
+g as (select *, max(page_id) over (partition by payload_digest) as last_id from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> last_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> last_id then last_id end as refers_to from g
+"""
+
+ORACLES = {"op1_url_filter": URL_FILTER, "op5_quality_rules": QUALITY_RULES, "op8_warc": WARC}

@@ -10,7 +10,9 @@ from wirepulse.llm.packing import pack_documents
 from wirepulse.llm.quality_rules import judge_quality
 from wirepulse.llm.records import read_records, write_records
 from wirepulse.llm.sharding import histogram_shards
+from wirepulse.llm.toxicity import fit_toxicity, is_held_out, toxic_passages
 from wirepulse.llm.url_filter import filter_urls
+from wirepulse.llm.warc import read_warc, write_warc
 from wirepulse.session import fresh_path
 
 URL_RULES = [
@@ -27,6 +29,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxic_passages(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -58,6 +69,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).drop("url")
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-records")
     write_records(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -66,8 +83,10 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op10_records": op10_records,
 }
