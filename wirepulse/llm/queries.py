@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirepulse.llm.common import table
+from wirepulse.llm.decontamination import benchmark_overlaps
 from wirepulse.llm.packing import pack_documents
 from wirepulse.llm.quality_rules import judge_quality
 from wirepulse.llm.records import read_records, write_records
@@ -75,6 +76,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).drop("url")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-records")
     write_records(table(spark, sf_dir, "documents"), path, vocabulary())
@@ -88,5 +93,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_decontamination": op9_decontamination,
     "op10_records": op10_records,
 }

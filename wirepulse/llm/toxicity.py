@@ -4,8 +4,8 @@ Features of a word are the word (A-Z lower-cased, other characters than letters
 words) and its first four to six bytes, which catch inflected forms. Every feature is hashed into one
 of ``BUCKETS`` buckets. A bucket's weight is the log-odds of its share of toxic against clean training
 texts under a Dirichlet prior, less ``DEVIATIONS`` standard deviations, so that rare features count
-little. A word's score is the largest weight of its features if that is positive, else a small
-penalty, so that the expected score of clean prose is negative.
+little, and zero below ``LEAST_WEIGHT``. A word's score is the largest weight of its features if that
+is positive, else a small penalty, so that the expected score of clean prose is negative.
 
 All maximal segments of a text's scores are found in one linear scan. Scores that are log-odds have
 extreme-value distributed maxima with decay 1: K n exp(-s) segments of score s or more are expected by
@@ -33,11 +33,12 @@ PREFIXES = (4, 5, 6)
 MOST_ROWS = 2_000_000
 PRIOR = 0.5
 DEVIATIONS = 2.5
+LEAST_WEIGHT = 1.0
 PENALTY = 0.05
 MOST_WEIGHT = 8.0
 # Chance before a look at the text, below the usual share of toxic texts: a cautious judge.
 PRIOR_TOXIC = 0.02
-LEAST_RATE = 1e-3
+LEAST_RATE = 6e-3
 _ALL = -1  # stands for the number of texts among the bucket counts
 
 
@@ -97,7 +98,8 @@ def _weights(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
     clean, toxic = counts + PRIOR
     delta = np.log(toxic / (texts[1] + 1)) - np.log(clean / (texts[0] + 1))
     deviation = np.sqrt(1 / toxic + 1 / clean)
-    return np.clip(delta - DEVIATIONS * deviation, 0, MOST_WEIGHT).astype(np.float32)
+    sure = delta - DEVIATIONS * deviation
+    return np.where(sure >= LEAST_WEIGHT, np.minimum(sure, MOST_WEIGHT), 0).astype(np.float32)
 
 
 def word_scores(model: ToxicityModel, words: Words) -> np.ndarray:
