@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirepulse.llm.common import table
 from wirepulse.llm.decontamination import benchmark_overlaps
+from wirepulse.llm.ngram_join import JoinRule, similarity_components
 from wirepulse.llm.packing import pack_documents
 from wirepulse.llm.quality_rules import judge_quality
 from wirepulse.llm.records import read_records, write_records
@@ -39,6 +40,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"), JoinRule(size=3, percent=90))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -89,6 +94,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
