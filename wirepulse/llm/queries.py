@@ -12,6 +12,7 @@ from wirepulse.llm.packing import pack_documents
 from wirepulse.llm.quality_rules import judge_quality
 from wirepulse.llm.records import read_records, write_records
 from wirepulse.llm.sharding import histogram_shards
+from wirepulse.llm.suffix_dedup import remove_repeats
 from wirepulse.llm.toxicity import fit_toxicity, is_held_out, toxic_passages
 from wirepulse.llm.url_filter import filter_urls
 from wirepulse.llm.warc import read_warc, write_warc
@@ -44,6 +45,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), JoinRule(size=3, percent=90))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -95,6 +100,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
