@@ -1,21 +1,67 @@
-"""The training-data pipeline over ``documents``: each stage works on what the one before it kept."""
+"""The training-data pipeline over ``documents``: each stage works on what the one before it kept.
+
+Rejected documents go, one document of each group of near copies stays (the one with the smallest
+id), passages that repeat are cut out, documents with a benchmark passage go, and the rest is packed
+into training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wirepulse.llm.common import stored, table
+from wirepulse.llm.decontamination import benchmark_overlaps
+from wirepulse.llm.ngram_join import JoinRule, similarity_components
+from wirepulse.llm.packing import pack_documents
 from wirepulse.llm.quality_rules import judge_quality
+from wirepulse.llm.queries import vocabulary
+from wirepulse.llm.suffix_dedup import remove_repeats
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_COPIES = JoinRule(size=5, percent=80)
+REPEAT_BYTES = 200
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
     return judge_quality(docs).filter("kept").select(DOCUMENT_COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of linked documents."""
+    groups = similarity_components(docs, NEAR_COPIES)
+    dropped = groups.filter("component_id <> doc_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of the texts, by whole characters; documents of which nothing is
+    left go."""
+    left = remove_repeats(docs, length=REPEAT_BYTES, whole_characters=True, columns=("lang", "source"))
+    return left.filter(F.trim("kept") != "").select(
+        "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")
+    )
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a passage of a benchmark item."""
+    overlaps = benchmark_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(overlaps.select("doc_id").distinct(), "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with their token ids."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram join", ngram_join),
+    ("suffix dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 # Links between near copies and packing can't be expressed in SQL.
 ORACLE_SQL = None
