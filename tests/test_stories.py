@@ -12,7 +12,7 @@ from wirepulse.operators import stories as st
 from wirepulse.operators.components import connected_components
 from wirepulse.operators.similarity import block_count, similarity_links, similarity_summary
 from wirepulse.params import StoryParams
-from wirepulse.plans.story_job import run_story_job
+from wirepulse.plans.story_job import inline_event_ids, run_story_job
 
 RUN = dt.datetime(2026, 7, 4, 12)
 
@@ -128,17 +128,28 @@ def test_story_job(spark):
     metrics = run.metrics.first()
     assert (metrics.events, metrics.clusters, metrics.multi_member_clusters, metrics.labels) == (4, 2, 1, 1)
     docs = {r.id: r for r in run.documents.collect()}
-    assert docs[hashlib.sha1(b"10,11,12").hexdigest()].title == "Mumbai floods worsen today"
-    assert docs[hashlib.sha1(b"13").hexdigest()].source_url == ""
+    assert docs[set_digest([10, 11, 12])].title == "Mumbai floods worsen today"
+    assert docs[set_digest([13])].source_url == ""
 
 
-def test_large_stories_keep_all_ids_in_parts(spark):
-    members = spark.range(100).select(F.lit(1).alias("story_id"), F.col("id").alias("global_event_id"))
-    params = StoryParams(ids_per_part=10)
-    parts = st.story_event_ids(members, params).collect()
-    assert {p.parts for p in parts} == {10}
-    assert sorted(i for p in parts for i in p.event_ids) == list(range(100))
-    assert st.document_ids(st.story_event_ids(members, params)).count() == 1
+def set_digest(ids):
+    """The document id of a story, by its definition."""
+    quarters = [[int(hashlib.md5(str(i).encode()).hexdigest()[8 * q : 8 * q + 8], 16) for q in range(4)] for i in ids]
+    return hashlib.sha1(",".join(map(str, [len(ids), *map(sum, zip(*quarters))])).encode()).hexdigest()
+
+
+def test_one_rule_for_small_and_large_stories(spark):
+    """Story 1 has a few members, story 2 more than the array limit that once changed the rule."""
+    sizes = {1: 3, 2: 100_001}
+    members = spark.range(sizes[2]).selectExpr("2 as story_id", "id as global_event_id").union(
+        spark.range(sizes[1]).selectExpr("1", "id")
+    )
+    ids = st.story_event_ids(members)
+    assert ids.count() == sum(sizes.values())
+    got = {r.story_id: r.doc_id for r in st.document_ids(ids.repartition(7)).collect()}
+    assert got == {s: set_digest(range(n)) for s, n in sizes.items()}
+    shown = inline_event_ids(spark.createDataFrame([(1,), (2,)], "story_id bigint"), ids)
+    assert {r.story_id: len(r.event_ids) for r in shown.collect()} == sizes
 
 
 def test_label_budget_counts_usable_labels_only(spark):

@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 
 from tests.test_parse import line
+from wirepulse.plans.retention import create_landing_table, run_retention
 from wirepulse.sources.landing import merge_log, read_log
 from wirepulse.streaming.ingest import batch_writer, start_ingest
-from wirepulse.streaming.rates import windowed_counts, write_counts
+from wirepulse.streaming.rates import read_counts, start_counts
 
 
 def test_files_arrive_over_time(spark, tmp_path):
@@ -31,13 +32,72 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert read_log(spark, str(tmp_path / "out")).count() == 1
 
 
-def test_sliding_counts_close_with_the_watermark(spark, tmp_path):
-    source = tmp_path / "events"
-    spark.range(120).select(
-        (F.lit("2026-07-04 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts")
-    ).write.parquet(str(source))
-    stream = spark.readStream.schema("ts timestamp_ntz").parquet(str(source))
-    counts = windowed_counts(stream, "ts", "1 hour", "30 minutes", delay="0 seconds")
-    write_counts(counts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = {str(r.window_start): r.events for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"2026-07-03 23:30:00": 30, "2026-07-04 00:00:00": 60, "2026-07-04 00:30:00": 60}
+def test_a_fresh_checkpoint_adds_to_the_log(spark, tmp_path):
+    """Neither a second stream nor a new checkpoint replaces earlier loads."""
+    out = str(tmp_path / "out")
+    for n in ("1", "2", "3"):
+        folder = tmp_path / f"in{n}"
+        folder.mkdir()
+        (folder / f"2026070412{n}000.csv").write_text(line(global_event_id=n) + "\n")
+        state = str(tmp_path / f"state{n}")
+        for _ in range(2):  # the second start finds its own number again
+            start_ingest(spark, str(folder), out, state).awaitTermination()
+    log = read_log(spark, out)
+    assert sorted((r.global_event_id, r.load_seq) for r in log.collect()) == [(1, 0), (2, 1), (3, 2)]
+    again = tmp_path / "in3" / "20260704130000.csv"
+    again.write_text(line(global_event_id="1", num_articles="9") + "\n")
+    start_ingest(spark, str(tmp_path / "in3"), out, str(tmp_path / "state3")).awaitTermination()
+    merged = {r.global_event_id: (r.num_articles, r.load_seq) for r in merge_log(read_log(spark, out)).collect()}
+    assert merged[1] == (9, 3) and len(merged) == 3
+
+
+def test_counts_are_complete(spark, tmp_path):
+    """Late rows, the last window and a second stream count; a replay doesn't count twice."""
+    source, out = tmp_path / "events", str(tmp_path / "out")
+
+    def add(first, minutes):
+        start = F.lit("2026-07-04 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(first))
+        spark.range(minutes).select(
+            (start + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts")
+        ).write.mode("append").parquet(str(source))
+
+    def run(state):
+        stream = spark.readStream.schema("ts timestamp_ntz").parquet(str(source))
+        start_counts(stream, "ts", "1 hour", out, str(tmp_path / state), "30 minutes").awaitTermination()
+        return {str(r.window_start)[11:]: r.events for r in read_counts(spark, out).collect()}
+
+    add(60, 60)
+    assert run("state") == {"00:30:00": 30, "01:00:00": 60, "01:30:00": 30}
+    add(0, 10)  # an hour late
+    assert run("state") == {"23:30:00": 10, "00:00:00": 10, "00:30:00": 30, "01:00:00": 60, "01:30:00": 30}
+    assert run("state")["01:00:00"] == 60 and run("other")["01:00:00"] == 120
+
+
+def test_retention_on_the_ingested_layout(spark, tmp_path):
+    """Expired months of a log that streams wrote are rolled up and their files go."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    place = str(tmp_path / "landing")
+    for day in ("20260301", "20260704"):
+        (folder / f"{day}120000.csv").write_text(line(global_event_id=day, date_added=f"{day}120000") + "\n")
+        start_ingest(spark, str(folder), place, str(tmp_path / "state")).awaitTermination()
+    create_landing_table(read_log(spark, place), "landed_test")
+    got = run_retention(spark, "landed_test", "landed_rollup_test", "2026-07-05 00:00:00")
+    assert got == {"partitions_dropped": ["2026-03"], "rollup_rows_written": 1}
+    assert [r.global_event_id for r in spark.table("landed_test").collect()] == [20260704]
+    assert spark.table("landed_rollup_test").count() == 1
+    spark.sql("DROP TABLE landed_test")
+    spark.sql("DROP TABLE landed_rollup_test")
+
+
+def test_month_filters_reach_the_merged_log(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "20260704120000.csv").write_text(line() + "\n")
+    start_ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    merged = merge_log(read_log(spark, str(tmp_path / "out"))).filter("month = '2026-07'")
+    plan = merged._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "PartitionFilters: [isnotnull(month" in plan.replace("cast(", "").replace(" as string)", "")
+    assert merged.count() == 1

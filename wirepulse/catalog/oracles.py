@@ -511,9 +511,7 @@ _story = (RAW, CLEANED, SCORED, COMPONENTS)
 add("story_components", *_story, recursive=True, select="select global_event_id, story_id from members")
 add("story_clusters", *_story, STORIES, recursive=True, select=f"select story_id, {STORY_TEXT} from stories")
 add("story_event_ids", *_story, recursive=True, select="""
-select story_id, cast(1 as int) as parts, cast(0 as int) as part,
-  string_agg(cast(global_event_id as varchar), ',' order by global_event_id) as event_ids
-from members group by story_id""")
+select story_id, global_event_id from members""")
 add("story_labels", *_story, STORIES, LABELLED, recursive=True, select="""
 select story_id, member_count, label, summary from labelled""")
 add("story_metrics", *_story, STORIES, LABELLED, recursive=True, select="""
@@ -521,8 +519,11 @@ select cast(sum(member_count) as bigint) as events, count(*) as clusters,
   count(*) filter (where member_count > 1) as multi_member_clusters, count(label) as labels,
   round(count(*) / sum(member_count), 3) as dedup_ratio from labelled""")
 add("story_docs", *_story, STORIES, LABELLED, """doc_ids as (
-  select story_id, sha1(string_agg(cast(global_event_id as varchar), ',' order by global_event_id)) as doc_id
-  from members group by story_id)""", recursive=True, select=f"""
+  select story_id, sha1(concat_ws(',', count(*), sum(q0)::bigint, sum(q1)::bigint, sum(q2)::bigint, sum(q3)::bigint))
+    as doc_id
+  from (select story_id, ('0x' || m[1:8])::bigint as q0, ('0x' || m[9:16])::bigint as q1,
+      ('0x' || m[17:24])::bigint as q2, ('0x' || m[25:32])::bigint as q3
+    from (select story_id, md5(cast(global_event_id as varchar)) as m from members)) group by story_id)""", recursive=True, select=f"""
 select doc_id as id, trim(trim(rep_title) || ' ' || trim(summary)) as document, rep_title as title, summary,
   coalesce(rep_url, '') as source_url, coalesce(country_code, '') as country_code,
   {ISO.format('latest')} as date_added from labelled join doc_ids using (story_id)""")
@@ -656,5 +657,4 @@ merged as (
 select strftime(m.date_added, '%Y-%m') as month, {EVENT_TEXT}, page_title from merged m""")
 add("stream_rate", """hours as (
   select date_trunc('hour', ts)::timestamp as h, count(*) as events from events group by 1)""", select="""
-select cast(h as varchar) as window_start, events from hours
-where h + interval 1 hour <= (select max(ts) from events) - interval 15 minute""")
+select cast(h as varchar) as window_start, events from hours""")

@@ -29,7 +29,7 @@ from wirepulse.sources import json_lines, landing, text_files
 from wirepulse.sources.event_export import classify_lines, good_rows, reject_counts
 from wirepulse.sources.title_export import parse_titles
 from wirepulse.streaming.ingest import start_ingest
-from wirepulse.streaming.rates import windowed_counts, write_counts
+from wirepulse.streaming.rates import read_counts, start_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,9 +490,7 @@ def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def story_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.story_event_ids(tables.story_members(spark, sf_dir)).select(
-        "story_id", "parts", "part", _list("event_ids", ",")
-    )
+    return st.story_event_ids(tables.story_members(spark, sf_dir))
 
 
 @register
@@ -703,5 +701,5 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = inputs.TABLE_SCHEMAS["events"]
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
     out, state = fresh_path(spark, "rates"), fresh_path(spark, "state")
-    write_counts(windowed_counts(stream, "ts", "1 hour"), out, state).awaitTermination()
-    return spark.read.parquet(out).select(_txt("window_start"), "events")
+    start_counts(stream, "ts", "1 hour", out, state).awaitTermination()
+    return read_counts(spark, out).select(_txt("window_start"), "events")

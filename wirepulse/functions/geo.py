@@ -32,17 +32,17 @@ def in_box(
     )
 
 
-# A later row with the same name replaces the code but keeps the place in the order.
-_NAME_TO_CODE = {name.lower(): code for code, name in COUNTRIES}
-_NAMES = sorted(_NAME_TO_CODE, key=len, reverse=True)
+# (name, code) pairs, the preferred match first: longer names before shorter ones, names of equal
+# length as listed; of several codes for a name the last one listed counts.
+_RANKED = sorted({n.casefold(): (n.casefold(), c) for c, n in COUNTRIES}.values(), key=lambda pair: -len(pair[0]))
 # Look-ahead: at every word boundary the longest name starting there, overlaps included.
-_NAME_PATTERN = r"(?iU)\b(?=(" + "|".join(re.escape(name) for name in _NAMES) + r")\b)"
+_NAME_PATTERN = rf"(?iU)\b(?=({'|'.join(re.escape(n) for n, _ in _RANKED)})\b)"
 
 
 def detect_country(text: Column) -> Column:
     """Code of the longest country name in the text as whole words, ignoring case, or NULL."""
-    names = F.create_map(*[F.lit(x) for i, n in enumerate(_NAMES) for x in (n, i)])
-    codes = F.array(*[F.lit(_NAME_TO_CODE[n]) for n in _NAMES])
+    names = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(_RANKED) for x in (n, i)])
+    codes = F.array(*[F.lit(c) for _, c in _RANKED])
     found = F.regexp_extract_all(text, F.lit(_NAME_PATTERN), F.lit(1))
     ranks = F.transform(found, lambda m: F.element_at(names, F.lower(m)))
     return F.get(codes, F.array_min(ranks))

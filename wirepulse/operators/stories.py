@@ -151,42 +151,26 @@ def aggregate_stories(
     )
 
 
-def story_event_ids(members: DataFrame, params: StoryParams = StoryParams()) -> DataFrame:
-    """(story_id, parts, part, event_ids): sorted member ids.
-
-    A story of up to ``ids_per_part`` members is one array. A larger one is spread over parts by
-    a hash of the id, so no task collects the whole group and nothing is left out.
-    """
-    sizes = members.groupBy("story_id").agg(
-        F.ceil(F.count("*") / params.ids_per_part).cast("int").alias("parts")
-    )
-    part = F.pmod(F.xxhash64("global_event_id"), F.col("parts")).cast("int")
-    return (
-        members.select("story_id", "global_event_id")
-        .join(sizes, "story_id")
-        .groupBy("story_id", "parts", part.alias("part"))
-        .agg(F.array_sort(F.collect_list("global_event_id")).alias("event_ids"))
-    )
+def story_event_ids(members: DataFrame) -> DataFrame:
+    """(story_id, global_event_id): one row per member, whatever the size of the story."""
+    return members.select("story_id", "global_event_id").distinct()
 
 
 def document_ids(event_ids: DataFrame) -> DataFrame:
-    """(story_id, doc_id): sha1 of the sorted ids joined by commas.
+    """(story_id, doc_id): a digest of the set of member ids, the same rule for every size.
 
-    For a story in several parts it is the sha1 of the parts' digests in order.
+    It is the sha1 of the number of ids and of four sums, of the 32-bit quarters of each id's md5, so
+    a task holds five numbers per story and parts combine in any order. It differs from a digest of
+    the listed ids.
     """
-    digest = F.sha1(F.array_join(F.transform("event_ids", lambda i: i.cast("string")), ","))
-    parts = event_ids.select("story_id", "parts", F.struct("part", digest.alias("d")).alias("p"))
-    combined = F.transform(F.array_sort("ps"), lambda p: p["d"])
-    return (
-        parts.groupBy("story_id", "parts")
-        .agg(F.collect_list("p").alias("ps"))
-        .select(
-            "story_id",
-            F.when(F.col("parts") == 1, F.get(combined, F.lit(0)))
-            .otherwise(F.sha1(F.array_join(combined, ",")))
-            .alias("doc_id"),
-        )
+    quarter = lambda i: F.conv(
+        F.substring(F.md5(F.col("global_event_id").cast("string").cast("binary")), 8 * i + 1, 8), 16, 10
+    ).cast("bigint")
+    sums = event_ids.groupBy("story_id").agg(
+        F.count("*").alias("n"), *[F.sum(quarter(i)).alias(f"q{i}") for i in range(4)]
     )
+    text = F.concat_ws(",", *[F.col(c).cast("string") for c in ("n", "q0", "q1", "q2", "q3")])
+    return sums.select("story_id", F.sha1(text).alias("doc_id"))
 
 
 def prompt_titles(members: DataFrame, limit: int = 8) -> DataFrame:

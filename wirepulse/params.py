@@ -42,8 +42,6 @@ class StoryParams:
     retention_hours: int = 72
     max_urls: int = 5
     max_prompt_titles: int = 8
-    # Member ids are kept as one sorted array up to this size and as several parts beyond it.
-    ids_per_part: int = 100_000
 
 
 @dataclass(frozen=True)

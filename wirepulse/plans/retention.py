@@ -1,13 +1,13 @@
 """Retention: roll expired months up, then drop them. Works on catalog tables.
 
-The landing log is a table partitioned by ``month``; the rollup is a plain table. The rollup is
+The landing log is a table partitioned by load and month, as ingest writes it; the rollup is a plain table. The rollup is
 written before anything is dropped and only adds absent keys, so a run that died in between can
 simply be repeated. A late backfill of a month that is already rolled up is not added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wirepulse.functions.timegrid import month_key
@@ -17,17 +17,18 @@ from wirepulse.sources.landing import merge_log
 
 
 def create_landing_table(log: DataFrame, table: str) -> None:
-    log.write.mode("append").partitionBy("month").saveAsTable(table)
+    """The log as a catalog table in the layout that ingest writes."""
+    log.write.mode("append").partitionBy("load_seq", "month").saveAsTable(table)
 
 
-def expired_months(
+def expired_partitions(
     spark: SparkSession, table: str, as_of, params: RetentionParams = RetentionParams()
-) -> list[str]:
-    """Month partitions before the cutoff, from the catalog's partition list (no data scan)."""
+) -> list[dict[str, str]]:
+    """Partitions of months before the cutoff, from the catalog's partition list (no data scan)."""
     bound = spark.range(1).select(month_key(first_kept(as_of, params))).first()[0]
     listed = spark.sql(f"SHOW PARTITIONS {table}").collect()
-    months = [row[0].split("=", 1)[1] for row in listed]
-    return sorted(m for m in months if m < bound)
+    specs = [dict(part.split("=", 1) for part in row[0].split("/")) for row in listed]
+    return sorted((s for s in specs if s["month"] < bound), key=lambda s: sorted(s.items()))
 
 
 def run_retention(
@@ -38,18 +39,17 @@ def run_retention(
     params: RetentionParams = RetentionParams(),
 ) -> dict:
     """Names of the dropped months and the number of rollup rows written."""
-    months = expired_months(spark, landing, as_of, params)
-    if not months:
+    expired = expired_partitions(spark, landing, as_of, params)
+    if not expired:
         return {"partitions_dropped": [], "rollup_rows_written": 0}
     old = merge_log(expired_rows(spark.table(landing), as_of, params))
     new = daily_rollup(old, params).withColumn("rolled_up_at", F.current_timestamp())
+    written = Observation()
     if spark.catalog.tableExists(rollup):
-        before = spark.table(rollup).count()
-        insert_absent(spark.table(rollup), new).write.mode("append").saveAsTable(rollup)
-    else:
-        before = 0
-        new.write.saveAsTable(rollup)
-    written = spark.table(rollup).count() - before
-    for month in months:
-        spark.sql(f"ALTER TABLE {landing} DROP IF EXISTS PARTITION (month = '{month}')")
-    return {"partitions_dropped": months, "rollup_rows_written": written}
+        new = insert_absent(spark.table(rollup), new)
+    new.observe(written, F.count("*").alias("rows")).write.mode("append").saveAsTable(rollup)
+    for spec in expired:
+        named = ", ".join(f"{column} = '{value}'" for column, value in spec.items())
+        spark.sql(f"ALTER TABLE {landing} DROP IF EXISTS PARTITION ({named})")
+    months = sorted({spec["month"] for spec in expired})
+    return {"partitions_dropped": months, "rollup_rows_written": written.get["rows"]}

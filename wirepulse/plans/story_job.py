@@ -53,18 +53,17 @@ def run_story_job(
     stories = st.label_stories(plain, responses, params).withColumn(
         "run_at", as_of_column(run_at)
     )
-    event_ids = st.story_event_ids(members, params)
+    event_ids = st.story_event_ids(members)
     documents = st.story_documents(stories, st.document_ids(event_ids))
     return StoryRun(members, stories, event_ids, documents, st.story_metrics(stories))
 
 
 def inline_event_ids(stories: DataFrame, event_ids: DataFrame) -> DataFrame:
-    """Stories with ``event_ids`` as one array, for a result already cut to an API limit.
-
-    A story in several parts gets NULL here and is read from the part table.
-    """
-    single = event_ids.filter("parts = 1").select("story_id", "event_ids")
-    return stories.join(single, "story_id", "left")
+    """Stories with ``event_ids`` as one sorted array, for a result already cut to an API limit: only
+    the ids of these stories are gathered, and all of them."""
+    shown = event_ids.join(stories.select("story_id"), "story_id", "left_semi")
+    lists = shown.groupBy("story_id").agg(F.array_sort(F.collect_list("global_event_id")).alias("event_ids"))
+    return stories.join(lists, "story_id", "left")
 
 
 def append_run(stories: DataFrame, path: str) -> None:

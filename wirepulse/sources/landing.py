@@ -56,15 +56,17 @@ def merge_log(log: DataFrame) -> DataFrame:
     """
     first = [*STABLE_COLUMNS, "ingested_at"]
     order = F.struct("load_seq", "cycle")
-    merged = log.groupBy(*KEY_COLUMNS).agg(
+    # The month follows from the key; as a grouping column it lets month filters reach the scan.
+    keys = [*KEY_COLUMNS, *(c for c in ("month",) if c in log.columns)]
+    merged = log.groupBy(*keys).agg(
         F.max_by(F.struct(*VOLATILE_COLUMNS), order).alias("_last"),
         F.min_by(F.struct(*first), order).alias("_first"),
         F.max(order).alias("_order"),
     )
-    picked = merged.select(*KEY_COLUMNS, "_last.*", "_first.*", "_order.*")
+    picked = merged.select(*keys, "_last.*", "_first.*", "_order.*")
+    month = F.col("month") if "month" in keys else month_key(F.col("date_added"))
     return picked.select(
-        *EVENT_COLUMNS, "ingested_at", "load_seq", "cycle",
-        month_key(F.col("date_added")).alias("month"),
+        *EVENT_COLUMNS, "ingested_at", "load_seq", "cycle", month.alias("month")
     )
 
 
