@@ -35,21 +35,19 @@ _FRAME = 16
 _MANIFEST = "file string, docs long, tokens long"
 
 
-def frames(payload: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def frames(payload: np.ndarray, lengths: np.ndarray) -> bytes:
     """The bytes of all frames of payloads that lie one after another."""
     starts = np.cumsum(lengths) - lengths
-    at = starts + _FRAME * np.arange(len(lengths))
-    out = np.empty(len(payload) + _FRAME * len(lengths), np.uint8)
-    head = lengths.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[at[:, None] + np.arange(8)] = head
-    eights = np.full(len(lengths), 8)
-    sums = masked(crc32c(head.ravel(), 8 * np.arange(len(lengths)), eights)).astype("<u4")
-    out[at[:, None] + np.arange(8, 12)] = sums.view(np.uint8).reshape(-1, 4)
-    inside = np.arange(len(payload)) + np.repeat(_FRAME * np.arange(len(lengths)) + 12, lengths)
-    out[inside] = payload
-    sums = masked(crc32c(payload, starts, lengths)).astype("<u4")
-    out[(at + 12 + lengths)[:, None] + np.arange(4)] = sums.view(np.uint8).reshape(-1, 4)
-    return out
+    head = lengths.astype("<u8").view(np.uint8)
+    places = 8 * np.arange(len(lengths))
+    head_sums = masked(crc32c(head, places, np.full(len(lengths), 8))).astype("<u4").tobytes()
+    sums = masked(crc32c(payload, starts, lengths)).astype("<u4").tobytes()
+    head, body = head.tobytes(), payload.tobytes()
+    parts = []
+    for i, (start, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+        four = slice(4 * i, 4 * i + 4)
+        parts += head[8 * i : 8 * i + 8], head_sums[four], body[start : start + n], sums[four]
+    return b"".join(parts)
 
 
 def payloads(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -61,9 +59,9 @@ def payloads(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarra
         sums = np.ascontiguousarray(data[sum_at[:, None] + np.arange(4)]).view("<u4").ravel()
         if not np.array_equal(sums, masked(crc32c(data, start, n))):
             raise ValueError("a record's checksum doesn't fit")
-    ends = np.cumsum(lengths)
-    inside = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at + 12 - ends + lengths, lengths)
-    return data[inside]
+    return np.concatenate(
+        [data[:0], *(data[a : a + n] for a, n in zip((at + 12).tolist(), lengths.tolist(), strict=True))]
+    )
 
 
 def write_records(
@@ -90,7 +88,7 @@ def write_records(
             ids, ends = with_end(*encoder.encode(data, offsets), end)
             counts = np.diff(ends)
             lengths = counts * kind.itemsize
-            sink.write(frames(ids.astype(kind).view(np.uint8), lengths).tobytes())
+            sink.write(frames(ids.astype(kind).view(np.uint8), lengths))
             keys = rows.column(key).cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             places = at + np.cumsum(lengths + _FRAME) - lengths - _FRAME
             entries.append(np.stack([keys, places, counts], axis=1).astype("<i8"))
@@ -154,7 +152,9 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
             for file, start in zip(part.column("file").to_pylist(), part.column("start").to_pylist(), strict=True):
                 yield from _pieces(path, file, start, with_ids)
 
-    return manifest(spark, path).select("file", "start").repartition("file").mapInArrow(read, schema)
+    files = manifest(spark, path).select("file", "start")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "file").mapInArrow(read, schema)
 
 
 def _pieces(path: str, file: str, start: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
