@@ -239,4 +239,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     files = spark.read.schema(_FILES).parquet(f"{path}/manifest")
-    return files.select("file").repartition("file").mapInArrow(read, _RECORDS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file").repartition(tasks, "file").mapInArrow(read, _RECORDS)
