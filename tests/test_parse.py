@@ -134,3 +134,15 @@ def test_json_lines_round_trip(spark, tmp_path):
     columns = back.columns
     assert sorted(map(str, back.collect())) == sorted(map(str, good.select(*columns).collect()))
     assert back.filter(F.col("date_added") == F.lit("2026-07-04 12:00:00")).count() == 2
+
+
+def test_both_readers_break_lines_alike(spark, tmp_path):
+    content = "a\rb\nc\r\nd\x0be\x85f\u2028g\n\nh\r"
+    want = content.splitlines()
+    (tmp_path / "x.csv").write_bytes(content.encode())
+    (tmp_path / "zips").mkdir()
+    with zipfile.ZipFile(tmp_path / "zips" / "x.zip", "w") as archive:
+        archive.writestr("x.csv", content.encode())
+    plain = read_lines(spark, str(tmp_path / "x.csv")).orderBy("line_no").collect()
+    zipped = read_zipped_lines(spark, str(tmp_path / "zips")).orderBy("line_no").collect()
+    assert [r.value for r in plain] == [r.value for r in zipped] == want

@@ -69,9 +69,14 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def zip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export lines zipped into files, read back from the files."""
+    folder = fresh_path(spark, "zips")
     lines = inputs.event_lines(spark, sf_dir).select(F.col("cycle").alias("path"), "value")
-    unpacked = text_files.unzip_lines(text_files.zip_lines(lines))
-    return unpacked.groupBy("cycle").agg(
+    written = text_files.write_zips(text_files.zip_lines(lines), folder)
+    written.write.parquet(fresh_path(spark, "zip-names"))
+    unpacked = text_files.read_zipped_lines(spark, folder)
+    cycle = F.regexp_extract("cycle", r"([^/]*)\.[0-9a-f]{32}\.zip$", 1)
+    return unpacked.groupBy(cycle.alias("cycle")).agg(
         F.count("*").alias("lines"),
         F.sum(F.length("value")).alias("chars"),
         F.min(F.md5("value")).alias("first_digest"),
@@ -126,6 +131,15 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("run_at", F.to_timestamp_ntz("cycle"))
 
 
+def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored log of the runs, written once a session."""
+
+    def write(path: str) -> None:
+        metrics.append_run(_runs(spark, sf_dir), path, "export")
+
+    return metrics.read_runs(spark, tables.stored(spark, sf_dir, "run_log", write))
+
+
 def _drops_text(column: str) -> Column:
     entries = F.array_sort(F.map_entries(column))
     return F.array_join(
@@ -143,7 +157,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.recent_runs(_runs(spark, sf_dir), 20).select(
+    return ev.recent_runs(_run_log(spark, sf_dir), 20).select(
         _txt("run_at"), "rows_fetched", "rows_parsed", "rows_rejected", "rows_loaded", "titles_matched"
     )
 
@@ -589,7 +603,7 @@ def story_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = ev.pipeline_stats(
-        tables.scored_events(spark, sf_dir), _daily_stories(spark, sf_dir), _runs(spark, sf_dir)
+        tables.scored_events(spark, sf_dir), _daily_stories(spark, sf_dir), _run_log(spark, sf_dir)
     )
     return stats.select("total_events", "total_stories", _txt("last_ingestion_at"), "last_ingestion_rows")
 

@@ -22,7 +22,7 @@ WHOLE_TABLE = StoryParams(window_hours=24 * 31)
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _PATHS:
         path = fresh_path(spark, name)
@@ -38,7 +38,7 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = inputs.raw_events(spark, sf_dir)
         write_scored(score(clean(raw), inputs.newest(spark, sf_dir)), path)
 
-    path = _stored(spark, sf_dir, "events_scored", write)
+    path = stored(spark, sf_dir, "events_scored", write)
     return spark.read.schema(SCORED_SCHEMA).parquet(path)
 
 
@@ -49,5 +49,5 @@ def story_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = scored_events(spark, sf_dir)
         cluster_events(events, inputs.newest(spark, sf_dir), params=WHOLE_TABLE).write.parquet(path)
 
-    path = _stored(spark, sf_dir, "story_members", write)
+    path = stored(spark, sf_dir, "story_members", write)
     return spark.read.schema(SCORED_SCHEMA + ", story_id bigint").parquet(path)

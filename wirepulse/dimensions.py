@@ -321,15 +321,6 @@ def codes_for_themes(themes: list[str]) -> list[str]:
     return sorted({code for theme in themes for code in THEMES[theme][1]})
 
 
-def themes_df(spark: SparkSession) -> DataFrame:
-    rows = [(key, label, codes) for key, (label, codes) in THEMES.items()]
-    return spark.createDataFrame(rows, "theme string, label string, codes array<string>")
-
-
-def countries_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COUNTRIES, "code string, name string")
-
-
 def places_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         PLACES, "kind string, name string, lat double, lon double, altitude double"

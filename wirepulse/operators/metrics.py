@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirepulse.functions.timegrid import CYCLE_MINUTES, cycle_key, floor_minutes
 from wirepulse.operators.ranking import top_k_per_group
 from wirepulse.operators.validate import DUPLICATE, rule_reason
+from wirepulse.schemas import RUN_SCHEMA
 
 
 def run_metrics(classified: DataFrame, titles: DataFrame, batch: str = "cycle") -> DataFrame:
@@ -72,11 +73,16 @@ def _drops(reason: Column, rows: Column) -> Column:
 def append_run(metrics: DataFrame, path: str, source: str, seconds: Column | None = None) -> None:
     """Append run rows (``run_at`` is the cycle's time) to the metrics log."""
     duration = seconds if seconds is not None else F.lit(0.0)
-    metrics.withColumns({"source": F.lit(source), "duration_seconds": duration}).write.mode(
+    columns = [c.split()[0] for c in RUN_SCHEMA.split(", ")]  # no blank inside a type
+    metrics.withColumns({"source": F.lit(source), "duration_seconds": duration}).select(columns).write.mode(
         "append"
     ).parquet(path)
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RUN_SCHEMA).parquet(path)
+
+
 def cycle_counts(events: DataFrame) -> DataFrame:
     """(cycle, rows) per quarter hour that has rows."""
     return events.groupBy(cycle_key(F.col("date_added")).alias("cycle")).agg(

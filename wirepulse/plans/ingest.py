@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirepulse.operators.clean import clean, score
 from wirepulse.operators.validate import validate_batch
-from wirepulse.params import ScoreParams
 from wirepulse.sources.event_export import classify_lines, good_rows
-from wirepulse.sources.landing import merge_log
 
 
 def attach_titles(events: DataFrame, titles: DataFrame, *keys: str) -> DataFrame:
@@ -30,8 +27,3 @@ def ingest(lines: DataFrame, titles: DataFrame, *title_keys: str) -> tuple[DataF
     classified = classify_lines(lines)
     valid = validate_batch(good_rows(classified))
     return classified, attach_titles(valid, titles, *title_keys)
-
-
-def scored_events(log: DataFrame, as_of, params: ScoreParams = ScoreParams()) -> DataFrame:
-    """Landing log to scored layer in one lineage: merge, latest per id, rules, score."""
-    return score(clean(merge_log(log)), as_of, params)

@@ -15,6 +15,8 @@ SETTINGS = {
     # A skewed join is split even when that costs the shuffle of a later step.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Groups are cut to the request limit before the exchange.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # Larger generated methods are not compiled by HotSpot; wide projections run faster unfused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_SCHEMA = "cycle string, line_no bigint, value string"
 CHUNK_LINES = 10_000
+# Plain and zipped exports are split by one rule: at every Unicode line boundary. The readers split
+# at the line feed; these are the others, after a carriage return that belongs to a line feed.
+OTHER_BREAKS = r"[\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
 def with_file_positions(lines: DataFrame) -> DataFrame:
@@ -21,12 +26,13 @@ def with_file_positions(lines: DataFrame) -> DataFrame:
     """
     path = F.col("_metadata.file_path")
     cycle = F.col("cycle").cast("string") if "cycle" in lines.columns else path
+    # Bad bytes become U+FFFD instead of losing the row.
+    text = F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", "")
     return lines.select(
         cycle.alias("cycle"),
         path.alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        # Bad bytes become U+FFFD instead of losing the row.
-        F.make_valid_utf8("value").alias("value"),
+        F.explode(F.split(text, OTHER_BREAKS)).alias("value"),
     )
 
 
@@ -38,7 +44,7 @@ def number_lines(positioned: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return number_lines(with_file_positions(spark.read.text(path)))
+    return number_lines(with_file_positions(spark.read.text(path, lineSep="\n")))
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,8 +57,8 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     chunk: list[str] = []
                     done = 0
                     for line in text:
-                        chunk.append(line.rstrip("\n"))
-                        if len(chunk) == CHUNK_LINES:
+                        chunk += line.splitlines()
+                        if len(chunk) >= CHUNK_LINES:
                             yield _chunk_frame(path, done, chunk)
                             done += len(chunk)
                             chunk = []
@@ -88,3 +94,21 @@ def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def zip_lines(lines: DataFrame) -> DataFrame:
     """Pack (path, value) rows into archives, one per path and Arrow batch."""
     return lines.select("path", "value").mapInPandas(_zip, "path string, content binary")
+
+
+def write_zips(archives: DataFrame, path: str) -> DataFrame:
+    """Writes (path, content) rows as files below ``path``, named by path and content, and returns
+    their names; a task that runs again writes the same files."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            names = []
+            for name, content in zip(batch["path"], batch["content"]):
+                names.append(f"{name}.{hashlib.md5(content).hexdigest()}.zip")
+                with store.open_output_stream(f"{base}/{names[-1]}") as sink:
+                    sink.write(content)
+            yield pd.DataFrame({"file": names})
+
+    return archives.mapInPandas(write, "file string")

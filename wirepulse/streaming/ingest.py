@@ -64,7 +64,7 @@ def start_ingest(
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = with_file_positions(reader.text(lines_path))
+    lines = with_file_positions(reader.text(lines_path, lineSep="\n"))
     writer = lines.writeStream.foreachBatch(batch_writer(landing_path, titles, first)).option(
         "checkpointLocation", checkpoint_path
     )
