@@ -61,4 +61,52 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id <> last_id then last_id end as refers_to from g
 """
 
-ORACLES = {"op1_url_filter": URL_FILTER, "op5_quality_rules": QUALITY_RULES, "op8_warc": WARC}
+NGRAM_JOIN = f"""
+with recursive w as (select row_number() over () as row_id, doc_id, {_WORDS.format(_LOWER.format("text"))} as w
+    from documents),
+shingles as (select distinct row_id, h from (
+    select row_id, hash(list_slice(w, i, i + 2)) as h
+    from (select row_id, w, unnest(generate_series(1, len(w) - 2)) as i from w where len(w) >= 3)
+    union all select row_id, hash(w) from w where len(w) between 1 and 2)),
+sizes as (select row_id, count(*) as n from shingles group by row_id),
+common as (select a.row_id as u, b.row_id as v, count(*) as c from shingles a join shingles b using (h)
+    where a.row_id < b.row_id group by 1, 2),
+links as (select u, v from common join sizes x on x.row_id = u join sizes y on y.row_id = v
+    where 100 * c >= 90 * (x.n + y.n - c)),
+edges as (select u, v from links union select v, u from links),
+reach(u, v) as (select row_id, row_id from w union select r.u, e.v from reach r join edges e on r.v = e.u)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, min(t.doc_id) as component_id
+from reach join w d on d.row_id = reach.u join w t on t.row_id = reach.v left join sizes s on s.row_id = d.row_id
+group by d.row_id, d.doc_id, s.n
+"""
+
+_PLAIN = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 3, 5, 6, 9))
+_SEEDS = "[" + ", ".join(f"hash([{', '.join(f'w[i + {p}]' for p in m)}])" for m in _MASKS) + "]"
+DECONTAMINATION = f"""
+with d as (select doc_id, {_PLAIN} as w from documents), b as (select item_id, {_PLAIN} as w from benchmark),
+dw as (select doc_id, unnest(generate_series(1, len(w) - 9)) as i, w from d where len(w) >= 10),
+bw as (select item_id, unnest(generate_series(1, len(w) - 9)) as i, w from b where len(w) >= 10),
+ds as (select doc_id, i, unnest({_SEEDS}) as seed, unnest([0, 1, 2]) as mask from dw),
+bs as (select item_id, i, unnest({_SEEDS}) as seed, unnest([0, 1, 2]) as mask from bw),
+hits as (select distinct doc_id, item_id, ds.i - bs.i as shift from ds join bs using (seed, mask)),
+pairs as (select h.*, j, (j + shift between 1 and len(d.w)) and d.w[j + shift] = b.w[j] as same, len(b.w) as n
+    from (select h.*, unnest(generate_series(1, len(b.w))) as j from hits h join b using (item_id)) h
+    join d using (doc_id) join b using (item_id)),
+sums as (select *, sum(case when same then 1 else -2 end) over o as s, sum(same::int) over o as m from pairs
+    window o as (partition by doc_id, item_id, shift order by j)),
+starts as (select *, min([s - (case when same then 1 else -2 end), -j, m - same::int]) over (
+    partition by doc_id, item_id, shift order by j) as low from sums),
+best as (select doc_id, item_id, shift, any_value(n) as n,
+    max([s - low[1], -j, m - low[3]]) as best from starts group by doc_id, item_id, shift)
+select doc_id, item_id, max(best[1])::int as score, max(best[3])::int as n_matched from best
+group by doc_id, item_id having max(best[1]) >= least(12.0, 0.7 * any_value(n))
+"""
+
+ORACLES = {
+    "op1_url_filter": URL_FILTER,
+    "op3_ngram_join": NGRAM_JOIN,
+    "op5_quality_rules": QUALITY_RULES,
+    "op8_warc": WARC,
+    "op9_decontamination": DECONTAMINATION,
+}
