@@ -40,7 +40,7 @@ def test_scope_and_fallback(spark, index):
         ask(spark, "What is happening in India?", "What is happening in Zimbabwe?", "anything"), hashed_words
     )
     assert [r.country for r in asked.orderBy("question_id").collect()] == ["IN", "ZI", None]
-    hits = retrieval.with_fallback(retrieval.nearest_entries(asked, index)).collect()
+    hits = retrieval.nearest_with_fallback(asked, index).collect()
     by_question = {q: {h.id for h in hits if h.question_id == q} for q in range(3)}
     assert by_question == {0: {"1", "5"}, 1: set("12345"), 2: set("12345")}
 
@@ -95,3 +95,19 @@ def test_upsert_replaces_the_whole_entry(spark):
 def test_country(spark, text, code):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(detect_country(F.col("t"))).first()[0] == code
+
+
+def test_all_entries_are_searched_only_where_needed(spark):
+    asked = spark.createDataFrame(
+        [(1, [1.0, 0.0], "US"), (2, [1.0, 0.0], "ZI"), (3, [0.0, 1.0], None)],
+        "question_id bigint, vector array<double>, country string",
+    )
+    index = spark.createDataFrame(
+        [("a", [1.0, 0.0], "FR"), ("b", [0.6, 0.8], "US"), ("c", [0.0, 1.0], None)],
+        "id string, embedding array<double>, country_code string",
+    )
+    rows = retrieval.nearest_with_fallback(asked, index, k=2).collect()
+    got = sorted((r.question_id, r.scoped, r.rank, r.id) for r in rows)
+    assert got == [
+        (1, True, 1, "b"), (2, False, 1, "a"), (2, False, 2, "b"), (3, False, 1, "c"), (3, False, 2, "b"),
+    ]

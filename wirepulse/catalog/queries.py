@@ -678,8 +678,8 @@ def knn_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def knn_country_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nearest = retrieval.nearest_entries(_prepared_questions(spark, sf_dir), _index(spark, sf_dir))
-    return _nearest(retrieval.with_fallback(nearest), "scoped")
+    nearest = retrieval.nearest_with_fallback(_prepared_questions(spark, sf_dir), _index(spark, sf_dir))
+    return _nearest(nearest, "scoped")
 
 
 @register

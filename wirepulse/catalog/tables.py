@@ -16,8 +16,8 @@ from wirepulse.plans.story_job import cluster_events
 from wirepulse.schemas import SCORED_SCHEMA
 from wirepulse.session import fresh_path
 
-# The driver's tables span one month; stories of the whole table use a window that covers it.
-WHOLE_TABLE = StoryParams(window_hours=24 * 31)
+# Stories of the whole table, whatever time it spans.
+WHOLE_TABLE = StoryParams(window_hours=None)
 
 _PATHS: dict[tuple[str, str, str], str] = {}
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirepulse.functions.geo import detect_country
@@ -40,47 +40,69 @@ def _rows(table: pa.Table, role: int) -> pa.Table:
 
 
 def _nearest(k: int) -> Callable[[pa.Table], pa.Table]:
+    """Of a cell, each question's ``k`` nearest entries and those tied with the last of them."""
+
     def rank(table: pa.Table) -> pa.Table:
         questions, entries = _rows(table, 0), _rows(table, 1)
-        asked, found, scopes, values = [], [], [], []
-        if questions.num_rows and entries.num_rows:
-            q_ids = [int(i) for i in questions.column("id").to_pylist()]
-            e_ids = entries.column("id").to_numpy(zero_copy_only=False)
-            q_scope = np.array(questions.column("country").to_pylist(), dtype=object)
-            e_scope = np.array(entries.column("country").to_pylist(), dtype=object)
-            members = {c: np.flatnonzero(e_scope == c) for c in set(q_scope) if c is not None}
-            everything = np.arange(len(e_ids))
-            left, right = to_matrix(questions.column("vector")), to_matrix(entries.column("vector"))
-            for start, sims in similarity_chunks(left, right):
-                for row in range(len(sims)):
-                    scope = q_scope[start + row]
-                    pools = [(False, everything)]
-                    if scope is not None:
-                        pools.append((True, members[scope]))
-                    for scoped, pool in pools:
-                        values_of = sims[row, pool]
-                        if len(pool) > k:
-                            # Keep every entry tied with the k-th value before cutting by id.
-                            kth = np.partition(values_of, len(pool) - k)[len(pool) - k]
-                            keep = values_of >= kth
-                            pool, values_of = pool[keep], values_of[keep]
-                        best = pool[np.argsort(-values_of, kind="stable")[:k]]
-                        asked.extend([q_ids[start + row]] * len(best))
-                        found.extend(e_ids[best])
-                        scopes.extend([scoped] * len(best))
-                        values.extend(sims[row, best])
+        asked, found, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        left, right = to_matrix(questions.column("vector")), to_matrix(entries.column("vector"))
+        for start, sims in similarity_chunks(left, right):
+            if sims.shape[1] > k:
+                last = sims.shape[1] - k
+                near = sims >= np.partition(sims, last, axis=1)[:, last : last + 1]
+            else:
+                near = np.ones_like(sims, bool)
+            row, column = np.nonzero(near)
+            asked.append(start + row)
+            found.append(column)
+            values.append(sims[row, column])
         return pa.table(
             {
-                "question_id": pa.array(asked, pa.int64()),
-                "id": pa.array(found, pa.string()),
-                "scoped": pa.array(scopes, pa.bool_()),
-                "similarity": pa.array(values, pa.float64()),
+                "question_id": pc.cast(questions.column("id").take(pa.array(np.concatenate(asked))), pa.int64()),
+                "id": entries.column("id").take(pa.array(np.concatenate(found))),
+                "similarity": pa.array(np.concatenate(values), pa.float64()),
             }
         )
 
     return rank
 
 
+def _search(
+    questions: DataFrame, index: DataFrame, scope: str | None, k: int, question_block: int, entry_block: int
+) -> DataFrame:
+    """(question_id, scoped, rank, id, similarity) of the nearest entries among those with the same
+    value in column ``scope`` of both sides, or among all.
+
+    Each scope's questions and entries are cut into as many blocks as their numbers ask for, so a
+    large scope is many cells and small ones are a cell each.
+    """
+    name = F.col(scope) if scope else F.lit("")
+    q, e = questions.withColumn("_scope", name), index.withColumn("_scope", name)
+    blocks = (
+        q.groupBy("_scope").agg(F.ceil(F.count("*") / question_block).cast("int").alias("qs"))
+        .join(e.groupBy("_scope").agg(F.ceil(F.count("*") / entry_block).cast("int").alias("es")), "_scope")
+    )
+    sides = []
+    for side, key, own, other, mine, vector, role in (
+        (q, "question_id", "qb", "eb", "qs", "vector", 0), (e, "id", "eb", "qb", "es", "embedding", 1)
+    ):
+        opposite = "es" if mine == "qs" else "qs"
+        sides.append(
+            side.join(blocks, "_scope").select(
+                "_scope", F.pmod(F.xxhash64(key), F.col(mine)).cast("int").alias(own),
+                F.explode(F.sequence(F.lit(0), F.col(opposite) - 1)).alias(other),
+                F.lit(role).alias("role"), F.col(key).cast("string").alias("id"), F.col(vector).alias("vector"),
+            )
+        )
+    partial = (
+        sides[0].unionByName(sides[1]).groupBy("_scope", "qb", "eb")
+        .applyInArrow(_nearest(k), "question_id bigint, id string, similarity double")
+        .withColumn("scoped", F.lit(scope is not None))
+    )
+    order = [F.desc("similarity"), F.asc("id")]
+    return top_k_per_group(partial, ["question_id", "scoped"], order, k, ["id"], rank="rank")
+
+
 def nearest_entries(
     questions: DataFrame,
     index: DataFrame,
@@ -94,43 +116,31 @@ def nearest_entries(
     embedding, country_code. Every question gets its unscoped top ``k``; one with a country also
     gets the top ``k`` among entries of that country. Ties go to the smaller id.
     """
-    q_blocks = max(1, -(-questions.count() // question_block))
-    e_blocks = max(1, -(-index.count() // entry_block))
-    q = questions.select(
-        F.explode(F.sequence(F.lit(0), F.lit(e_blocks - 1))).alias("eb"),
-        F.pmod(F.xxhash64("question_id"), F.lit(q_blocks)).cast("int").alias("qb"),
-        F.lit(0).alias("role"),
-        F.col("question_id").cast("string").alias("text_id"),
-        "vector",
-        "country",
-    )
-    e = index.select(
-        F.pmod(F.xxhash64("id"), F.lit(e_blocks)).cast("int").alias("eb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-        F.lit(1).alias("role"),
-        F.col("id").alias("text_id"),
-        F.col("embedding").alias("vector"),
-        F.col("country_code").alias("country"),
-    )
-    cells = q.unionByName(e).withColumnRenamed("text_id", "id")
-    partial = cells.groupBy("qb", "eb").applyInArrow(
-        _nearest(k), "question_id bigint, id string, scoped boolean, similarity double"
-    )
-    order = [F.desc("similarity"), F.asc("id")]
-    return top_k_per_group(partial, ["question_id", "scoped"], order, k, ["id"], rank="rank")
+    scoped = _in_country(questions, index, k, question_block, entry_block)
+    return _search(questions, index, None, k, question_block, entry_block).unionByName(scoped)
 
 
-def with_fallback(nearest: DataFrame) -> DataFrame:
-    """The scoped entries of a question if there are any, else the unscoped ones.
+def _in_country(
+    questions: DataFrame, index: DataFrame, k: int, question_block: int, entry_block: int
+) -> DataFrame:
+    named = questions.filter(F.col("country").isNotNull())
+    entries = index.withColumn("country", F.col("country_code")).filter(F.col("country").isNotNull())
+    return _search(named, entries, "country", k, question_block, entry_block)
 
-    At most ``2 * k`` rows meet per question.
-    """
-    any_scoped = F.max("scoped").over(Window.partitionBy("question_id"))
-    return (
-        nearest.withColumn("_any", any_scoped)
-        .filter(F.col("scoped") == F.col("_any"))
-        .drop("_any")
-    )
+
+def nearest_with_fallback(
+    questions: DataFrame,
+    index: DataFrame,
+    k: int = TOP_K,
+    question_block: int = QUESTION_BLOCK,
+    entry_block: int = ENTRY_BLOCK,
+) -> DataFrame:
+    """The same, with the entries of a question's country only; all entries are searched just for
+    questions that name no country or one without entries."""
+    countries = index.select(F.col("country_code").alias("country")).distinct()
+    without = questions.join(countries, "country", "left_anti")
+    scoped = _in_country(questions, index, k, question_block, entry_block)
+    return scoped.unionByName(_search(without, index, None, k, question_block, entry_block))
 
 
 def embed_questions(questions: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
@@ -170,5 +180,5 @@ def answer_questions(
     Generating the answer from the prompt is left to the caller.
     """
     prepared = embed_questions(questions, embed)
-    hits = with_fallback(nearest_entries(prepared, index, k))
+    hits = nearest_with_fallback(prepared, index, k)
     return answer_context(questions, hits, index)

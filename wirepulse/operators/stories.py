@@ -22,10 +22,12 @@ from wirepulse.session import shared_dir
 Instant = datetime | str | Column
 
 
-def story_input(scored: DataFrame, run_at: Instant, window_hours: int = 6) -> DataFrame:
-    """Titled events of the last ``window_hours``; there is no upper bound in time."""
-    start = as_of_column(run_at) - F.make_dt_interval(hours=F.lit(window_hours))
-    return time_filter(scored, start).filter(F.col("page_title").isNotNull())
+def story_input(scored: DataFrame, run_at: Instant, window_hours: int | None = 6) -> DataFrame:
+    """Titled events of the last ``window_hours``, or of all time; there is no upper bound."""
+    titled = scored.filter(F.col("page_title").isNotNull())
+    if window_hours is None:
+        return titled
+    return time_filter(titled, as_of_column(run_at) - F.make_dt_interval(hours=F.lit(window_hours)))
 
 
 def title_nodes(events: DataFrame) -> DataFrame:

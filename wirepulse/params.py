@@ -36,7 +36,7 @@ class ScoreParams:
 
 @dataclass(frozen=True)
 class StoryParams:
-    window_hours: int = 6
+    window_hours: int | None = 6  # None: all time
     threshold: float = 0.6
     max_labels: int = 25
     retention_hours: int = 72
