@@ -6,14 +6,14 @@ sets agree on whole sections (the pigeonhole principle), and the sets that agree
 group. The group's token union bounds the overlap of a set with every member at once, and only groups
 whose bound reaches the overlap that a link needs are opened and compared member by member.
 
-Only links that join different components matter, so the comparisons come in rounds: each set with
-the pivot it shares most sections with, then with its other pivots, then the sets of a group that are
-still in other components than its pivot with the members of the group, in blocks.
+Only links that join different components matter, so the comparisons come in two rounds: each set
+with the pivots of its groups, then the sets of a group that are still in other components than its
+pivot with the members of the group, in blocks.
 
-Sections that many sets agree on because they are empty or lie inside a shared passage say little.
+Sections that many sets agree on, because they are empty or lie inside a shared passage, say little.
 There are ``1 + spare`` more sections than linked sets can differ in, so linked sets agree on more
-than ``spare`` of them; a set with at most ``spare`` such hot sections leaves them out and loses no
-link. Nothing is capped: groups of every size are compared.
+than ``spare`` of them, and every set leaves out its largest groups up to that number without losing a
+link. Nothing is capped: the groups that stay are compared whatever their size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirepulse.llm.common import Words, blocks, mix, shingles, stored
@@ -35,8 +35,9 @@ from wirepulse.operators.components import connected_components
 BUCKETS = 512
 # A section with more sets is hot; blocks of a hot group hold about as many.
 HOT = 64
-_ENTRIES = "bucket int, low binary, high binary, docs binary, sig binary, doc binary, pivot binary"
-_AGREED = "sig long, doc long, pivot long"
+_ENTRIES = "bucket int, low binary, high binary, docs binary, frequent binary, sig binary, doc binary"
+_AGREED = "sig long, doc long, size long, n long"
+_LARGE = 1 << 40  # stands for the size of a large group
 _CLASS_RATIO = 1.5
 _SIZES = [1]
 while _SIZES[-1] < 1 << 40:
@@ -65,7 +66,8 @@ class JoinRule:
         out = []
         for c in range(own, most + 1):
             differ = 2 * (_SIZES[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            out.append((c, differ + 1 + (differ + 1) // 8, (differ + 1) // 8))
+            spare = (differ + 1) // 4
+            out.append((c, differ + 1 + spare, spare))
         return out
 
 
@@ -76,12 +78,13 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarr
         yield np.unique(hashes[a:b])
 
 
-def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def _set_id(tokens: np.ndarray) -> int:
+    """A 64-bit digest that names a set; equal sets have the same name."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def shingle_sets(df: DataFrame, rule: JoinRule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n, digest): size and digest of each document's shingle set."""
+    """(doc, n, set): size and name of each document's shingle set."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, text):
@@ -89,44 +92,40 @@ def shingle_sets(df: DataFrame, rule: JoinRule, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(key).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([_digest(x) for x in sets], pa.binary()),
+                    pa.array([_set_id(x) for x in sets], pa.int64()),
                 ],
-                ["doc", "n", "digest"],
+                ["doc", "n", "set"],
             )
 
-    return df.select(key, text).mapInArrow(measure, "doc long, n long, digest binary")
+    return df.select(key, text).mapInArrow(measure, "doc long, n long, set long")
 
 
-def _sections(tokens: np.ndarray, rule: JoinRule) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sections of a set in its schemes, and the spare number of each."""
-    signatures, spares = [], []
+def _sections(tokens: np.ndarray, rule: JoinRule) -> np.ndarray:
+    """Signatures of the sections of a set in its schemes."""
+    signatures = []
     mixed = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D))
-    for c, count, spare in rule.schemes(len(tokens)):
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+    for c, count, _ in rule.schemes(len(tokens)):
         section = ((tokens >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-        starts = np.searchsorted(section, np.arange(count))  # tokens are sorted, so sections are
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
-        sums = sums[np.append(starts[1:], len(tokens))] - sums[starts]
+        starts = np.searchsorted(section, np.arange(count + 1))  # tokens are sorted, so sections are
         name = np.uint64(c << 32) + np.arange(count, dtype=np.uint64)
-        signatures.append(mix(sums ^ mix(name + np.uint64(1))))
-        spares.append(np.full(count, spare))
-    return np.concatenate(signatures), np.concatenate(spares)
+        signatures.append(mix(sums[starts[1:]] - sums[starts[:-1]] ^ mix(name + np.uint64(1))))
+    return np.concatenate(signatures)
 
 
-def _pack(signatures: np.ndarray, docs: np.ndarray) -> Iterator[dict]:
-    """A row for each bucket with its entries: signature bits as 4 and 2 bytes, document ids as 4
-    bytes above the smallest where that is enough."""
+def _pack(signatures: np.ndarray, docs: np.ndarray, frequent: np.ndarray) -> Iterator[dict]:
+    """A row for each bucket with its entries: signature bits as 4 and 2 bytes, the set, and whether
+    it stands for others."""
     bucket = (signatures >> np.uint64(55)).astype(np.int64)
     order = np.lexsort((docs, bucket))
     ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
     for b in np.flatnonzero(np.diff(ends)):
         own = order[ends[b] : ends[b + 1]]
-        sig, doc = signatures[own], docs[own]
-        near = doc - doc[0]
-        ids = near if near[-1] >> 32 else near.astype(np.uint32)
+        sig = signatures[own]
         yield {
             "bucket": int(b), "low": (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
             "high": (sig >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-            "docs": doc[:1].tobytes() + ids.tobytes(), "sig": None, "doc": None, "pivot": None,
+            "docs": docs[own].tobytes(), "frequent": frequent[own].tobytes(), "sig": None, "doc": None,
         }
 
 
@@ -134,23 +133,22 @@ def _unpack(bucket: int, low: bytes, high: bytes, docs: bytes) -> tuple[np.ndarr
     lows = np.frombuffer(low, np.uint32).astype(np.uint64)
     sig = lows | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
     sig |= np.uint64(bucket) << np.uint64(48)
-    kind = np.int64 if len(docs) == 8 + 8 * len(lows) else np.uint32
-    return sig, np.frombuffer(docs, np.int64, 1)[0] + np.frombuffer(docs, kind, offset=8).astype(np.int64)
+    return sig, np.frombuffer(docs, np.int64)
 
 
-def agreed_sections(df: DataFrame, rule: JoinRule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(sig, doc, pivot): the documents that agree with another on a section, with the smallest
-    document seen with it; the pivots themselves are among the rows.
+def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFrame:
+    """(sig, doc, size, n): the sets that agree with another on a section, and the number of sets that
+    do. Sections that the same few sets agree on are one group, of ``n`` sections.
 
-    A section that more than ``HOT`` documents of one task share is summed there: its smallest
-    document stands for the others in the exchange, and they go to tasks of their own.
+    A section that more than ``HOT`` sets of one task share is summed there: its smallest set stands
+    for the others in the exchange, and they go to tasks of their own.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("bucket", pa.int32()), *((c, pa.binary()) for c in ("low", "high", "docs", "sig", "doc", "pivot"))]
-        )
+        binary = ("low", "high", "docs", "frequent", "sig", "doc")
+        schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in binary)])
         pending: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -163,26 +161,27 @@ def agreed_sections(df: DataFrame, rule: JoinRule, key: str = "doc_id", text: st
             place = np.arange(len(sig)) - np.repeat(first, counts)
             away = np.repeat(counts, counts) > HOT
             here = ~away | (place == 0)
-            rows = list(_pack(sig[here], doc[here]))
+            rows = list(_pack(sig[here], doc[here], away[here]))
             narrow = (sig >> np.uint64(55)) << np.uint64(48) | sig & np.uint64((1 << 48) - 1)
-            pivot = np.repeat(doc[first], counts)
             at = np.flatnonzero(away)
             for i in range(0, len(at), 4096):
                 some = at[i : i + 4096]
                 rows.append(
                     {
-                        "bucket": BUCKETS + int(doc[some[0]] % BUCKETS), "low": None, "high": None, "docs": None,
-                        "sig": narrow[some].tobytes(), "doc": doc[some].tobytes(), "pivot": pivot[some].tobytes(),
+                        "bucket": BUCKETS + int(doc[some[0]] % BUCKETS),
+                        "sig": narrow[some].tobytes(), "doc": doc[some].tobytes(),
                     }
                 )
             pending.clear()
+            seen.clear()
             return pa.RecordBatch.from_pylist(rows, schema)
 
-        for rows, data, offsets in blocks(batches, text):
-            ids = rows.column(key).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for doc, tokens in zip(ids, _sets(data, offsets, rule.size), strict=True):
-                if len(tokens):
-                    sig, _ = _sections(tokens, rule)
+        for _, data, offsets in blocks(batches, text):
+            for tokens in _sets(data, offsets, rule.size):
+                doc = _set_id(tokens)
+                if len(tokens) and doc not in seen:
+                    seen.add(doc)
+                    sig = _sections(tokens, rule)
                     pending.append((sig, np.full(len(sig), doc, np.int64)))
                     held += len(sig)
             if held > 2_000_000:
@@ -192,73 +191,136 @@ def agreed_sections(df: DataFrame, rule: JoinRule, key: str = "doc_id", text: st
             yield flush()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["sig"] is not None:
-                    yield pa.RecordBatch.from_pydict(
-                        {c: np.frombuffer(row[c], np.int64) for c in ("sig", "doc", "pivot")}
-                    )
+                    sig, doc = np.frombuffer(row["sig"], np.int64), np.frombuffer(row["doc"], np.int64)
+                    sizes = np.full(len(sig), _LARGE)
+                    yield pa.RecordBatch.from_pydict({"sig": sig, "doc": doc, "size": sizes, "n": np.ones_like(sig)})
                 else:
-                    found.append(_unpack(row["bucket"], row["low"], row["high"], row["docs"]))
+                    entries = _unpack(row["bucket"], row["low"], row["high"], row["docs"])
+                    found.append((*entries, np.frombuffer(row["frequent"], bool)))
         if not found:
             return
-        sig, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        sig, doc, frequent = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
+        sig, doc, frequent = sig[order], doc[order], frequent[order]
+        new = np.ones(len(sig), bool)  # the same set from several tasks is one
+        new[1:] = (np.diff(sig) != 0) | (np.diff(doc) != 0)
+        frequent = np.maximum.reduceat(frequent, np.flatnonzero(new))
+        sig, doc = sig[new], doc[new]
         first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
         counts = np.diff(np.append(first, len(sig)))
-        pivot = np.repeat(doc[first], counts)
-        several = np.repeat(counts > 1, counts)
+        large = (counts > HOT) | np.maximum.reduceat(frequent, first)
+        members = mix(np.add.reduceat(mix(doc.view(np.uint64)), first)) >> np.uint64(2) | np.uint64(1 << 62)
+        name = np.where(large, sig[first], members)
+        _, once, times = np.unique(name, return_index=True, return_counts=True)
+        sections = np.zeros(len(first), np.int64)
+        sections[once] = times
+        kept = np.repeat((sections > 0) & (large | (counts > 1)), counts)
+        name, size = np.repeat(name, counts), np.repeat(np.where(large, _LARGE, counts), counts)
         yield pa.RecordBatch.from_pydict(
-            {"sig": sig[several].view(np.int64), "doc": doc[several], "pivot": pivot[several]}
+            {
+                "sig": name[kept].view(np.int64), "doc": doc[kept], "size": size[kept],
+                "n": np.repeat(sections, counts)[kept],
+            }
         )
 
-    entries = df.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(emit, _ENTRIES)
-    return entries.repartition("bucket").mapInArrow(group, _AGREED)
+    entries = df.select(text).mapInArrow(emit, _ENTRIES)
+    return (
+        entries.repartition("bucket").mapInArrow(group, _AGREED)
+        # A set that several tasks met on a large section is one member of it.
+        .groupBy("sig", "doc").agg(
+            F.max("size").alias("size"), F.when(F.max("size") == _LARGE, F.max("n")).otherwise(F.sum("n")).alias("n")
+        )
+    )
+
+
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """The leading 16 bits of a set's tokens, of a large set 32, each value once."""
+    return np.unique((tokens >> np.uint64(48)).astype("<u2") if len(tokens) <= 2000 else (tokens >> np.uint64(32)).astype("<u4"))
+
+
+def _short_from(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if n <= 2000 else "<u4")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _most_common(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
+    """An upper bound of the intersection of two sets of nx and ny tokens, from their short forms."""
+    if x.dtype != y.dtype:
+        x, y = (np.unique(v >> 16).astype("<u2") if v.dtype == np.dtype("<u4") else v for v in (x, y))
+    return _common(x, y) + min(nx - len(x), ny - len(y))
+
+
+# Up to this many keys a list of documents is sent to every executor (some 40 bytes each).
+MOST_KEYS = 1_000_000
 
 
 def _tokens_of(df: DataFrame, docs: DataFrame, rule: JoinRule, key: str, text: str) -> DataFrame:
-    """(doc, tokens) of the documents named in ``docs``."""
+    """(doc, n, short, tokens): the sets of the documents whose keys are in ``docs``."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches, text):
-            sets = [x.tobytes() for x in _sets(data, offsets, rule.size)]
+        for _, data, offsets in blocks(batches, text):
+            sets = list(_sets(data, offsets, rule.size))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(key).cast(pa.int64()), pa.array(sets, pa.binary())], ["doc", "tokens"]
+                [
+                    pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([_short(x).tobytes() for x in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
+                ["doc", "n", "short", "tokens"],
             )
 
-    named = df.select(key, text).join(docs.select(F.col("doc").alias(key)), key, "left_semi")
-    return named.mapInArrow(collect, "doc long, tokens binary")
+    docs = stored(docs, "asked")
+    if docs.count() <= MOST_KEYS:
+        docs = F.broadcast(docs)
+    named = df.select(key, text).join(docs, key, "left_semi")
+    return named.mapInArrow(collect, "doc long, n long, short binary, tokens binary")
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
-    """The linked ones of the pairs (u, v)."""
+def _compared(pairs: DataFrame, tokens: DataFrame, column: str, same) -> DataFrame:
+    """The pairs (u, v) for which ``same`` holds of their sizes and a column of ``tokens``."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                good.append(rule.linked(_common(x, y), len(x), len(y)))
+            sides = (batch.column(c).to_pylist() for c in ("a", "an", "b", "bn"))
+            good = [same(*x) for x in zip(*sides, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    left = tokens.select(F.col("doc").alias("u"), F.col("tokens").alias("a"))
-    right = tokens.select(F.col("doc").alias("v"), F.col("tokens").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    def side(end: str, name: str) -> DataFrame:
+        own = tokens.select(F.col("doc").alias(end), F.col(column).alias(name), F.col("n").alias(f"{name}n"))
+        return own.join(pairs.select(end).distinct(), end, "left_semi")
 
+    joined = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return joined.select("u", "v", "a", "an", "b", "bn").mapInArrow(compare, "u long, v long")
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    return len(np.intersect1d(x, y, assume_unique=True))
 
+def _verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
+    """The linked ones of the pairs (u, v). Whole sets move only for pairs whose bound, from the short
+    forms, reaches the overlap that a link needs."""
+
+    def may(a: bytes, an: int, b: bytes, bn: int) -> bool:
+        return _most_common(_short_from(a, an), an, _short_from(b, bn), bn) >= rule.needed(an, bn)
 
-def open_groups(sets: pd.DataFrame, rule: JoinRule) -> list[tuple[int, int]]:
+    def are(a: bytes, an: int, b: bytes, bn: int) -> bool:
+        return rule.linked(_common(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), an, bn)
+
+    likely = stored(_compared(pairs, tokens, "short", may), "likely-pairs")
+    return _compared(likely, tokens, "tokens", are)
+
+
+def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list[tuple[int, int]]:
     """Links that join the components of some sets: rows of doc, comp, query (whether the set is
-    compared with the others, or only compared with) and tokens.
+    compared with the others, or only compared with), n and tokens.
 
     The matrix has a row of tokens for each group, here the sets of a component: their union. A query
     meets a group only if its overlap with the union reaches what a link with the group's smallest
-    set would need.
+    set would need. Of ``short`` forms the pairs are links that can't be ruled out.
     """
     parent = {c: c for c in sets["comp"]}
 
@@ -269,23 +331,31 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule) -> list[tuple[int, int]]:
         return c
 
     rows = [
-        (d, c, q, np.frombuffer(t, np.uint64))
-        for d, c, q, t in sets[["doc", "comp", "query", "tokens"]].itertuples(index=False)
+        (d, c, q, n, _short_from(t, n) if short else np.frombuffer(t, np.uint64))
+        for d, c, q, n, t in sets[["doc", "comp", "query", "n", "tokens"]].itertuples(index=False)
     ]
-    groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for d, c, _, t in rows:
-        groups.setdefault(c, []).append((d, t))
-    unions = {c: np.unique(np.concatenate([t for _, t in g])) for c, g in groups.items()}
-    smallest = {c: min(len(t) for _, t in g) for c, g in groups.items()}
+    groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for d, c, _, n, t in rows:
+        groups.setdefault(c, []).append((d, n, t))
+    # Short forms of different widths have no common union; such groups are opened.
+    unions = {
+        c: np.unique(np.concatenate([t for _, _, t in g])) if len({t.dtype for _, _, t in g}) == 1 else None
+        for c, g in groups.items()
+    }
+    smallest = {c: min(n for _, n, _ in g) for c, g in groups.items()}
     links = []
-    for d, c, q, t in rows:
+    for d, c, q, n, t in rows:
         if not q:
             continue
         for other, members in groups.items():
-            if root(other) == root(c) or _common(t, unions[other]) < rule.needed(len(t), smallest[other]):
+            union = unions[other]
+            if root(other) == root(c):
                 continue
-            for e, u in members:
-                if rule.linked(_common(t, u), len(t), len(u)):
+            if union is not None and union.dtype == t.dtype and _common(t, union) + n - len(t) < rule.needed(n, smallest[other]):
+                continue
+            for e, m, u in members:
+                common = _most_common(t, n, u, m) if short else _common(t, u)
+                if rule.linked(min(common, n, m), n, m):
                     links.append((d, e))
                     parent[root(other)] = root(c)
                     break
@@ -329,10 +399,22 @@ def _mixed_groups(agreed: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _opened(groups: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links that join components, from the groups in which the short forms don't rule them out."""
+
+    def qualify(sets: pd.DataFrame) -> pd.DataFrame:
+        some = open_groups(sets, rule, short=True)
+        return pd.DataFrame({"group": sets["group"].iloc[:1] if some else []}).astype(str)
+
     def compare(sets: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(sets, rule), columns=["u", "v"]).astype("int64")
 
-    return groups.join(tokens, "doc").groupBy("group").applyInPandas(compare, "u long, v long")
+    def with_sets(asked: DataFrame, column: str) -> DataFrame:
+        own = tokens.select("doc", "n", F.col(column).alias("tokens"))
+        return asked.join(own.join(asked.select("doc").distinct(), "doc", "left_semi"), "doc")
+
+    qualified = stored(with_sets(groups, "short").groupBy("group").applyInPandas(qualify, "group string"), "open-groups")
+    opened = groups.join(qualified, "group", "left_semi")
+    return with_sets(opened, "tokens").groupBy("group").applyInPandas(compare, "u long, v long")
 
 
 def similarity_components(
@@ -344,65 +426,53 @@ def similarity_components(
     A-Z is lower-cased and white space parts words. A text with fewer words than a shingle has its
     whole sequence as the only one; without words it has none and links with nothing. Null texts are
     empty. Keys are whole numbers; rows with a null key keep it and have no component, rows that repeat
-    a key with another text are told apart only by their sizes.
+    a key each have the component of their own text. Sets are told apart by 64-bit digests.
     """
     sets = stored(shingle_sets(df, rule, key, text), "shingle-sets")
-    one_of = sets.filter("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"))
-    copies = sets.filter("n > 0").join(one_of, "digest").filter("doc <> rep").select("doc", "rep").distinct()
-    agreed = agreed_sections(df, rule, key, text)
-    agreed = (
-        agreed.join(copies, "doc", "left")
-        .join(copies.select(F.col("doc").alias("pivot"), F.col("rep").alias("pivot_rep")), "pivot", "left")
-        .select("sig", F.coalesce("rep", "doc").alias("doc"), F.coalesce("pivot_rep", "pivot").alias("pivot"))
-        .groupBy("sig", "doc").agg(F.min("pivot").alias("pivot"))
-    )
-    agreed = stored(agreed, "agreed-sections")
-    agreed = stored(_without_hot(agreed, sets, rule), "section-groups")
-    tokens = stored(_tokens_of(df, agreed.select("doc").union(agreed.select("pivot")).distinct(), rule, key, text), "shingle-tokens")
-    tokens = tokens.dropDuplicates(["doc"])
+    named = sets.filter("n > 0 and doc is not null").groupBy("set").agg(F.min("doc").alias("rep"))
+    agreed = stored(_section_groups(agreed_sections(df.filter(F.col(key).isNotNull()), rule, text), sets, rule), "sections")
     nodes = agreed.select(F.col("doc").alias("id")).union(agreed.select("pivot")).distinct()
+    asked = named.join(nodes, F.col("set") == F.col("id"), "left_semi").select(F.col("rep").alias(key))
+    tokens = stored(_tokens_of(df, asked, rule, key, text), "shingle-tokens")
 
-    stars = agreed.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("n"))
-    best = stars.groupBy("doc").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    edges = stored(_verified(best.select(F.col("doc").alias("u"), F.col("pivot").alias("v")), tokens, rule), "links-1")
+    stars = stored(agreed.filter("doc <> pivot").select("doc", "pivot").distinct().toDF("u", "v"), "pairs")
+    edges = stored(_verified(stars, tokens, rule), "links")
 
     def components(found: DataFrame) -> DataFrame:
-        return stored(
-            connected_components(nodes, found.toDF("src", "dst")).select(F.col("id").alias("doc"), F.col("component").alias("comp")),
-            "set-components",
-        )
+        return stored(connected_components(nodes, found.toDF("src", "dst")).toDF("doc", "comp"), "set-components")
 
     comps = components(edges)
-    other = (
-        stars.join(comps, "doc").join(comps.select(F.col("doc").alias("pivot"), F.col("comp").alias("c")), "pivot")
-        .filter("comp <> c").select(F.col("doc").alias("u"), F.col("pivot").alias("v"))
-    )
-    edges = edges.union(stored(_verified(other, tokens, rule), "links-2"))
-    comps = components(edges)
-    last = stored(_opened(_mixed_groups(agreed, comps), tokens, rule), "links-3")
-    comps = components(edges.union(last)).filter("doc <> comp")
-    # The smallest key of a component is the smallest representative: copies have larger keys.
-    found = (
-        sets.join(copies, "doc", "left").withColumn("_r", F.coalesce("rep", "doc"))
-        .join(comps.select(F.col("doc").alias("_r"), "comp"), "_r", "left")
-    )
+    groups = stored(_mixed_groups(agreed, comps), "mixed-groups")
+    if not groups.isEmpty():
+        comps = components(edges.union(stored(_opened(groups, tokens, rule), "more-links")))
+    member = named.join(comps.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    smallest = member.groupBy("comp").agg(F.min("rep").alias("smallest"))
+    found = sets.join(member.join(smallest, "comp").select("set", "smallest"), "set", "left")
     return found.select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "_r").alias("component_id")
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("smallest"))).otherwise(F.col("doc")).alias("component_id"),
     )
 
 
-def _without_hot(agreed: DataFrame, sets: DataFrame, rule: JoinRule) -> DataFrame:
-    """Without the hot sections of sets that have no more of them than are spare."""
+def _section_groups(agreed: DataFrame, sets: DataFrame, rule: JoinRule) -> DataFrame:
+    """(sig, doc, pivot): the groups of sets left when each set leaves out its largest groups, as many
+    sections as are spare; the pivot is the group's smallest set.
+
+    Sizes and names order all groups alike, so of two sets the one that leaves out more leaves out
+    everything that the other does. It leaves out no more sections than are spare, and linked sets
+    agree on more than that: one of them stays in both.
+    """
 
     @F.pandas_udf("long")
     def spare(n: pd.Series) -> pd.Series:
-        return n.map({x: min(s for _, _, s in rule.schemes(x)) for x in n.unique() if x > 0}).fillna(0).astype("int64")
-
-    sizes = sets.filter("n > 0").groupBy("doc").agg(F.min("n").alias("size"))
-    hot = agreed.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("sig", F.lit(True).alias("hot"))
-    marked = agreed.join(hot, "sig", "left")
-    few = (
-        marked.filter("hot").groupBy("doc").agg(F.count("*").alias("k")).join(sizes, "doc")
-        .filter(F.col("k") <= spare("size")).select("doc", F.lit(True).alias("few"))
+        return n.map({x: min(s for _, _, s in rule.schemes(x)) for x in n.unique()}).astype("int64")
+
+    sizes = sets.select(F.col("set").alias("doc"), F.col("n").alias("tokens")).filter("tokens > 0").distinct()
+    largest = Window.partitionBy("doc").orderBy(F.desc("size"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    kept = (
+        agreed.withColumn("_out", F.sum("n").over(largest)).join(sizes, "doc")
+        .filter(F.col("_out") > spare("tokens")).select("sig", "doc")
     )
-    return marked.join(few, "doc", "left").filter("hot is null or few is null").select("sig", "doc", "pivot")
+    kept = stored(kept, "kept-sections")
+    groups = kept.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    return kept.join(groups.drop("c"), "sig").select("sig", "doc", "pivot")
