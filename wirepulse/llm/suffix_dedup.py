@@ -29,7 +29,7 @@ from wirepulse.llm.common import RangeHash, blocks, mix, stored
 
 ANCHOR = 32
 BUCKETS = 512
-# An anchor with more contexts in a task is frequent.
+# An anchor with more contexts is frequent, be it in the task that finds them or over all.
 FREQUENT = 256
 _CHUNK = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -167,7 +167,7 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
         rep = e[first]
         frequent = np.maximum.reduceat(e["flag"] & 2, _groups(e["anchor"])[0])
         _, per_anchor = _groups(e["anchor"][first])
-        frequent = np.repeat(frequent > 0, per_anchor)
+        frequent = np.repeat((frequent > 0) | (per_anchor > FREQUENT), per_anchor)
         yield _rows(_HOT, rep[frequent])
         yield _rows(_COLD, rep[~frequent & (contexts > 1)])
 
