@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirepulse.llm.common import Words, blocks, mix
+from wirepulse.llm.common import Words, blocks, mix, stored
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -65,8 +65,8 @@ def _features(words: Words) -> np.ndarray:
 
 
 def _bucket_counts(texts: DataFrame) -> DataFrame:
-    """(bucket, toxic, n): number of texts of each class that have the bucket, summed in each task
-    first."""
+    """(bucket, clean, toxic): number of texts of each class that have the bucket, summed in each task
+    first; the bucket ``_ALL`` has the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
@@ -80,26 +80,23 @@ def _bucket_counts(texts: DataFrame) -> DataFrame:
             for c in (0, 1):
                 own = pairs[labels[pairs // BUCKETS] == c] % BUCKETS
                 sums[c] += np.bincount(own, minlength=BUCKETS)
-        for c in (0, 1):
-            used = np.flatnonzero(sums[c])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": np.append(used, _ALL), "toxic": np.full(len(used) + 1, c),
-                    "n": np.append(sums[c][used], texts_of[c]),
-                }
-            )
+        used = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "bucket": np.append(used, _ALL), "clean": np.append(sums[0][used], texts_of[0]),
+                "toxic": np.append(sums[1][used], texts_of[1]),
+            }
+        )
 
-    found = texts.mapInArrow(count, "bucket long, toxic long, n long")
-    return found.groupBy("bucket", "toxic").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, "bucket long, clean long, toxic long")
+    return found.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _weights(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """A score for each bucket from its counts in clean and toxic texts, and their numbers."""
-    clean, toxic = counts + PRIOR
-    delta = np.log(toxic / (texts[1] + 1)) - np.log(clean / (texts[0] + 1))
-    deviation = np.sqrt(1 / toxic + 1 / clean)
-    sure = delta - DEVIATIONS * deviation
-    return np.where(sure >= LEAST_WEIGHT, np.minimum(sure, MOST_WEIGHT), 0).astype(np.float32)
+def _weight(clean: Column, toxic: Column, clean_texts: int, toxic_texts: int) -> Column:
+    """A bucket's score from its counts, before it is compared with ``LEAST_WEIGHT``."""
+    a, b = toxic + PRIOR, clean + PRIOR
+    delta = F.log(a / (toxic_texts + 1)) - F.log(b / (clean_texts + 1))
+    return F.least(delta - DEVIATIONS * F.sqrt(1 / a + 1 / b), F.lit(MOST_WEIGHT))
 
 
 def word_scores(model: ToxicityModel, words: Words) -> np.ndarray:
@@ -172,16 +169,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_
         share = int(most_rows / n * (1 << 32))
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
     texts = documents.select("doc_id", "text").join(known, "doc_id").filter("text is not null")
-    counts = np.zeros((2, BUCKETS), np.int64)
-    totals = np.zeros(2, np.int64)
-    for bucket, toxic, n in _bucket_counts(texts).toPandas().itertuples(index=False):
-        if bucket == _ALL:
-            totals[toxic] = n
-        else:
-            counts[toxic, bucket] = n
-    if not totals[1]:
-        return ToxicityModel()
-    model = ToxicityModel(_weights(counts, totals))
+    counts = stored(_bucket_counts(texts), "toxicity-counts")
+    totals = counts.filter(F.col("bucket") == _ALL).first()
+    model = ToxicityModel()
+    if totals is None or not totals["toxic"]:
+        return model
+    weight = _weight(F.col("clean"), F.col("toxic"), totals["clean"], totals["toxic"])
+    strong = counts.filter("bucket >= 0 and toxic > 0").select("bucket", weight.alias("w"))
+    for bucket, w in strong.filter(F.col("w") >= LEAST_WEIGHT).collect():  # at most BUCKETS
+        model.scores[bucket] = w
     model.rate = _chance_rate(model, texts.filter("toxic = 0"))
     return model
 
