@@ -315,8 +315,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
 
 
 def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list[tuple[int, int]]:
-    """Links that join the components of some sets: rows of doc, comp, query (whether the set is
-    compared with the others, or only compared with), n and tokens.
+    """Links that join the components of some sets: rows of doc, comp, query (a set to compare with the
+    others, or one of these), n and tokens.
 
     The matrix has a row of tokens for each group, here the sets of a component: their union. A query
     meets a group only if its overlap with the union reaches what a link with the group's smallest
@@ -335,8 +335,9 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list
         for d, c, q, n, t in sets[["doc", "comp", "query", "n", "tokens"]].itertuples(index=False)
     ]
     groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for d, c, _, n, t in rows:
-        groups.setdefault(c, []).append((d, n, t))
+    for d, c, q, n, t in rows:
+        if not q:
+            groups.setdefault(c, []).append((d, n, t))
     # Short forms of different widths have no common union; such groups are opened.
     unions = {
         c: np.unique(np.concatenate([t for _, _, t in g])) if len({t.dtype for _, _, t in g}) == 1 else None
@@ -363,39 +364,36 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list
 
 
 def _mixed_groups(agreed: DataFrame, comps: DataFrame) -> DataFrame:
-    """(group, doc, comp, query): the groups whose sets are in several components.
+    """(group, doc, comp, query): the sets that are still to be compared, and with which.
 
-    A group of up to ``HOT`` sets is compared as it is, once for all sections with the same sets. The
-    sets of a larger one that aren't in the component of the smallest set are its queries; blocks of
-    them meet blocks of all its sets.
+    Every set lies in one block: of its home, the smallest pivot of its groups, cut by hash into
+    blocks of about ``HOT`` sets. In a group of sections whose sets are in several components, those
+    outside the component of its pivot are queries. A query meets each block that holds a set of
+    another component of one of its groups once, however many sections they agree on; the queries of
+    a block are cut into parts.
     """
     rows = agreed.join(comps, "doc")
+    homes = rows.groupBy("doc", "comp").agg(F.min("pivot").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
+    block = F.concat_ws("/", "home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    homes = stored(homes.join(sizes, "home").select("doc", "comp", block.alias("block")), "blocks")
+    mains = comps.toDF("pivot", "main")
     mixed = (
-        rows.groupBy("sig")
-        .agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n"),
-             F.min_by("comp", "doc").alias("main"))
-        .filter("_lo <> _hi").select("sig", "n", "main")
-    )
-    rows = rows.join(mixed, "sig")
-    small = (
-        rows.filter(F.col("n") <= HOT).groupBy("sig")
-        .agg(F.sort_array(F.collect_list(F.struct("doc", "comp"))).alias("m"))
-        .groupBy(F.xxhash64("m.doc").alias("group")).agg(F.any_value("m").alias("m"))
-        .select(F.col("group").cast("string").alias("group"), F.inline("m"))
-        .withColumn("query", F.lit(True))
-    )
-    large = rows.filter(F.col("n") > HOT).withColumns(
-        {"blocks": F.ceil(F.col("n") / HOT).cast("int"), "h": F.pmod(F.xxhash64("doc"), F.lit(1 << 40))}
-    )
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    queries = large.filter("comp <> main").withColumn("b", F.explode(every)).select(
-        F.concat_ws("/", "sig", F.col("h") % F.col("blocks"), "b").alias("group"), "doc", "comp", F.lit(True).alias("query")
+        rows.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+        .filter("_lo <> _hi").select("sig")
     )
-    asked = large.filter("comp <> main").select("sig", (F.col("h") % F.col("blocks")).alias("q")).distinct()
-    members = large.join(asked, "sig").select(
-        F.concat_ws("/", "sig", "q", F.col("h") % F.col("blocks")).alias("group"), "doc", "comp", F.lit(False).alias("query")
+    rows = rows.join(mixed, "sig").join(mains, "pivot").join(homes.select("doc", "block"), "doc")
+    queries = rows.filter("comp <> main").select("sig", "doc", "comp")
+    held = rows.groupBy("sig", "block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    met = (
+        queries.join(held, "sig").filter("_lo <> comp or _hi <> comp").select("doc", "comp", "block").distinct()
+        .withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(1 << 20)))
     )
-    return small.unionByName(queries).unionByName(members)
+    counts = met.groupBy("block").agg(F.ceil(F.count("*") / (4 * HOT)).cast("int").alias("parts"))
+    named = lambda part: F.concat_ws("/", "block", part).alias("group")
+    asked = met.join(counts, "block").select(named(F.col("part") % F.col("parts")), "doc", "comp", F.lit(True).alias("query"))
+    members = homes.join(counts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return asked.unionByName(members.select(named(F.col("part")), "doc", "comp", F.lit(False).alias("query")))
 
 
 def _opened(groups: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
