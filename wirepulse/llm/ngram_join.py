@@ -314,13 +314,21 @@ def _verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
     return _compared(likely, tokens, "tokens", are)
 
 
+def _lead(raw: bytes, n: int, short: bool) -> np.ndarray:
+    """The leading 16 bits of a set's tokens, each value once, from either form."""
+    x = _short_from(raw, n) if short else np.frombuffer(raw, np.uint64)
+    shift = {2: 0, 4: 16, 8: 48}[x.itemsize]
+    return x if not shift else np.unique((x >> x.dtype.type(shift)).astype("<u2"))
+
+
 def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list[tuple[int, int]]:
     """Links that join the components of some sets: rows of doc, comp, query (a set to compare with the
     others, or one of these), n and tokens.
 
-    The matrix has a row of tokens for each group, here the sets of a component: their union. A query
-    meets a group only if its overlap with the union reaches what a link with the group's smallest
-    set would need. Of ``short`` forms the pairs are links that can't be ruled out.
+    The matrix has a row for each group, here the sets of a component: the union of their leading
+    bits. A query meets a group only if its overlap with the union reaches what a link with the
+    group's smallest set would need, and a set of it only if their own bound does. With ``short``
+    forms the first pair that can't be ruled out is returned.
     """
     parent = {c: c for c in sets["comp"]}
 
@@ -330,36 +338,39 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list
             c = parent[c]
         return c
 
-    rows = [
-        (d, c, q, n, _short_from(t, n) if short else np.frombuffer(t, np.uint64))
-        for d, c, q, n, t in sets[["doc", "comp", "query", "n", "tokens"]].itertuples(index=False)
-    ]
-    groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for d, c, q, n, t in rows:
-        if not q:
-            groups.setdefault(c, []).append((d, n, t))
-    # Short forms of different widths have no common union; such groups are opened.
-    unions = {
-        c: np.unique(np.concatenate([t for _, _, t in g])) if len({t.dtype for _, _, t in g}) == 1 else None
-        for c, g in groups.items()
-    }
-    smallest = {c: min(n for _, n, _ in g) for c, g in groups.items()}
+    columns = ["doc", "comp", "n", "tokens"]
+    members = list(sets.loc[~sets["query"].astype(bool), columns].itertuples(index=False, name=None))
+    if not members:
+        return []
+    leads = [_lead(t, n, short) for _, _, n, t in members]
+    lengths = np.array([len(x) for x in leads])
+    starts = np.cumsum(lengths) - lengths
+    values, sizes = np.concatenate(leads), np.array([n for _, _, n, _ in members])
+    comps, own = np.unique([c for _, c, _, _ in members], return_inverse=True)
+    union = np.zeros((len(comps), 1 << 16), bool)
+    union[np.repeat(own, lengths), values] = True
+    smallest = np.full(len(comps), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, own, sizes)
+    held = np.zeros(1 << 16, np.int64)
     links = []
-    for d, c, q, n, t in rows:
-        if not q:
+    for d, c, n, t in sets.loc[sets["query"].astype(bool), columns].itertuples(index=False, name=None):
+        lead = _lead(t, n, short)
+        other = np.array([root(x) != root(c) for x in comps])
+        other &= union[:, lead].sum(axis=1) + n - len(lead) >= rule.needed(n, smallest)
+        if not other.any():
             continue
-        for other, members in groups.items():
-            union = unions[other]
-            if root(other) == root(c):
-                continue
-            if union is not None and union.dtype == t.dtype and _common(t, union) + n - len(t) < rule.needed(n, smallest[other]):
-                continue
-            for e, m, u in members:
-                common = _most_common(t, n, u, m) if short else _common(t, u)
-                if rule.linked(min(common, n, m), n, m):
-                    links.append((d, e))
-                    parent[root(other)] = root(c)
-                    break
+        held[lead] = 1
+        bound = np.add.reduceat(held[values], starts) + np.minimum(n - len(lead), sizes - lengths)
+        held[lead] = 0
+        for i in np.flatnonzero(other[own] & (bound >= rule.needed(n, sizes))):
+            e, ec, _, u = members[i]
+            if short:
+                return [(d, e)]
+            if root(ec) != root(c) and rule.linked(
+                _common(np.frombuffer(t, np.uint64), np.frombuffer(u, np.uint64)), n, len(u) // 8
+            ):
+                links.append((d, e))
+                parent[root(ec)] = root(c)
     return links
 
 
@@ -406,9 +417,13 @@ def _opened(groups: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
     def compare(sets: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(sets, rule), columns=["u", "v"]).astype("int64")
 
+    # Little data, much work: as many tasks as a shuffle has, whatever the size.
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def with_sets(asked: DataFrame, column: str) -> DataFrame:
         own = tokens.select("doc", "n", F.col(column).alias("tokens"))
-        return asked.join(own.join(asked.select("doc").distinct(), "doc", "left_semi"), "doc")
+        own = own.join(asked.select("doc").distinct(), "doc", "left_semi")
+        return asked.join(own, "doc").repartition(tasks, "group")
 
     qualified = stored(with_sets(groups, "short").groupBy("group").applyInPandas(qualify, "group string"), "open-groups")
     opened = groups.join(qualified, "group", "left_semi")
