@@ -66,7 +66,7 @@ class JoinRule:
         out = []
         for c in range(own, most + 1):
             differ = 2 * (_SIZES[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = (differ + 1) // 4
+            spare = (differ + 1) // 2
             out.append((c, differ + 1 + spare, spare))
         return out
 
