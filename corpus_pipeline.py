@@ -1,6 +1,6 @@
 """The training-data pipeline over ``documents``: each stage works on what the one before it kept.
 
-Rejected documents go, one document of each group of near copies stays (the one with the smallest
+Rejected documents and boilerplate lines go, one document of each group of near copies stays (the one with the smallest
 id), passages that repeat are cut out, documents with a benchmark passage go, and the rest is packed
 into training sequences.
 """
@@ -24,8 +24,10 @@ REPEAT_BYTES = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
-    return judge_quality(docs).filter("kept").select(DOCUMENT_COLUMNS)
+    """Drops the documents that the quality rules reject, and the boilerplate lines of the others."""
+    return judge_quality(docs).filter("kept").select(
+        "doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars")
+    )
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from tests.llm.conftest import prose
 from wirepulse.llm.decontamination import LEAST_SCORE, benchmark_overlaps
 from wirepulse.llm.quality_rules import LineLimits, judge_quality
@@ -55,6 +56,19 @@ def test_boilerplate_depletes_only_what_consists_of_it(spark):
     assert kept[301].kept
 
 
+def test_boilerplate_lines_leave_the_text(spark):
+    line = prose(7, 15)
+    rows = [(i, f"{prose(i + 10, 40)}\n\n {line.upper()} \n{prose(i + 90, 40)}\n{line}", "h") for i in range(30)]
+    rows += [(100 + i, f"{line}\nA  b\n{prose(i + 300, 60)}", f"other{i}") for i in range(2)] + [(200, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("clean_text", F.lit("old"))
+    got = {r.doc_id: r.clean_text for r in judge_quality(df).collect()}
+    assert got == {i: f"{prose(i + 10, 40)}\n\n{prose(i + 90, 40)}" if i < 30 else t for i, t, _ in rows}
+    docs = df.selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars")
+    stage = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in stage} == {k: t for k, t in got.items() if t is not None}
+    assert all(r.n_chars == len(r.text) for r in stage)
+
+
 def test_shards_have_equal_bytes_and_whole_groups(spark, documents, no_documents):
     rows = [(i, prose(i % 150, 30 + i % 40)) for i in range(900)] + [(2000 + i, prose(1, 50)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("old"))

@@ -3,8 +3,8 @@
 A line is normalised (lower-cased, white space collapsed) and hashed. A
 line is boilerplate of a host when it stands in more than ``line_docs`` different texts of the host
 and in more than ``line_share`` of them; exact copies of a text count once, so that a large group of
-copies doesn't turn its own prose into boilerplate. Boilerplate lines are removed, and a document
-that keeps too few of its words is depleted and rejected.
+copies doesn't turn its own prose into boilerplate. Boilerplate lines are removed from the text, and a
+document that keeps too few of its words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -90,10 +90,15 @@ def text_measures(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(words_of(F.lower(line)))
+
+
 def line_verdict(
     df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limits: LineLimits = LineLimits()
 ) -> DataFrame:
-    """(key, lost_words) of the documents that hold boilerplate lines; repeated keys count together.
+    """(key, lost_words, lost_lines) of the documents that hold boilerplate lines: their words, and the
+    hashes of the different ones; repeated keys count together.
 
     Per host, line and different text one row is counted, map-side first. A hot line is only a hot
     key of the second join, whose small side has a row for each line; the adaptive join splits it.
@@ -124,24 +129,31 @@ def line_verdict(
         .filter(F.col("docs") > F.lit(limits.line_share) * F.col("texts"))
         .select("host", "line")
     )
-    return rows.join(common, ["host", "line"]).groupBy(key).agg(F.sum("words").alias("lost_words"))
+    return (
+        rows.join(common, ["host", "line"])
+        .groupBy(key).agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("lost_lines"))
+    )
 
 
 def judge_quality(
     df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limits: LineLimits = LineLimits()
 ) -> DataFrame:
-    """``df`` with the measures, lost_words (long) and kept (boolean); columns of these names are
-    replaced. A document is kept unless its base rules fail or its boilerplate lines deplete it:
-    fewer than ``least_words`` words are left, or less than ``least_share`` of them. Empty and null
-    texts fail the base rules; rows that repeat a key share its lost words."""
+    """``df`` with the measures, lost_words (long), kept (boolean) and clean_text; columns of these
+    names are replaced. A document is kept unless its base rules fail or its boilerplate lines deplete
+    it: fewer than ``least_words`` words are left, or less than ``least_share`` of them. Empty and null
+    texts fail the base rules; rows that repeat a key share its lost words. clean_text is the text
+    without its boilerplate lines, the other lines as they were; the measures are of the whole text."""
     lost = line_verdict(df, key, host, text, limits).withColumnRenamed(key, "_key")
-    measured = text_measures(df.drop("lost_words", "kept"), text)
+    measured = text_measures(df.drop("lost_words", "kept", "clean_text"), text)
     left = F.col("n_words") - F.col("lost_words")
     depleted = (F.col("lost_words") > 0) & (
         (left < limits.least_words) | (left < limits.least_share * F.col("n_words"))
     )
+    clean = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lost_lines", _line_hash(x)))
     return (
         measured.join(lost, F.col(key) == F.col("_key"), "left").drop("_key")
         .withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
+        .withColumn("clean_text", F.when(F.col("lost_lines").isNull(), F.col(text)).otherwise(F.array_join(clean, "\n")))
+        .drop("lost_lines")
     )
