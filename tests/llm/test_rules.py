@@ -69,6 +69,15 @@ def test_boilerplate_lines_leave_the_text(spark):
     assert all(r.n_chars == len(r.text) for r in stage)
 
 
+def test_a_line_in_very_many_texts_of_a_large_host_is_boilerplate(spark):
+    line, rare = prose(7, 60), prose(8, 60)
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.concat_ws("_", "id", i)), " ")
+    tail = F.when(F.col("id") < 1100, F.lit(line)).when(F.col("id") < 2050, F.lit(rare)).otherwise(F.lit("end"))
+    df = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat_ws("\n", own, tail).alias("text"), F.lit("h").alias("source"))
+    got = [tuple(r) for r in judge_quality(df).filter("doc_id < 2050").select("doc_id", "lost_words", "kept", "base_failed").collect()]
+    assert sorted(got) == [(i, 60, False, False) if i < 1100 else (i, 0, True, False) for i in range(2050)]
+
+
 def test_shards_have_equal_bytes_and_whole_groups(spark, documents, no_documents):
     rows = [(i, prose(i % 150, 30 + i % 40)) for i in range(900)] + [(2000 + i, prose(1, 50)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("old"))

@@ -21,13 +21,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class LineLimits:
-    """``line_docs``, ``line_share``: a line above both is boilerplate. ``least_words`` and
-    ``least_share``: a document with fewer words left, or a smaller share of them, is depleted."""
+    """``line_docs``, ``line_share``: a line above both is boilerplate; the share asks for no more than
+    ``most_docs`` texts, so it only tightens the rule for smaller hosts. ``least_words`` and ``least_share``: a document with fewer words left, or a smaller share of them, is depleted."""
 
     line_docs: int = 20
     line_share: float = 0.05
     least_words: int = 20
     least_share: float = 0.3
+    most_docs: int = 1000
 
 
 def symbol_count(text: Column) -> Column:
@@ -126,7 +127,7 @@ def line_verdict(
         .groupBy("host", "line").agg(F.count("*").alias("docs"))
         .filter(F.col("docs") > limits.line_docs)
         .join(texts, "host")
-        .filter(F.col("docs") > F.lit(limits.line_share) * F.col("texts"))
+        .filter(F.col("docs") > F.least(F.lit(limits.line_share) * F.col("texts"), F.lit(limits.most_docs)))
         .select("host", "line")
     )
     return (
