@@ -78,6 +78,19 @@ def test_a_line_in_very_many_texts_of_a_large_host_is_boilerplate(spark):
     assert sorted(got) == [(i, 60, False, False) if i < 1100 else (i, 0, True, False) for i in range(2050)]
 
 
+def test_lost_words_are_the_row_s_own(spark):
+    line = prose(7, 15)
+    rows = [(5, f"{prose(10, 35)}\n{line}", "h")] * 3 + [(5, prose(11, 40), "h"), (5, f"{prose(10, 35)}\n{line}", "g")]
+    rows += [(None, f"{prose(12, 12)}\n{line}", "h"), (None, f"{prose(13, 60)}\n{line}", "h")]
+    rows += [(100 + i, f"{prose(i + 50, 80)}\n{line}", "h") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = judge_quality(df).filter("doc_id is null or doc_id = 5")
+    assert sorted((r.doc_id or 0, r.n_words, r.source, r.lost_words, r.kept) for r in got.collect()) == [
+        (0, 27, "h", 15, False), (0, 75, "h", 15, True), (5, 40, "h", 0, True), (5, 50, "g", 0, True),
+        *[(5, 50, "h", 15, True)] * 3,
+    ]
+
+
 def test_shards_have_equal_bytes_and_whole_groups(spark, documents, no_documents):
     rows = [(i, prose(i % 150, 30 + i % 40)) for i in range(900)] + [(2000 + i, prose(1, 50)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("old"))

@@ -98,8 +98,8 @@ def _line_hash(line: Column) -> Column:
 def line_verdict(
     df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", limits: LineLimits = LineLimits()
 ) -> DataFrame:
-    """(key, lost_words, lost_lines) of the documents that hold boilerplate lines: their words, and the
-    hashes of the different ones; repeated keys count together.
+    """(key, host, text_hash, lost_lines) of the documents that hold boilerplate lines: the hashes of the
+    different ones. Rows of one key with other texts or hosts are told apart, null keys too.
 
     Per host, line and different text one row is counted, map-side first. A hot line is only a hot
     key of the second join, whose small side has a row for each line; the adaptive join splits it.
@@ -113,10 +113,8 @@ def line_verdict(
             F.explode(F.split(F.lower(content), "\n")).alias("_line"),
         )
         .withColumn("_words", words_of(F.col("_line")))
-        .select(
-            key, "host", "text_hash", F.xxhash64("_words").alias("line"), F.size("_words").alias("words")
-        )
-        .filter("words > 0")
+        .filter(F.size("_words") > 0)
+        .select(key, "host", "text_hash", F.xxhash64("_words").alias("line"))
     )
     texts = (
         df.select(hosts.alias("host"), F.xxhash64(content).alias("text_hash"))
@@ -132,7 +130,7 @@ def line_verdict(
     )
     return (
         rows.join(common, ["host", "line"])
-        .groupBy(key).agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("lost_lines"))
+        .groupBy(key, "host", "text_hash").agg(F.collect_set("line").alias("lost_lines"))
     )
 
 
@@ -142,19 +140,29 @@ def judge_quality(
     """``df`` with the measures, lost_words (long), kept (boolean) and clean_text; columns of these
     names are replaced. A document is kept unless its base rules fail or its boilerplate lines deplete
     it: fewer than ``least_words`` words are left, or less than ``least_share`` of them. Empty and null
-    texts fail the base rules; rows that repeat a key share its lost words. clean_text is the text
+    texts fail the base rules; each row loses the lines of its own text, also where keys are repeated or
+    null. clean_text is the text
     without its boilerplate lines, the other lines as they were; the measures are of the whole text."""
-    lost = line_verdict(df, key, host, text, limits).withColumnRenamed(key, "_key")
+    lost = line_verdict(df, key, host, text, limits).toDF("_key", "_host", "_text_hash", "lost_lines")
     measured = text_measures(df.drop("lost_words", "kept", "clean_text"), text)
+    own = (
+        F.col(key).eqNullSafe(F.col("_key"))
+        & (F.coalesce(F.col(host), F.lit("")) == F.col("_host"))
+        & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_text_hash"))
+    )
     left = F.col("n_words") - F.col("lost_words")
     depleted = (F.col("lost_words") > 0) & (
         (left < limits.least_words) | (left < limits.least_share * F.col("n_words"))
     )
-    clean = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lost_lines", _line_hash(x)))
+    lines, none = F.split(text, "\n"), F.lit(0).cast("long")
+    is_lost = lambda x: F.array_contains("lost_lines", _line_hash(x))
+    words = F.aggregate(F.filter(lines, is_lost), none, lambda n, x: n + F.size(words_of(F.lower(x))))
+    clean = F.array_join(F.filter(lines, lambda x: ~is_lost(x)), "\n")
+    found = F.col("lost_lines").isNotNull()
     return (
-        measured.join(lost, F.col(key) == F.col("_key"), "left").drop("_key")
-        .withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
+        measured.join(lost, own, "left").drop("_key", "_host", "_text_hash")
+        .withColumn("lost_words", F.when(found, words).otherwise(none))
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
-        .withColumn("clean_text", F.when(F.col("lost_lines").isNull(), F.col(text)).otherwise(F.array_join(clean, "\n")))
+        .withColumn("clean_text", F.when(found, clean).otherwise(F.col(text)))
         .drop("lost_lines")
     )
