@@ -1,6 +1,6 @@
 """The training-data pipeline over ``documents``: each stage works on what the one before it kept.
 
-Rejected documents and boilerplate lines go, one document of each group of near copies stays (the one with the smallest
+Rejected documents and boilerplate lines go, one document of each group of near copies stays (one with the smallest
 id), passages that repeat are cut out, documents with a benchmark passage go, and the rest is packed
 into training sequences.
 """
@@ -31,10 +31,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents."""
-    groups = similarity_components(docs, NEAR_COPIES)
-    dropped = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+    """Keeps one row of each group of linked documents, of those with the smallest id; a null id is
+    larger than any other. Rows are told apart by a hash of all columns, so ids may be repeated or null;
+    rows that are equal throughout are one."""
+    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(*DOCUMENT_COLUMNS).alias("_row"))
+    groups = similarity_components(rows, NEAR_COPIES, key="_row").select("_row", "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    stay = rows.select("doc_id", "_row").join(groups, "_row").groupBy("component_id").agg(first.alias("_row"))
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(DOCUMENT_COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

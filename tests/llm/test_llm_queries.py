@@ -3,6 +3,7 @@ import pytest
 import corpus_pipeline
 from __spark_entry__ import queries
 from tests.compare import compare, duck
+from tests.llm.conftest import prose
 from wirepulse.llm.oracles import ORACLES
 from wirepulse.llm.queries import QUERIES
 
@@ -41,3 +42,16 @@ def test_stages_keep_the_columns_and_clean_documents(spark, documents, no_docume
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.stored(stage(spark, empty, SF), "stage")
     assert empty.count() == 0
+
+
+def test_one_row_of_a_group_stays_whatever_the_ids(spark):
+    a, b, c, d = (prose(i, 60) for i in range(4))
+    near = f"{a} end"
+    rows = [(1, a), (1, a), (1, b), (2, near), (None, c), (None, c), (None, d), (3, d), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' as lang", "'h' as source", "coalesce(length(text), 0L) as n_chars"
+    )
+    got = corpus_pipeline.ngram_join(spark, df, SF)
+    assert got.columns == corpus_pipeline.DOCUMENT_COLUMNS
+    want = [(1, a), (1, b), (None, c), (3, d), (4, None), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
