@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark, documents, no_documents):

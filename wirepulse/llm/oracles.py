@@ -103,10 +103,98 @@ select doc_id, item_id, max(best[1])::int as score, max(best[3])::int as n_match
 group by doc_id, item_id having max(best[1]) >= least(12.0, 0.7 * any_value(n))
 """
 
+CHAT_FORMAT = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, i, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(i, r)),
+marked as (select *, regexp_replace(text,
+    '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g') as masked from turns)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(masked) + length('<|im_end|>') + 1)::bigint as formatted_chars
+from marked group by conv_id
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SEARCH = f"""
+with d as (select row_number() over () as row_id, doc_id, {_TERMS} as terms from documents),
+totals as (select count(*) as n_docs, sum(len(terms))::bigint as n_terms from d where len(terms) > 0),
+tf as (select row_id, doc_id, n, term, count(*) as tf
+    from (select row_id, doc_id, len(terms) as n, unnest(terms) as term from d) group by all),
+df as (select term, count(*) as df from tf group by term),
+items as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+weights as (select item_id, term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)::double))::bigint as w
+    from items join df using (term), totals),
+scores as (select item_id, row_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::bigint as score
+    from weights join tf using (term), totals group by all),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank,
+    doc_id, score from scores where score > 0)
+select * from ranked where rank <= 50
+"""
+
+# CRC-32 byte by byte over its table; damage; then the least (cost, audit) for each number of turns and
+# place in the pattern, as text: cost with leading zeros, audit. No cheapest edits insert twice between turns.
+_COST = "lpad(cost::varchar, 9, '0') || audit"
+TURN_REPAIR = rf"""
+with recursive table_bits(i, k, c) as (select i, 0, i::bigint from range(256) r(i) union all
+    select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from table_bits where k < 8),
+crc_table as (select list(c order by i) as t from table_bits where k = 8),
+named as (select row_number() over () as row_id, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+faults as (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(name, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as fault from named, crc_table),
+damaged as (select conv_id, turn, copy, case when fault = 4 then 'user' else role end as role,
+    case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+    from faults, (values (1), (2)) v(copy) where fault <> 0 and (copy = 1 or fault = 3)),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i,
+    left(role, 1) as r from damaged),
+flagged as (select *, not regexp_matches(text, '[^ 	-]') as blank,
+    row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+    not regexp_matches(text, '[.!?][ 	-]*$') as unended,
+    lag(r) over (partition by conv_id order by i) as r0 from numbered),
+turns as (select *, blank or again as gone, unended and not blank and not again as cut from flagged),
+counts as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    count(*) filter (where blank)::bigint as blank, count(*) filter (where again and not blank)::bigint as duplicate,
+    count(*) filter (where cut)::bigint as truncated,
+    count(*) filter (where r0 || r not in ('su', 'ua', 'au'))::bigint as illegal from turns group by conv_id),
+inserts(g, g2, x, ic) as (values ('0', '0', '', 0), ('s', 's', '', 0), ('u', 'u', '', 0), ('a', 'a', '', 0),
+    ('0', 'u', 'I', 5), ('s', 'u', 'I', 5), ('u', 'a', 'I', 5), ('a', 'u', 'I', 5)),
+moves(g, role, g2) as (values ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+edits as (select i.g, i.x || 'D' as e, ic + 2 as ec, '' as role, i.g2 as h from inserts i
+    union all select i.g, i.x, ic, m.role, m.g2 from inserts i join moves m on m.g = i.g2),
+states(conv_id, i, g, best) as (select conv_id, 0::bigint, '0', '000000000' from counts union all
+    select conv_id, i, g, min({_COST}) from (
+        select t.conv_id, t.i, e.h as g, left(s.best, 9)::bigint + e.ec
+            + case when e.role = '' then 0 else (t.r <> e.role)::int + 5 * t.cut::int end as cost,
+            substr(s.best, 10) || e.e || case when e.role = '' then '' when t.r = e.role then 'K' else 'R' end as audit
+        from states s join turns t on t.conv_id is not distinct from s.conv_id and t.i = s.i + 1 join edits e on e.g = s.g
+        where e.role = '' or (not t.gone and (e.role <> 's' or t.r = 's'))) group by conv_id, i, g),
+ends as (select c.conv_id, min({_COST}) as best from (select s.conv_id, s.i, left(best, 9)::bigint + ic as cost,
+        substr(best, 10) || x as audit, n.g2 from states s join inserts n on n.g = s.g where n.g2 in ('0', 'a')) f
+    join counts c on c.conv_id is not distinct from f.conv_id and f.i = c.n group by c.conv_id),
+letters as (select conv_id, k, substr(best, 9 + k, 1) as e from (select *, unnest(range(1, len(best) - 8)) as k from ends)),
+placed as (select *, count(*) filter (where e <> 'I') over (partition by conv_id order by k) as i from letters),
+stay as (select p.*, t.role, t.text, row_number() over (partition by p.conv_id order by k) - 1 as j,
+    first_value(e = 'K' and t.r = 's') over (partition by p.conv_id order by k) as lead
+    from placed p left join turns t on t.conv_id is not distinct from p.conv_id and t.i = p.i and p.e <> 'I' where e <> 'D'),
+repaired as (select conv_id, string_agg(case when e = 'K' then role when (j - coalesce(lead, false)::int) % 2 = 0 then 'user'
+    else 'assistant' end || ':' || case when e = 'I' then '' else text end, chr(10) order by k) as text from stay group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(left(best, 9)::bigint, 0) as cost, coalesce(substr(best, 10), '') as audit, sha256(coalesce(r.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id
+  left join ends e on e.conv_id is not distinct from o.conv_id left join repaired r on r.conv_id is not distinct from o.conv_id
+"""
+
 ORACLES = {
     "op1_url_filter": URL_FILTER,
     "op3_ngram_join": NGRAM_JOIN,
     "op5_quality_rules": QUALITY_RULES,
     "op8_warc": WARC,
     "op9_decontamination": DECONTAMINATION,
+    "op11_chat_format": CHAT_FORMAT,
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_turn_repair": TURN_REPAIR,
 }
