@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,9 @@ class ToxicityModel:
 
 
 def is_held_out(doc_id: Column) -> Column:
-    """The rows that no label is learnt from: CRC-32 of the id as text, modulo 4, is 2."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """The rows that no label is learnt from: CRC-32 of the id as text, modulo 4, is 2; false for a
+    null id, which no label names either."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _features(words: Words) -> np.ndarray:
@@ -64,16 +66,34 @@ def _features(words: Words) -> np.ndarray:
     return (np.stack(rows) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _bucket_counts(texts: DataFrame) -> DataFrame:
-    """(bucket, clean, toxic): number of texts of each class that have the bucket, summed in each task
-    first; the bucket ``_ALL`` has the number of texts."""
+@dataclass
+class _Labels:
+    """Labels by the 64-bit hash of their id, ascending; at most ``MOST_ROWS`` or what the caller set."""
+
+    keys: np.ndarray
+    toxic: np.ndarray
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, toxic) of the labelled rows of (hash, text)."""
+        for rows in batches:
+            keys = np.array(rows.column(0), np.int64)
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            found = np.flatnonzero(self.keys[at] == keys) if len(self.keys) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(1).take(pa.array(found)), pa.array(self.toxic[at[found]])], ["text", "toxic"]
+            )
+
+
+def _bucket_counts(texts: DataFrame, known) -> DataFrame:
+    """(bucket, clean, toxic): number of labelled texts of each class that have the bucket, summed in
+    each task first; the bucket ``_ALL`` has the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         texts_of = np.zeros(2, np.int64)
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(known.value.of(batches), "text"):
             words = Words(data, offsets, plain=True)
-            labels = np.array(rows.column("toxic").to_pylist(), np.int64)
+            labels = np.array(rows.column("toxic"), np.int64)
             owner = np.repeat(np.arange(len(labels)), words.counts)
             pairs = np.unique((owner * BUCKETS + _features(words)).ravel())
             texts_of += np.bincount(labels, minlength=2)
@@ -139,12 +159,13 @@ def _all_segments(model: ToxicityModel, words: Words) -> Iterator[list[tuple[int
         yield segments(own) if (own > 0).any() else []
 
 
-def _chance_rate(model: ToxicityModel, texts: DataFrame) -> float:
-    """Segments per word of clean texts."""
+def _chance_rate(model: ToxicityModel, texts: DataFrame, known) -> float:
+    """Segments per word of the texts that are labelled clean."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2)
-        for _, data, offsets in blocks(batches, "text"):
+        clean = (rows.filter(pc.equal(rows.column("toxic"), 0)) for rows in known.value.of(batches))
+        for _, data, offsets in blocks(clean, "text"):
             words = Words(data, offsets, plain=True)
             total += sum(len(x) for x in _all_segments(model, words)), len(words.hashes)
         yield pa.RecordBatch.from_pydict({"found": [total[0]], "words": [total[1]]})
@@ -159,17 +180,24 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_
     The model has a fixed size: one number for each bucket. Of more than ``most_rows`` labelled rows
     those with the smallest hashed ids are taken. A document with several labels is toxic if one
     says so. Without toxic rows every score stays zero.
+
+    The labels go to the tasks that scan the documents, 9 bytes a row and therefore of a bounded size;
+    no text is shuffled.
     """
     known = (
-        labels.filter("toxic is not null").filter(~is_held_out(F.col("doc_id")))
+        labels.filter("toxic is not null and doc_id is not null").filter(~is_held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("long").alias("toxic"))
     )
     n = known.count()
     if n > most_rows:
         share = int(most_rows / n * (1 << 32))
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
-    texts = documents.select("doc_id", "text").join(known, "doc_id").filter("text is not null")
-    counts = stored(_bucket_counts(texts), "toxicity-counts")
+    rows = known.select(F.xxhash64("doc_id").alias("key"), F.col("toxic").cast("tinyint").alias("toxic")).toArrow()
+    keys, toxic = rows.column("key").to_numpy(), rows.column("toxic").to_numpy()
+    order = np.argsort(keys)
+    sent = documents.sparkSession.sparkContext.broadcast(_Labels(keys[order], toxic[order]))
+    texts = documents.filter("text is not null and doc_id is not null").select(F.xxhash64("doc_id").alias("key"), "text")
+    counts = stored(_bucket_counts(texts, sent), "toxicity-counts")
     totals = counts.filter(F.col("bucket") == _ALL).first()
     model = ToxicityModel()
     if totals is None or not totals["toxic"]:
@@ -178,7 +206,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_
     strong = counts.filter("bucket >= 0 and toxic > 0").select("bucket", weight.alias("w"))
     for bucket, w in strong.filter(F.col("w") >= LEAST_WEIGHT).collect():  # at most BUCKETS
         model.scores[bucket] = w
-    model.rate = _chance_rate(model, texts.filter("toxic = 0"))
+    model.rate = _chance_rate(model, texts, sent)
     return model
 
 
