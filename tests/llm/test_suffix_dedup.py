@@ -20,8 +20,8 @@ def brute_force(texts, length):
     return out
 
 
-def check(spark, rows, length=200):
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+def check(spark, rows, length=200, parts=5):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = remove_repeats(df, length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = [(k, *x) for (k, _), x in zip(rows, brute_force([t for _, t in rows], length), strict=True)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
@@ -45,7 +45,29 @@ def test_passages_edits_and_periodic_texts(spark, length):
 def test_frequent_anchors(spark):
     """A passage in so many different contexts that one task sums it."""
     passage = prose(60, 45)
-    check(spark, [(i, f"{prose(i + 300, 12)} {passage} {prose(i + 900, 12)}") for i in range(700)])
+    rows = [(i, f"{prose(i + 300, 12)} {passage} {prose(i + 900, 12)}") for i in range(700)]
+    check(spark, rows)
+    check(spark, rows, parts=1)
+
+
+def test_frequent_phrases_shorter_than_a_window(spark):
+    """Anchors in very many contexts, few of which share a window, on either side of the phrase."""
+    phrase, before, behind = prose(61, 8), prose(62, 14), prose(63, 14)
+    rows = [(i, f"{prose(i + 300, 9)} {phrase} {prose(i + 1900, 9)} {prose(i + 300, 14)}") for i in range(900)]
+    rows += [(1000 + i, f"{prose(i + 3000, 9)} {phrase} {behind}") for i in range(3)]
+    rows += [(2000 + i, f"{before} {phrase} {prose(i + 4000, 14)}") for i in range(3)]
+    rows += [(3000 + i, f"{prose(i + 5000, 3)} {before[-80:]} {phrase} {behind[:90]} {prose(i + 6000, 9)}") for i in range(300)]
+    check(spark, rows, parts=2)
+    check(spark, rows, length=120, parts=1)
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    text = prose(64, 60)
+    rows = [(None, text), (None, text), (None, prose(65, 60)), (1, f"{prose(66, 20)} {text}"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "'x' as kind", "2 as _spans", "3 as kept")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(df).collect())
+    n = len(text)
+    assert got == [(0, 0, 0), (0, len(prose(65, 60)), 0), (0, n, n), (0, n, n), (1, n + 1 + len(prose(66, 20)), n)]
 
 
 def test_documents_and_whole_characters(spark, documents, no_documents):

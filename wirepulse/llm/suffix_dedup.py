@@ -11,8 +11,11 @@ context of the anchor, everything that windows around it can reach: when it occu
 windows do. The third pass orders the windows themselves, for anchors that occur in different contexts
 only, with one context of each kind.
 
-A context or anchor that is frequent in one task is summed there before the exchange; the windows of
-frequent anchors are counted by an aggregation, so no task holds a group of unbounded size.
+A context or anchor that is frequent in one task is summed there before the exchange. A frequent anchor
+has one more digit before its windows: those that begin near it share the bytes behind it, the others
+the bytes before it, and only where these occur twice the windows are ordered. Digits and windows that
+occur twice in one task are settled there and one of them stands for all in the exchange, so no task
+holds a group of unbounded size.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from wirepulse.llm.common import RangeHash, blocks, mix, stored
 
 ANCHOR = 32
 BUCKETS = 512
-# An anchor with more contexts is frequent, be it in the task that finds them or over all.
-FREQUENT = 256
+# An anchor with more contexts in the task that finds them, or over all, is frequent.
+FREQUENT, FREQUENT_OVER_ALL = 256, 20_000
+_SETTLED = 200_000  # rows that a task settles at once
+_ANCHORS_AT_ONCE = 20_000
+_PIECE = 4096  # entries of a row that needs no grouping
 _CHUNK = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 _SPAN, _COLD, _HOT = 0, 1, 2
@@ -94,6 +100,13 @@ def _rows(kind: int, e: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _pieces(kind: int, e: np.ndarray) -> Iterator[dict]:
+    """Entries that need no grouping, spread over the tasks behind the exchange by their rows."""
+    for at in range(0, len(e), _PIECE):
+        own = e[at : at + _PIECE]
+        yield {"bucket": BUCKETS + int(own["row"][0]) % BUCKETS, "kind": kind, "entries": own.tobytes()}
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place, size) of the groups of sorted keys."""
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.empty(0, np.int64)
@@ -122,14 +135,11 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
             e, first, size, repeated, contexts = _summed(np.concatenate(pending))
             pending.clear()
             spans = e[np.repeat(repeated, size)]
-            for at in range(0, len(spans), 65536):
-                yield {"bucket": BUCKETS + at // 65536 % BUCKETS, "kind": _SPAN, "entries": spans[at : at + 65536].tobytes()}
+            yield from _pieces(_SPAN, spans)
             rep = e[first]
             rep["flag"] = repeated
             frequent = contexts > FREQUENT
-            hot = rep[frequent]
-            for at in range(0, len(hot), 65536):
-                yield {"bucket": BUCKETS + at // 65536 % BUCKETS, "kind": _HOT, "entries": hot[at : at + 65536].tobytes()}
+            yield from _pieces(_HOT, rep[frequent])
             one = np.zeros(len(rep), bool)
             one[_groups(rep["anchor"])[0]] = True
             rep["flag"] |= np.where(frequent, 2, 0).astype(np.uint8)
@@ -145,7 +155,7 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
         for rows, data, offsets in blocks(batches, "_text"):
             pending.append(_entries(rows.column("_row").to_numpy(zero_copy_only=False), data, offsets, length))
             held += len(pending[-1])
-            if held > 1_000_000:
+            if held > 500_000:
                 yield pa.RecordBatch.from_pylist(list(flush()), schema)
                 held = 0
         if pending:
@@ -167,7 +177,7 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
         rep = e[first]
         frequent = np.maximum.reduceat(e["flag"] & 2, _groups(e["anchor"])[0])
         _, per_anchor = _groups(e["anchor"][first])
-        frequent = np.repeat((frequent > 0) | (per_anchor > FREQUENT), per_anchor)
+        frequent = np.repeat((frequent > 0) | (per_anchor > FREQUENT_OVER_ALL), per_anchor)
         yield _rows(_HOT, rep[frequent])
         yield _rows(_COLD, rep[~frequent & (contexts > 1)])
 
@@ -176,31 +186,108 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(df: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(kind, anchor, row, first, text) of the anchors to be ordered: the bytes of their windows."""
+    """(kind, anchor, row, first, k1, k2, text) of the anchors to be ordered: the bytes of their windows.
+    A frequent anchor has two parts, windows that begin near it and the others, each with two hashes
+    of the bytes that all windows of the part hold."""
     places = (
         found.filter(f"kind <> {_SPAN}").groupBy("row")
-        .agg(F.collect_set(F.struct("kind", "anchor", "first", "last")).alias("places"))
+        .agg(F.collect_set(F.struct("kind", "anchor", "pos", "first", "last")).alias("places"))
     )
+    near = (length - ANCHOR) // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "_text"):
-            out: list[tuple] = []
             raw = data.tobytes()
-            for row, start, places in zip(rows.column("_row").to_pylist(), offsets.tolist(), rows.column("places").to_pylist(), strict=False):
-                out += [
-                    (p["kind"], p["anchor"], row, p["first"], raw[start + p["first"] : start + p["last"] + length])
-                    for p in places
-                ]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [()] * 5
+            whole: list[tuple[int, ...]] = []  # kind, anchor, row, first, start, end, core start, core end
+            for row, at, places in zip(rows.column("_row").to_pylist(), offsets.tolist(), rows.column("places").to_pylist(), strict=False):
+                for p in places:
+                    pos, first, last = p["pos"], p["first"], p["last"]
+                    if p["kind"] == _COLD:
+                        whole.append((_COLD, p["anchor"], row, first, at + first, at + last + length, 0, 0))
+                        continue
+                    middle = pos - near  # the first window that begins near the anchor
+                    if last >= middle:
+                        a = max(first, middle)
+                        whole.append((_HOT, p["anchor"], row, a, at + a, at + last + length, at + pos, at + middle + length))
+                    if first < middle:
+                        b = min(last, middle - 1)
+                        whole.append((_HOT, p["anchor"], row, first, at + first, at + b + length, at + middle - 1, at + pos + ANCHOR))
+            if not whole:
+                continue
+            kind, anchor, row, first, start, end, core, core_end = (np.array(c, np.int64) for c in zip(*whole, strict=True))
+            keys = [mix(RangeHash(data, w)(core, core_end) + (core - start == 0).astype(np.uint64)).view(np.int64) for w in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "anchor", "row", "first", "text"]
-            )
+                [pa.array(kind, pa.int32()), pa.array(anchor), pa.array(row), pa.array(first, pa.int32()), pa.array(keys[0]),
+                 pa.array(keys[1]), pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
+                ["kind", "anchor", "row", "first", "k1", "k2", "text"],
+            )
 
-    schema = "kind int, anchor long, row long, first int, text binary"
+    schema = "kind int, anchor long, row long, first int, k1 long, k2 long, text binary"
     return df.join(places.withColumnRenamed("row", "_row"), "_row").mapInArrow(cut, schema)
 
 
+def _settled(keyed: DataFrame, expand=None, schema: str | None = None) -> DataFrame:
+    """The rows (k1, k2, ...) whose keys occur more than once. ``expand`` makes such rows, of ``schema``,
+    of the batches first.
+
+    A task keeps the rows that it finds repeated and sends one of each key for all of them, marked as
+    repeated, beside those that it saw once. So a key has a row from a task in the exchange at most.
+    """
+    schema = schema or ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
+            pending.clear()
+            order, start, size = _keys(rows)
+            state = np.repeat(np.where(size > 1, 2, 0), size)  # 0 seen once, 1 stands for others, 2 repeated
+            again = order[start[size > 1]]
+            out = rows.take(pa.array(np.concatenate([order, again])))
+            return _with(out, "state", pa.array(np.concatenate([state, np.ones(len(again), np.int64)]), pa.int64()))
+
+        held = 0
+        for rows in expand(batches) if expand else batches:
+            if not rows.num_rows:
+                continue
+            pending.append(rows)
+            held += rows.num_rows
+            if held > _SETTLED:
+                yield flush()
+                held = 0
+        if pending:
+            yield flush()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        order, start, size = _keys(rows)
+        once = np.array(rows.column("state"), np.int64)[order] == 0
+        yield rows.take(pa.array(order[once & (np.repeat(size, size) > 1)]))
+
+    state = f"{schema}, state long"
+    seen = stored(keyed.mapInArrow(first, state), "settled")
+    later = seen.filter("state < 2").repartition("k1").mapInArrow(second, state)
+    return seen.filter("state = 2").unionByName(later).drop("state")
+
+
+def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, first place of each key in it, number of its rows)."""
+    k1, k2 = (np.array(rows.column(c), np.int64) for c in ("k1", "k2"))
+    order = np.lexsort((k2, k1))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+    start = np.flatnonzero(new)
+    return order, start, np.diff(np.append(start, len(order)))
+
+
+def _with(rows: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, column], [*rows.schema.names, name])
+
+
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(two hashes, row, start) of every window in the texts of a batch."""
     data, offsets = np.frombuffer(b"".join(batch.column("text").to_pylist()), np.uint8), None
@@ -229,35 +316,56 @@ def _runs(row: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
 
 
 def repeated_spans(df: DataFrame, length: int = 200) -> DataFrame:
-    """(row, lo, hi): byte spans of texts (_row, _text) that lie in repeated windows of ``length``."""
+    """(row, lo, hi): byte spans of texts (_row, _text) that lie in repeated windows of ``length``; none
+    of an empty table."""
     found = stored(found_anchors(df, length), "anchors")
     contexts = stored(_contexts(df, found, length), "contexts")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_windows(b, length) for b in batches if b.num_rows]
-        if not parts:
-            return
-        h1, h2, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((h2, h1))
-        same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
-        twice = np.zeros(len(order), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        yield _runs(row[twice], start[twice], length)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole anchors at a time; rows come sorted by them."""
+        waiting: list[pa.RecordBatch] = []
+
+        def repeated() -> pa.RecordBatch:
+            h1, h2, row, start = (np.concatenate(x) for x in zip(*(_windows(b, length) for b in waiting), strict=True))
+            order = np.lexsort((h2, h1))
+            same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
+            twice = np.zeros(len(order), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            return _runs(row[twice], start[twice], length)
+
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = np.array(batch.column("anchor"), np.int64)
+            held += batch.num_rows
+            if held > _ANCHORS_AT_ONCE:
+                new = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                if new:
+                    waiting.append(batch.slice(0, new))
+                if new or (waiting and anchor[0] != np.array(waiting[-1].column("anchor"), np.int64)[-1]):
+                    yield repeated()
+                    waiting.clear()
+                    batch = batch.slice(new)
+                    held = batch.num_rows
+            waiting.append(batch)
+        if waiting:
+            yield repeated()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 h1, h2, row, start = _windows(batch.slice(at, 2000), length)
                 yield pa.RecordBatch.from_pydict(
-                    {"h1": h1.view(np.int64), "h2": h2.view(np.int64), "row": row, "lo": start.astype(np.int32)}
+                    {"k1": h1.view(np.int64), "k2": h2.view(np.int64), "row": row, "lo": start.astype(np.int32)}
                 )
 
-    spans = "row long, lo int, hi int"
-    cold = contexts.filter(f"kind = {_COLD}").repartition("anchor").mapInArrow(order, spans)
-    windows = contexts.filter(f"kind = {_HOT}").mapInArrow(hashes, "h1 long, h2 long, row long, lo int")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    hot = windows.join(twice, ["h1", "h2"]).select("row", "lo", (F.col("lo") + length).alias("hi"))
+    cold = contexts.filter(f"kind = {_COLD}").repartition("anchor").sortWithinPartitions("anchor")
+    cold = cold.select("anchor", "row", "first", "text").mapInArrow(order, "row long, lo int, hi int")
+    parts = _settled(contexts.filter(f"kind = {_HOT}").select("k1", "k2", "row", "first", "text"))
+    hot = _settled(parts, windows, "k1 long, k2 long, row long, lo int")
+    hot = hot.select("row", "lo", (F.col("lo") + length).alias("hi"))
     whole = found.filter(f"kind = {_SPAN}").select("row", F.col("pos").alias("lo"), F.col("last").alias("hi"))
     return whole.unionByName(cold).unionByName(hot)
 
