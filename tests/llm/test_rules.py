@@ -127,3 +127,28 @@ def test_benchmark_passages_with_replaced_words(spark, documents, no_documents):
     assert got[1].n_matched == 40 and got[3].score >= LEAST_SCORE
     assert benchmark_overlaps(no_documents, bench).count() == 0
     assert benchmark_overlaps(documents, bench.filter("false")).count() == 0
+
+
+def test_both_ways_of_joining_the_seeds_agree(spark):
+    """Also on a very long text, on repeated and null ids, and where every fourth word is replaced."""
+    items = [prose(400 + i, 48) for i in range(6)]
+    fourth = " ".join(w if i % 4 else f"y{i}" for i, w in enumerate(items[1].split()))
+    long = " ".join([prose(420, 9000), items[0], prose(421, 9000), items[2][:-40], prose(422, 2000)])
+    rows = [(1, long), (1, items[3]), (None, f"{prose(430, 20)} {items[0]}"), (None, prose(431, 80)), (2, fourth), (3, prose(432, 400)), (2, fourth)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as seed", "3 as _row", "4 as _at")
+    bench = spark.createDataFrame([*enumerate(items), (None, items[5])], "item_id long, text string").selectExpr("*", "5 as doc_id", "6 as mask")
+    sent, joined = (
+        sorted(map(tuple, benchmark_overlaps(df, bench, most_broadcast=n).collect()), key=repr) for n in (10**6, 0)
+    )
+    assert sent == joined
+    assert {(d, i) for d, i, _, _ in sent} == {(1, 0), (1, 2), (1, 3), (None, 0), (2, 1)}
+
+
+def test_pipeline_stage_judges_rows_not_ids(spark, tmp_path):
+    item = prose(440, 40)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = prose(441, 60)
+    rows = [(None, f"{prose(442, 9)} {item}"), (None, clean), (7, item), (7, clean), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'h' as source", "1L as n_chars")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, clean), (7, clean), (8, None)], key=repr)

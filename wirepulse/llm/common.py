@@ -62,7 +62,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(
     batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of at most ``most`` bytes of text, or of a single longer row."""
+    """(rows, bytes, offsets) of at most ``most`` bytes of text, or of a single longer row. Memory that
+    is free at the end of a task is given back, since the next task's worker is the same process."""
+    yield from _blocks(batches, column, most)
+    pa.default_memory_pool().release_unused()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,6 +98,7 @@ _VALUES = _RANDOM.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) +
 _BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MOST_POWERS = 1 << 21  # kept by a worker; those of a longer text go with it
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +112,8 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             out[0] = 1
             with np.errstate(over="ignore"):
                 pair.append(np.multiply.accumulate(out))
+        if size > _MOST_POWERS:
+            return pair[0], pair[1]
         _POWERS[which] = tuple(pair)
     up, down = _POWERS[which]
     return up[:n], down[:n]

@@ -326,7 +326,8 @@ def repeated_spans(df: DataFrame, length: int = 200) -> DataFrame:
         waiting: list[pa.RecordBatch] = []
 
         def repeated() -> pa.RecordBatch:
-            h1, h2, row, start = (np.concatenate(x) for x in zip(*(_windows(b, length) for b in waiting), strict=True))
+            found = (_windows(b.slice(at, 2000), length) for b in waiting for at in range(0, b.num_rows, 2000))
+            h1, h2, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((h2, h1))
             same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
             twice = np.zeros(len(order), bool)

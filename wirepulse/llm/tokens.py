@@ -15,9 +15,9 @@ import numpy as np
 
 from wirepulse.llm.common import RangeHash, Words, mix
 
-# A worker's memory of words is emptied when it holds this many (about 150 MB).
-MOST_WORDS = 1 << 21
-_SLOTS = 1 << 23
+# A worker's memory of words is emptied when it holds this many (about 40 MB).
+MOST_WORDS = 1 << 19
+_LEAST_SLOTS = 1 << 16
 _SHARED: dict[str, "WordTokenizer"] = {}
 _COMMA_DOT = np.zeros(256, bool)
 _COMMA_DOT[[ord(","), ord(".")]] = True
@@ -44,26 +44,37 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self._keys = np.zeros(_SLOTS, np.uint64)
-        self._word = np.zeros(_SLOTS, np.int32)
+        self._keys = np.zeros(_LEAST_SLOTS, np.uint64)
+        self._word = np.zeros(_LEAST_SLOTS, np.int32)
         self._offsets = np.zeros(1, np.int64)
         self._ids = np.empty(0, np.int32)
 
+    def _make_room(self, more: int) -> None:
+        """At least two slots for each word."""
+        slots = len(self._keys)
+        while slots < 2 * (len(self._offsets) + more):
+            slots *= 2
+        if slots > len(self._keys):
+            used = np.flatnonzero(self._keys)
+            keys, word = self._keys[used], self._word[used]
+            self._keys, self._word = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+            self._insert(keys, word)
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word in the memory, or -1; linear probing, all words side by side."""
         out = np.full(len(hashes), -1, np.int32)
-        slots = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slots = (hashes & np.uint64(len(self._keys) - 1)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
             keys = self._keys[slots[left]]
             hit = keys == hashes[left]
             out[left[hit]] = self._word[slots[left[hit]]]
             left = left[~hit & (keys != 0)]
-            slots[left] = (slots[left] + 1) & (_SLOTS - 1)
+            slots[left] = (slots[left] + 1) & (len(self._keys) - 1)
         return out
 
     def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
-        slots = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slots = (hashes & np.uint64(len(self._keys) - 1)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
             free = self._keys[slots[left]] == 0
@@ -73,7 +84,7 @@ class WordTokenizer:
             won[some] = self._keys[slots[some]] == hashes[some]
             self._word[slots[won]] = numbers[won]
             left = left[~won[left]]
-            slots[left] = (slots[left] + 1) & (_SLOTS - 1)
+            slots[left] = (slots[left] + 1) & (len(self._keys) - 1)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
@@ -145,6 +156,7 @@ class WordTokenizer:
             ids, counts = self._encode_words(
                 [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[new], ends[new], strict=True)]
             )
+            self._make_room(len(new))
             self._insert(hashes[new], np.arange(len(new), dtype=np.int32) + len(self._offsets) - 1)
             self._ids = np.concatenate([self._ids, ids])
             self._offsets = np.concatenate([self._offsets, self._offsets[-1] + np.cumsum(counts)])
