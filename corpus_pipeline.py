@@ -51,9 +51,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of a benchmark item."""
-    overlaps = benchmark_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(overlaps.select("doc_id").distinct(), "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+    """Drops the rows that hold a passage of a benchmark item; rows are told apart by a hash of all
+    columns, so ids may be repeated or null."""
+    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(*DOCUMENT_COLUMNS).alias("_row"))
+    overlaps = benchmark_overlaps(rows, table(spark, sf_dir, "benchmark"), key="_row")
+    return rows.join(overlaps.select("_row").distinct(), "_row", "left_anti").select(DOCUMENT_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
