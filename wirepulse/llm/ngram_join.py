@@ -33,8 +33,10 @@ from wirepulse.llm.common import Words, blocks, mix, shingles, stored
 from wirepulse.operators.components import connected_components
 
 BUCKETS = 512
-# A section with more sets is hot; blocks of a hot group hold about as many.
+# A section with more sets in a task is hot.
 HOT = 64
+# Tokens of the sets of a block (8 bytes each), a small set counted as LEAST_TOKENS: at most 512 sets.
+BLOCK_TOKENS, LEAST_TOKENS = 1 << 17, 1 << 8
 _ENTRIES = "bucket int, low binary, high binary, docs binary, frequent binary, sig binary, doc binary"
 _AGREED = "sig long, doc long, size long, n long"
 _LARGE = 1 << 40  # stands for the size of a large group
@@ -374,33 +376,34 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list
     return links
 
 
-def _mixed_groups(agreed: DataFrame, comps: DataFrame) -> DataFrame:
+def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame) -> DataFrame:
     """(group, doc, comp, query): the sets that are still to be compared, and with which.
 
     Every set lies in one block: of its home, the smallest pivot of its groups, cut by hash into
-    blocks of about ``HOT`` sets. In a group of sections whose sets are in several components, those
+    blocks of about ``BLOCK_TOKENS``. In a group of sections whose sets are in several components, those
     outside the component of its pivot are queries. A query meets each block that holds a set of
     another component of one of its groups once, however many sections they agree on; the queries of
     a block are cut into parts.
     """
     rows = agreed.join(comps, "doc")
-    homes = rows.groupBy("doc", "comp").agg(F.min("pivot").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
+    weights = tokens.select("doc", F.greatest("n", F.lit(LEAST_TOKENS)).alias("weight"))
+    homes = rows.groupBy("doc", "comp").agg(F.min("pivot").alias("home")).join(weights, "doc")
+    sizes = homes.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("blocks"))
     block = F.concat_ws("/", "home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    homes = stored(homes.join(sizes, "home").select("doc", "comp", block.alias("block")), "blocks")
+    homes = stored(homes.join(sizes, "home").select("doc", "comp", "weight", block.alias("block")), "blocks")
     mains = comps.toDF("pivot", "main")
     mixed = (
         rows.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
         .filter("_lo <> _hi").select("sig")
     )
-    rows = rows.join(mixed, "sig").join(mains, "pivot").join(homes.select("doc", "block"), "doc")
-    queries = rows.filter("comp <> main").select("sig", "doc", "comp")
+    rows = rows.join(mixed, "sig").join(mains, "pivot").join(homes.select("doc", "weight", "block"), "doc")
+    queries = rows.filter("comp <> main").select("sig", "doc", "comp", "weight")
     held = rows.groupBy("sig", "block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
     met = (
-        queries.join(held, "sig").filter("_lo <> comp or _hi <> comp").select("doc", "comp", "block").distinct()
+        queries.join(held, "sig").filter("_lo <> comp or _hi <> comp").select("doc", "comp", "weight", "block").distinct()
         .withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(1 << 20)))
     )
-    counts = met.groupBy("block").agg(F.ceil(F.count("*") / (4 * HOT)).cast("int").alias("parts"))
+    counts = met.groupBy("block").agg(F.ceil(F.sum("weight") / (2 * BLOCK_TOKENS)).cast("int").alias("parts"))
     named = lambda part: F.concat_ws("/", "block", part).alias("group")
     asked = met.join(counts, "block").select(named(F.col("part") % F.col("parts")), "doc", "comp", F.lit(True).alias("query"))
     members = homes.join(counts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -455,7 +458,7 @@ def similarity_components(
         return stored(connected_components(nodes, found.toDF("src", "dst")).toDF("doc", "comp"), "set-components")
 
     comps = components(edges)
-    groups = stored(_mixed_groups(agreed, comps), "mixed-groups")
+    groups = stored(_mixed_groups(agreed, comps, tokens), "mixed-groups")
     if not groups.isEmpty():
         comps = components(edges.union(stored(_opened(groups, tokens, rule), "more-links")))
     member = named.join(comps.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
