@@ -1,8 +1,11 @@
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tests.test_parse import line
 from wirepulse.plans.retention import create_landing_table, run_retention
 from wirepulse.sources.landing import merge_log, read_log
+from wirepulse.sources.loads import LoadManifest
 from wirepulse.streaming.ingest import batch_writer, start_ingest
 from wirepulse.streaming.rates import read_counts, start_counts
 
@@ -27,9 +30,56 @@ def test_files_arrive_over_time(spark, tmp_path):
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     lines = spark.createDataFrame([("c", "f", 0, line())], "cycle string, file string, block bigint, value string")
     write = batch_writer(str(tmp_path / "out"))
+    seen = set()
     for _ in range(2):
         write(lines, 0)
-    assert read_log(spark, str(tmp_path / "out")).count() == 1
+        seen.add(str(read_log(spark, str(tmp_path / "out")).collect()))
+    assert len(seen) == 1  # load time included
+    write(lines, 1)
+    assert read_log(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_streams_that_take_turns_keep_all_loads(spark, tmp_path):
+    """A, then B, then A and B again: nothing of one stream replaces what the other wrote."""
+    out = str(tmp_path / "out")
+
+    def run(stream, ids, minute):
+        folder = tmp_path / stream
+        folder.mkdir(exist_ok=True)
+        (folder / f"202607041200{minute:02}.csv").write_text("\n".join(line(global_event_id=str(i), num_articles=str(minute)) for i in ids) + "\n")
+        start_ingest(spark, str(folder), out, str(tmp_path / f"state-{stream}")).awaitTermination()
+        return {r.global_event_id: (r.num_articles, r.load_seq) for r in merge_log(read_log(spark, out)).collect()}
+
+    assert run("a", [1, 2], 1) == {1: (1, 0), 2: (1, 0)}
+    assert run("b", [2, 3, 4], 2) == {1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (2, 1)}
+    assert run("a", [1, 5], 3) == {1: (3, 2), 2: (2, 1), 3: (2, 1), 4: (2, 1), 5: (3, 2)}
+    assert run("b", [5], 4)[5] == (4, 3) and read_log(spark, out).count() == 8
+    assert LoadManifest(spark, out).numbers() == [0, 1, 2, 3]
+
+
+def test_load_numbers(spark, tmp_path):
+    """Numbers are unique, stay with their batch, and one lost before it was named is left unused."""
+    out = str(tmp_path / "log")
+    manifest = LoadManifest(spark, out)
+    first = manifest.reserve("a", 0)
+    assert manifest.reserve("a", 0) == first and first.number == 0
+    assert manifest._create("numbers/1") and not manifest._create("numbers/1")  # another stream died here
+    assert [manifest.reserve(s, b).number for s, b in (("b", 0), ("a", 1), ("b", 0), ("a", 10))] == [2, 3, 2, 4]
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: LoadManifest(spark, out).reserve(f"s{i}", 0).number, range(16)))
+    assert sorted(got) == list(range(5, 21))
+
+
+def test_a_log_from_before_the_numbers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    lines = spark.createDataFrame([("c", "f", 0, line())], "cycle string, file string, block bigint, value string")
+    batch_writer(out)(lines, 0)
+    (tmp_path / "out" / "load_seq=0").rename(tmp_path / "out" / "load_seq=41")
+    old = str(tmp_path / "old")
+    (tmp_path / "old").mkdir()
+    (tmp_path / "out" / "load_seq=41").rename(tmp_path / "old" / "load_seq=41")
+    batch_writer(old)(lines, 0)
+    assert sorted(r.load_seq for r in read_log(spark, old).collect()) == [41, 42]
 
 
 def test_a_fresh_checkpoint_adds_to_the_log(spark, tmp_path):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,39 +11,25 @@ from pyspark.sql.streaming import StreamingQuery
 from wirepulse.plans.ingest import attach_titles
 from wirepulse.operators.validate import validate_batch
 from wirepulse.sources.event_export import classify_lines, good_rows
-from wirepulse.sources.landing import append_batch, read_log, to_landing_rows
+from wirepulse.sources.landing import append_batch, to_landing_rows
+from wirepulse.sources.loads import LoadManifest
 from wirepulse.sources.text_files import number_lines, with_file_positions
 from wirepulse.streaming.rates import stream_name
 
 
-def first_load(spark: SparkSession, landing_path: str, checkpoint_path: str) -> int:
-    """The load number of a stream's first batch: the next one of the log when the stream first
-    started, stored beside the log under the stream's name. Streams start one after another."""
-    stored = f"{landing_path}/_streams/{stream_name(checkpoint_path)}"
-    try:
-        return spark.read.schema("first bigint").parquet(stored).first()["first"]
-    except AnalysisException:  # this stream's first start
-        pass
-    try:
-        loads = read_log(spark, landing_path).agg(F.max("load_seq")).first()[0]
-    except AnalysisException:  # nothing was loaded yet
-        loads = None
-    first = 0 if loads is None else loads + 1
-    spark.range(1).select(F.lit(first).cast("bigint").alias("first")).write.parquet(stored)
-    return first
-
-
 def batch_writer(
-    landing_path: str, titles: Callable[[], DataFrame] | None = None, first: int = 0
+    landing_path: str, titles: Callable[[], DataFrame] | None = None, stream: str = "batches"
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function; ``first`` plus the batch id is the load order, so a replayed batch
-    replaces its own files, nothing is counted twice, and no other stream's loads are touched."""
+    """``foreachBatch`` function. Each batch of a stream has a load number of its own, reserved when it
+    first runs: a replayed batch replaces its own files by equal ones, and no other stream's loads are
+    touched, in whatever turns the streams run. Later loads overwrite earlier ones when the log is read."""
 
     def write(lines: DataFrame, batch_id: int) -> None:
+        load = LoadManifest(lines.sparkSession, landing_path).reserve(stream, batch_id)
         valid = validate_batch(good_rows(classify_lines(number_lines(lines))))
         if titles is not None:
             valid = attach_titles(valid, titles())
-        rows = to_landing_rows(valid, first + batch_id, F.current_timestamp().cast("timestamp_ntz"))
+        rows = to_landing_rows(valid, load.number, F.lit(load.reserved_at).cast("timestamp_ntz"))
         append_batch(rows, landing_path)
 
     return write
@@ -60,12 +45,11 @@ def start_ingest(
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Watch ``lines_path`` for export files. Without ``interval`` it takes what is there and ends."""
-    first = first_load(spark, landing_path, checkpoint_path)
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = with_file_positions(reader.text(lines_path, lineSep="\n"))
-    writer = lines.writeStream.foreachBatch(batch_writer(landing_path, titles, first)).option(
+    writer = lines.writeStream.foreachBatch(batch_writer(landing_path, titles, stream_name(checkpoint_path))).option(
         "checkpointLocation", checkpoint_path
     )
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
