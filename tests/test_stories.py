@@ -10,9 +10,10 @@ from wirepulse.functions import text
 from wirepulse.functions.embedding import hashed_words, model_embedder
 from wirepulse.operators import stories as st
 from wirepulse.operators.components import connected_components
-from wirepulse.operators.similarity import block_count, similarity_links, similarity_summary
+from wirepulse.operators.similarity import _joined, block_count, similarity_links, similarity_summary, to_cells
 from wirepulse.params import StoryParams
-from wirepulse.plans.story_job import inline_event_ids, run_story_job
+from wirepulse.plans.story_job import inline_event_ids, run_and_store, run_story_job
+from wirepulse.sources.story_store import StoryStore
 
 RUN = dt.datetime(2026, 7, 4, 12)
 
@@ -71,6 +72,59 @@ def test_links_stay_linear_for_copies(spark):
     assert links.count() <= 60 * 3
 
 
+def clustered(spark, clusters=12, each=40):
+    """Tight clusters far from one another, and zero vectors."""
+    rng = np.random.default_rng(1)
+    centers = np.eye(16)[:clusters]
+    rows = np.concatenate([c + rng.normal(scale=0.02, size=(each, 16)) for c in centers])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    data = [(i, v.tolist()) for i, v in enumerate(rows)] + [(9000 + i, [0.0] * 16) for i in range(3)]
+    return rows, spark.createDataFrame(data, "id bigint, vector array<double>")
+
+
+def test_far_blocks_are_never_compared(spark):
+    """Same results with blocks around pivots; on clustered vectors most pairs of blocks are skipped."""
+    rows, df = clustered(spark)
+    one = sorted(map(tuple, similarity_summary(df, 0.9, 1).collect()))
+    assert sorted(map(tuple, similarity_summary(df, 0.9, 24).collect())) == one
+    assert len(one) == len(rows)
+    cells, n = to_cells(df, 0.9, 24)
+    counts = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+    pairs = n * (n + 1) // 2
+    assert n >= 12 and len(counts) < pairs / 3
+    assert sum(counts.values()) < df.count() * n / 3  # rows moved, against each vector to each block
+    links = similarity_links(df, 0.9, 24)
+    found = {r.id: r.component for r in connected_components(df, links).collect()}
+    assert all(found[i] == i // 40 * 40 for i in range(len(rows))) and found[9001] == 9001
+
+
+def test_blocks_without_structure(spark):
+    rng = np.random.default_rng(2)
+    df = vectors(spark, rng.normal(size=(150, 4)))
+    want = sorted(map(tuple, similarity_summary(df, 0.6, 1).collect()))
+    for blocks in (2, 9, 40):
+        assert sorted(map(tuple, similarity_summary(df, 0.6, blocks).collect())) == want
+    zeros = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(5)], "id bigint, vector array<double>")
+    assert similarity_summary(zeros, 0.5, 3).count() == 0
+
+
+def test_labels_of_joined_groups():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n, m = rng.integers(1, 12, 2)
+        label = np.arange(n + m)
+        edges = []
+        for start in range(0, n, 4):
+            hits = rng.random((min(4, n - start), m)) < rng.choice([0.05, 0.2, 0.5])
+            edges += [(start + r, n + c) for r, c in zip(*np.nonzero(hits), strict=True)]
+            label = _joined(label, start, n, hits)
+        want = np.arange(n + m)
+        for _ in range(n + m):
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        assert (label == want).all()
+
+
 def test_block_count_grows_with_the_data():
     assert block_count(10) == 1
     assert 100 < block_count(10_000_000) < 200
@@ -207,3 +261,25 @@ def test_model_embedder_normalizes(spark):
     df = spark.createDataFrame([("abc",), (None,)], "t string")
     got = [r[0] for r in df.select(model_embedder(load)(F.col("t"))).collect()]
     assert np.allclose(got[0], np.array([3, 1]) / np.sqrt(10)) and np.allclose(got[1], [0, 1])
+
+
+def test_stored_runs(spark, tmp_path):
+    """Runs are folders: the newest comes from their names, readers open only their own, old ones go."""
+    store = StoryStore(spark, str(tmp_path / "runs"))
+    assert store.latest().count() == 0 and store.keys() == []
+    rows = [event(i, date_added=RUN - dt.timedelta(hours=i), page_title=f"title {i % 3}") for i in range(4)]
+    scored = batch(spark, rows).withColumn("intensity", F.lit(0.5))
+    early = RUN - dt.timedelta(hours=2)
+    assert run_and_store(scored, early, store) == [] and run_and_store(scored, RUN, store) == []
+    assert store.keys() == ["20260704100000", "20260704120000"]
+    assert {r.run_at for r in store.latest().collect()} == {RUN} and {r.run_at for r in store.latest(until=early).collect()} == {early}
+    assert sum(r.member_count for r in store.latest(until=early).collect()) == 2  # nothing newer was known
+    for _ in range(2):  # a run that is stored again replaces itself
+        run_and_store(scored, RUN, store)
+    assert store.latest_members().count() == 4 and store.stories().count() == 5
+    plan = store.latest()._jdf.queryExecution().executedPlan().toString()
+    assert "run_key" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    late = RUN + dt.timedelta(hours=71)
+    assert run_and_store(scored, late, store) == ["20260704100000"]
+    # A run without stories leaves no folder, as it leaves no row.
+    assert store.keys() == ["20260704120000"] and not list((tmp_path / "runs").rglob("*20260704100000*"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.test_parse import line
 from wirepulse.plans.retention import create_landing_table, run_retention
 from wirepulse.sources.landing import merge_log, read_log
+from wirepulse.sources.folders import Folder
 from wirepulse.sources.loads import LoadManifest
 from wirepulse.streaming.ingest import batch_writer, start_ingest
 from wirepulse.streaming.rates import read_counts, start_counts
@@ -63,7 +64,8 @@ def test_load_numbers(spark, tmp_path):
     manifest = LoadManifest(spark, out)
     first = manifest.reserve("a", 0)
     assert manifest.reserve("a", 0) == first and first.number == 0
-    assert manifest._create("numbers/1") and not manifest._create("numbers/1")  # another stream died here
+    lost = Folder(spark, f"{out}/_loads/numbers")
+    assert lost.create("1") and not lost.create("1")  # another stream died here
     assert [manifest.reserve(s, b).number for s, b in (("b", 0), ("a", 1), ("b", 0), ("a", 10))] == [2, 3, 2, 4]
     with ThreadPoolExecutor(8) as pool:
         got = list(pool.map(lambda i: LoadManifest(spark, out).reserve(f"s{i}", 0).number, range(16)))

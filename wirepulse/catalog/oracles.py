@@ -149,11 +149,6 @@ runs as (
              from loaded group by cycle) l using (cycle)
   left join parse_drops p using (cycle) left join validation_drops v using (cycle))"""
 
-DAILY = """dated as (
-  select *, date_trunc('day', date_added) + interval 1 day as run_at from scored where page_title is not null),
-daily_members as (
-  select *, min(global_event_id) over (partition by run_at, page_title) as story_id from dated)"""
-
 EMBED = """list_transform(range(64), lambda b: len(list_filter(list_transform(
     list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''),
     lambda w: cast('0x' || right(md5(w), 2) as int) % 64), lambda x: x = b)))"""
@@ -179,6 +174,23 @@ members as (
   select s.*, l.story_id from scored s join nodes n using (page_title) join labels l on l.node = n.id)"""
 
 
+# The three newest runs of the story job, each over the titled events of the day before it.
+RUN_STORIES = f"""run_times as (select {AS_OF} - to_hours(h) as run_at from (values (48), (24), (0)) r(h)),
+run_events as (select s.*, run_at from scored s join run_times on page_title is not null
+  and date_added <= run_at and date_added >= run_at - interval 24 hour),
+run_nodes as (select run_at, page_title, min(global_event_id) as id from run_events group by all),
+run_vectors as (select run_at, id, {unit_vector('c')} as v from (
+  select run_at, id, c from run_nodes join (
+    select page_title, {EMBED.format('page_title')} as c from (select distinct page_title from run_events)) using (page_title))),
+run_edges as (select a.run_at, a.id as src, b.id as dst from run_vectors a join run_vectors b using (run_at)
+  where a.id <> b.id and round(list_dot_product(a.v, b.v), 9) >= 0.6),
+run_reach as (select run_at, id as node, id as other from run_nodes
+  union select r.run_at, r.node, e.dst from run_reach r join run_edges e on r.run_at = e.run_at and r.other = e.src),
+run_labels as (select run_at, node, min(other) as story_id from run_reach group by all),
+run_members as (select e.*, l.story_id from run_events e join run_nodes n using (run_at, page_title)
+  join run_labels l on l.run_at = e.run_at and l.node = n.id)"""
+
+
 def stories_sql(members: str, keys: str, run_at: str) -> str:
     return f"""
   select {keys}, rep.page_title as rep_title, rep.source_url as rep_url, rep.lat as lat, rep.lon as lon,
@@ -207,7 +219,7 @@ def stories_sql(members: str, keys: str, run_at: str) -> str:
 
 
 STORIES = f"stories as ({stories_sql('members', 'story_id', AS_OF)})"
-DAILY_STORIES = f"daily_stories as ({stories_sql('daily_members', 'run_at, story_id', 'run_at')})"
+STORED_STORIES = f"stored_stories as ({stories_sql('run_members', 'run_at, story_id', 'run_at')})"
 LABELLED = """usable as (
   select story_id, label from (
     select story_id, member_count, nullif(rtrim(trim(string_split(
@@ -551,30 +563,29 @@ sums as (
 select cast(run_at as varchar) as run_at, action_geo_country_code, articles_last_hour, articles_prev_hour,
   case when articles_last_hour > articles_prev_hour * 1.2 then 'rising'
        when articles_last_hour < articles_prev_hour * 0.8 then 'falling' else 'steady' end as trend from sums""")
-_daily = (RAW, CLEANED, SCORED, DAILY, DAILY_STORIES)
+_runs = (RAW, CLEANED, SCORED, RUN_STORIES, STORED_STORIES)
 LATEST = """latest_stories as (
-  select * replace (least(1.0, intensity) as intensity), rep_title as summary from daily_stories
-  where run_at = (select max(run_at) from daily_stories) order by intensity desc, story_id limit 500)"""
-add("stories_latest", *_daily, LATEST, select=f"select story_id, summary, {STORY_TEXT} from latest_stories")
-add("stories_geojson", *_daily, LATEST, """ids as (
+  select * replace (least(1.0, intensity) as intensity), rep_title as summary from stored_stories
+  where run_at = (select max(run_at) from stored_stories) order by intensity desc, story_id limit 500)"""
+add("stories_latest", *_runs, LATEST, recursive=True, select=f"select story_id, summary, {STORY_TEXT} from latest_stories")
+add("stories_geojson", *_runs, LATEST, """ids as (
   select run_at, story_id, string_agg(cast(global_event_id as varchar), ',' order by global_event_id) as event_ids
-  from daily_members group by 1, 2)""", select=f"""
+  from run_members group by 1, 2)""", recursive=True, select=f"""
 select story_id as id, lon as lng, lat, summary as title, total_articles as num_articles, total_sources as num_sources,
   {ISO.format('latest')} as date_added, source_urls[1] as source_url, summary, member_count,
   round(intensity, 6) as intensity, round(avg_tone, 6) as avg_tone, trend, location, country_code,
   array_to_string(source_urls, '|') as source_urls, event_ids, {ISO.format('earliest')} as earliest,
   {ISO.format('run_at')} as run_at from latest_stories join ids using (run_at, story_id)""")
-add("story_retention", *_daily, select=f"""
-select cast(run_at as varchar) as run_at, story_id, member_count from daily_stories
-where daily_stories.run_at >= {AS_OF} - interval 72 hour""")
-add("pipeline_stats", *_daily, PARSED, VALID, TITLES, RUNS, select="""
+add("story_retention", *_runs, recursive=True, select="""
+select cast(run_at as varchar) as run_at, story_id, member_count from stored_stories""")
+add("pipeline_stats", *_runs, PARSED, VALID, TITLES, RUNS, recursive=True, select="""
 select (select count(*) from scored) as total_events,
-  (select count(*) from daily_stories where run_at = (select max(run_at) from daily_stories)) as total_stories,
+  (select count(*) from stored_stories where run_at = (select max(run_at) from stored_stories)) as total_stories,
   cast((select max(run_at) from runs) as varchar) as last_ingestion_at,
   (select arg_max(rows_loaded, run_at) from runs) as last_ingestion_rows""")
-add("stories_or_events", *_daily, """shown as (
-  select * from daily_stories where run_at = (select max(run_at) from daily_stories)
-  order by least(1.0, intensity) desc, story_id limit 800)""", select="""
+add("stories_or_events", *_runs, """shown as (
+  select * from stored_stories where run_at = (select max(run_at) from stored_stories)
+  order by least(1.0, intensity) desc, story_id limit 800)""", recursive=True, select="""
 select * from (
   select 'before' as moment, 'event' as kind, global_event_id as id, page_title as title, lat, lon,
     round(intensity, 6) as intensity, cast(num_articles as bigint) as num_articles

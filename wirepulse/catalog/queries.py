@@ -7,6 +7,7 @@ text, so results compare with plain SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -546,21 +547,6 @@ def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _daily_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories of exactly equal titles, one run per day."""
-    run_at = F.date_trunc("day", "date_added").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1))
-    events = tables.scored_events(spark, sf_dir).filter("page_title is not null").withColumn("run_at", run_at)
-    titles = events.groupBy("run_at", "page_title").agg(F.min("global_event_id").alias("story_id"))
-    return events.join(titles, ["run_at", "page_title"])
-
-
-def _daily_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stories = st.aggregate_stories(
-        _daily_members(spark, sf_dir), None, keys=("run_at", "story_id")
-    )
-    return stories.withColumn("summary", F.col("rep_title"))
-
-
 @register
 def story_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_at = F.date_trunc("day", "date_added").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1))
@@ -573,18 +559,15 @@ def story_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def stories_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stories = ev.query_stories(_daily_stories(spark, sf_dir), 500)
+    stories = ev.rank_stories(tables.story_store(spark, sf_dir).latest(), 500)
     return _story_columns(stories, "story_id", "summary")
 
 
 @register
 def stories_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest stories as features with their event ids, flattened again to map points."""
-    members = _daily_members(spark, sf_dir)
-    top = ev.query_stories(_daily_stories(spark, sf_dir), 500)
-    # The story id alone is unique within the latest run.
-    newest = members.filter(F.col("run_at") == members.agg(F.max("run_at")).scalar())
-    full = inline_event_ids(top, st.story_event_ids(newest))
+    store = tables.story_store(spark, sf_dir)
+    full = inline_event_ids(ev.rank_stories(store.latest(), 500), store.latest_members())
     rounded = full.withColumns({"intensity": F.round("intensity", 6), "avg_tone": F.round("avg_tone", 6)})
     points = geojson.flatten_stories(geojson.story_features(rounded))
     return points.select(
@@ -596,14 +579,15 @@ def stories_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def story_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = st.retained_stories(_daily_stories(spark, sf_dir), inputs.newest(spark, sf_dir))
+    """The runs that are left after the newest one dropped those past their retention."""
+    kept = tables.story_store(spark, sf_dir).stories()
     return kept.select(_txt("run_at"), "story_id", "member_count")
 
 
 @register
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = ev.pipeline_stats(
-        tables.scored_events(spark, sf_dir), _daily_stories(spark, sf_dir), _run_log(spark, sf_dir)
+        tables.scored_events(spark, sf_dir), tables.story_store(spark, sf_dir).latest(), _run_log(spark, sf_dir)
     )
     return stats.select("total_events", "total_stories", _txt("last_ingestion_at"), "last_ingestion_rows")
 
@@ -611,16 +595,15 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def stories_or_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map points before and after the first story run: no story yet, then the newest stories."""
-    stories = ev.query_stories(_daily_stories(spark, sf_dir), 800)
-    first_run = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    store = tables.story_store(spark, sf_dir)
     events = tables.scored_events(spark, sf_dir)
 
     def points(known: DataFrame, moment: str) -> DataFrame:
         shown = ev.stories_or_events(known, events).withColumn("intensity", F.round("intensity", 6))
         return shown.select(F.lit(moment).alias("moment"), "*")
 
-    before = points(stories.filter(F.col("run_at") <= first_run), "before")
-    return before.unionByName(points(stories, "after"))
+    before = ev.rank_stories(store.latest(until=datetime(2024, 1, 1)), 800)
+    return points(before, "before").unionByName(points(ev.rank_stories(store.latest(), 800), "after"))
 
 
 # --- retrieval --------------------------------------------------------------------------------

@@ -6,18 +6,23 @@ Each is built once per session and data folder, below the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wirepulse.catalog import inputs
 from wirepulse.operators.clean import clean, score, write_scored
 from wirepulse.params import StoryParams
-from wirepulse.plans.story_job import cluster_events
+from wirepulse.plans.story_job import cluster_events, run_and_store
 from wirepulse.schemas import SCORED_SCHEMA
+from wirepulse.sources.story_store import StoryStore
 from wirepulse.session import fresh_path
 
 # Stories of the whole table, whatever time it spans.
 WHOLE_TABLE = StoryParams(window_hours=None)
+# Runs of the story job, hours before the newest event; the first is past its retention at the last.
+RUN_HOURS = (80, 48, 24, 0)
+RUN_PARAMS = StoryParams(window_hours=24)
 
 _PATHS: dict[tuple[str, str, str], str] = {}
 
@@ -51,3 +56,15 @@ def story_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = stored(spark, sf_dir, "story_members", write)
     return spark.read.schema(SCORED_SCHEMA + ", story_id bigint").parquet(path)
+
+
+def story_store(spark: SparkSession, sf_dir: str) -> StoryStore:
+    """The stored runs of the story job, one after another as a schedule would make them."""
+
+    def write(path: str) -> None:
+        events = scored_events(spark, sf_dir)
+        newest = spark.range(1).select(inputs.newest(spark, sf_dir)).first()[0]
+        for hours in RUN_HOURS:
+            run_and_store(events, newest - timedelta(hours=hours), StoryStore(spark, path), params=RUN_PARAMS)
+
+    return StoryStore(spark, stored(spark, sf_dir, "story_runs", write))

@@ -79,12 +79,13 @@ def latest_run(stories: DataFrame) -> DataFrame:
 
 def query_stories(stories: DataFrame, limit: int = 500) -> DataFrame:
     """Stories of the newest run, highest intensity first, intensity capped at 1."""
-    return (
-        latest_run(stories)
-        .withColumn("intensity", F.least(F.lit(1.0), "intensity"))
-        .orderBy(F.desc("intensity"), "story_id")
-        .limit(limit)
-    )
+    return rank_stories(latest_run(stories), limit)
+
+
+def rank_stories(run: DataFrame, limit: int = 500) -> DataFrame:
+    """The same of the stories of one run."""
+    capped = run.withColumn("intensity", F.least(F.lit(1.0), "intensity"))
+    return capped.orderBy(F.desc("intensity"), "story_id").limit(limit)
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
@@ -92,14 +93,14 @@ def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def pipeline_stats(events: DataFrame, stories: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row: events, stories of the newest run, time and size of the last ingestion."""
+    """One row: events, stories of the newest run (``stories``), time and size of the last ingestion."""
     last = runs.agg(
         F.max("run_at").alias("last_ingestion_at"),
         F.max_by("rows_loaded", "run_at").alias("last_ingestion_rows"),
     )
     return last.select(
         events.agg(F.count("*")).scalar().alias("total_events"),
-        latest_run(stories).agg(F.count("*")).scalar().alias("total_stories"),
+        stories.agg(F.count("*")).scalar().alias("total_stories"),
         "last_ingestion_at",
         "last_ingestion_rows",
     )

@@ -1,27 +1,39 @@
 """Exact cosine-similarity join of unit vectors, without one row per pair.
 
-Vectors are hashed into ``b`` blocks and every unordered pair of blocks is one cell. A vector is
-sent to the cells of its block; inside a cell the similarities come from a matrix product over
-two bounded blocks. What leaves a cell is linear in its vectors: either per-vector summaries or
-the links of a spanning forest. All pairs of a group of near-copies are therefore never written.
+Vectors lie in blocks around pivots: each in the block of its nearest pivot, large ones cut by hash. By
+the triangle inequality on angles, a vector can be similar to a vector of a block only if its angle to
+the block's pivot is at most the block's radius and the angle of the threshold together. Only then it
+visits the block, so on clustered data most pairs of blocks are never compared. Each pair of blocks
+that is compared is one cell, where the similarities come from a matrix product.
+
+What leaves a cell is linear in its vectors: either per-vector summaries or the links of a spanning
+forest. All pairs of a group of near-copies are therefore never written.
 
 The number of blocks follows the number of vectors, so a cell fits an executor and the cells
-spread over the cluster: n = 10 million vectors give about 150 blocks and 12,000 cells.
+spread over the cluster: n = 10 million vectors give about 150 blocks and at most 12,000 cells. Vectors
+without any structure visit every block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirepulse.session import fresh_path
+
 MIN_BLOCK = 4096
 MAX_BLOCK = 65_536
 TARGET_BLOCKS = 128
+MAX_PIVOTS = 1024
+# Added to angles for the rounding of the arithmetic; far below what a decision depends on.
+SLACK = 1e-6
 # Elements of one similarity chunk (64 MB of doubles).
 CHUNK_ELEMENTS = 1 << 23
 # Similarities are compared after rounding, so sums in another order give the same pairs.
@@ -39,13 +51,114 @@ def _check(threshold: float) -> None:
         raise ValueError("threshold must be in (0, 1)")
 
 
-def to_cells(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(cell, block, id, vector): each vector once per cell that involves its block."""
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    placed = vectors.select("id", "vector", block.alias("block")).withColumn("_other", other)
-    low, high = F.least("block", "_other"), F.greatest("block", "_other")
-    return placed.select((low.cast("bigint") * blocks + high).alias("cell"), "block", "id", "vector")
+@dataclass(frozen=True)
+class Blocks:
+    """Pivots and what lies around them: the radius of each (an angle, slack included), and the number
+    of blocks that its vectors are cut into. Blocks are numbered pivot by pivot."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    parts: np.ndarray
+
+    @property
+    def count(self) -> int:
+        return int(self.parts.sum())
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.parts) - self.parts
+
+    def visits(self, angles: np.ndarray, reach: float | np.ndarray) -> np.ndarray:
+        """(vectors, pivots): whether a vector with these angles to the pivots has to look there for
+        others within ``reach``."""
+        return angles <= self.radius + np.reshape(reach, (-1, 1))
+
+
+def angles_to(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
+
+
+def choose_pivots(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vector") -> np.ndarray:
+    """As many of the vectors as there are blocks (at most ``MAX_PIVOTS``), chosen by hash; which ones
+    they are has no influence on the result."""
+    chosen = (
+        vectors.orderBy(F.xxhash64(key)).limit(min(blocks, MAX_PIVOTS)).select(F.col(vector).cast("array<double>").alias("v"))
+    )
+    return np.unique(np.array([r.v for r in chosen.collect()], float), axis=0)
+
+
+def lay_out(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vector") -> tuple[DataFrame, Blocks]:
+    """(the vectors with their ``block``, stored; the blocks). The driver gets the pivots and one row for
+    each: its number of vectors and its radius. There must be a vector, and none may be zero."""
+    spark = vectors.sparkSession
+    pivots = choose_pivots(vectors, blocks, key, vector)
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            matrix = to_matrix(pa.chunked_array([rows.column(1)]))
+            angle = angles_to(matrix, pivots)
+            nearest = angle.argmin(axis=1)
+            own = angle[np.arange(len(matrix)), nearest]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(nearest, pa.int32()), pa.array(own)], [key, vector, "pivot", "angle"]
+            )
+
+    dense = vectors.select(key, F.col(vector).cast("array<double>").alias(vector))
+    placed = dense.mapInArrow(place, f"`{key}` {kind}, `{vector}` array<double>, pivot int, angle double")
+    path = fresh_path(spark, "placed-vectors")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    found = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
+    sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for row in found:
+        sizes[row["pivot"]], radius[row["pivot"]] = row["n"], row["r"]
+    most = max(1, math.ceil(sizes.sum() / blocks)) * 2
+    layout = Blocks(pivots, np.where(sizes > 0, radius + SLACK, -np.inf), np.maximum(-(-sizes // most), 1))
+    first, parts = (F.array(*map(F.lit, x.tolist())) for x in (layout.first, layout.parts))
+    block = F.get(first, F.col("pivot")) + F.pmod(F.xxhash64(key), F.get(parts, F.col("pivot")))
+    return placed.withColumn("block", block.cast("int")).drop("angle"), layout
+
+
+def visited_blocks(layout: Blocks, reach: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """The blocks behind its own that a vector has to visit, as a function of vectors and blocks."""
+
+    @F.pandas_udf("array<int>")
+    def visits(vector: pd.Series, block: pd.Series) -> pd.Series:
+        if not len(vector):
+            return pd.Series([], dtype=object)
+        matrix = np.array(vector.tolist(), float)
+        where = layout.visits(angles_to(matrix, layout.pivots), reach)
+        owner = np.repeat(np.arange(len(layout.parts)), layout.parts)
+        spread = where[:, owner] & (np.arange(layout.count) > block.to_numpy()[:, None])
+        return pd.Series([np.flatnonzero(row).tolist() for row in spread], index=vector.index)
+
+    return visits
+
+
+def to_cells(vectors: DataFrame, threshold: float, blocks: int) -> tuple[DataFrame, int]:
+    """((cell, block, id, vector), number of blocks): each vector in the cell of its block, and in one for
+    each pair of blocks that may hold similar vectors and involves it. Zero vectors, which are similar to
+    nothing, are left out."""
+    vectors = vectors.filter(F.exists("vector", lambda x: x != 0))
+    if blocks == 1 or vectors.isEmpty():
+        one = vectors.select(F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("block"), "id", "vector")
+        return one, 1
+    placed, layout = lay_out(vectors, blocks)
+    reach = math.acos(threshold - SLACK) + SLACK
+    n = layout.count
+    visitors = placed.withColumn("_to", F.explode(visited_blocks(layout, reach)("vector", "block")))
+    path = fresh_path(vectors.sparkSession, "visits")
+    visitors.select("block", "_to", "id", "vector").write.parquet(path)
+    visitors = vectors.sparkSession.read.parquet(path)
+    met = visitors.select("block", "_to").distinct().select(F.col("block").alias("_from"), F.col("_to").alias("block"))
+    cell = lambda low, high: (F.col(low).cast("bigint") * n + F.col(high)).alias("cell")
+    own = placed.select(cell("block", "block"), "block", "id", "vector")
+    visited = placed.join(met, "block").select(cell("_from", "block"), "block", "id", "vector")
+    visiting = visitors.select(cell("block", "_to"), "block", "id", "vector")
+    return own.unionByName(visited).unionByName(visiting), n
 
 
 def to_matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -121,10 +234,9 @@ def similarity_summary(
     """Per vector with at least one other vector at ``threshold`` or above: how many, the nearest
     one (smallest id on ties) and its similarity. ``vectors`` has (id bigint, vector)."""
     _check(threshold)
-    blocks = blocks or block_count(vectors.count())
+    cells, blocks = to_cells(vectors, threshold, blocks or block_count(vectors.count()))
     partial = (
-        to_cells(vectors, blocks)
-        .groupBy("cell")
+        cells.groupBy("cell")
         .applyInArrow(
             _summaries(blocks, threshold),
             "id bigint, partners bigint, best_id bigint, best_similarity double",
@@ -143,6 +255,27 @@ def similarity_summary(
     )
 
 
+def _joined(label: np.ndarray, start: int, offset: int, hits: np.ndarray) -> np.ndarray:
+    """Labels after the groups of all hits are joined; every label is the number of its group's first
+    vector. Row i of ``hits`` is vector ``start + i``, column j is vector ``offset + j``."""
+    some = np.flatnonzero(hits.any(axis=1))
+    hits, rows = hits[some], start + some
+    columns = offset + np.arange(hits.shape[1])
+    while len(some):
+        of_row, of_column = label[rows], label[columns]
+        lowest = np.minimum(np.where(hits, of_column, len(label)).min(axis=1), of_row)
+        lead = np.arange(len(label))  # where each label goes
+        np.minimum.at(lead, of_row, lowest)
+        row, column = np.nonzero(hits & (of_column != lowest[:, None]))
+        if not len(row) and (of_row == lowest).all():
+            break
+        np.minimum.at(lead, of_column[column], lowest[row])
+        while (lead[lead] != lead).any():
+            lead = lead[lead]
+        label = lead[label]
+    return label
+
+
 def _forest(blocks: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
     def link(table: pa.Table) -> pa.Table:
         left_ids, left, right_ids, right, diagonal = _split_cell(table, blocks)
@@ -151,10 +284,10 @@ def _forest(blocks: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
         label = np.arange(len(ids))
         for start, sims in similarity_chunks(left, right):
             hits = sims >= threshold
-            for row in np.flatnonzero(hits.any(axis=1)):
-                group = np.unique(label[np.append(np.flatnonzero(hits[row]) + offset, start + row)])
-                if len(group) > 1:
-                    label[np.isin(label, group)] = group[0]
+            if diagonal:
+                own = np.arange(len(sims))
+                hits[own, start + own] = False
+            label = _joined(label, start, offset, hits)
         # One link from every merged vector to the smallest id of its group.
         smallest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(smallest, label, ids)
@@ -171,9 +304,5 @@ def similarity_links(
     """(src, dst) links whose transitive closure equals that of all pairs at ``threshold`` or
     above: each cell returns a spanning forest of its own pairs."""
     _check(threshold)
-    blocks = blocks or block_count(vectors.count())
-    return (
-        to_cells(vectors, blocks)
-        .groupBy("cell")
-        .applyInArrow(_forest(blocks, threshold), "src bigint, dst bigint")
-    )
+    cells, blocks = to_cells(vectors, threshold, blocks or block_count(vectors.count()))
+    return cells.groupBy("cell").applyInArrow(_forest(blocks, threshold), "src bigint, dst bigint")

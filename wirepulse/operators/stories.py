@@ -243,9 +243,3 @@ def story_metrics(stories: DataFrame) -> DataFrame:
     )
     ratio = F.when(F.col("events") > 0, F.round(F.col("clusters") / F.col("events"), 3))
     return totals.withColumn("dedup_ratio", ratio)
-
-
-def retained_stories(stories: DataFrame, as_of: Instant, params: StoryParams = StoryParams()) -> DataFrame:
-    """Runs younger than the retention; older ``run_at`` partitions are the ones to drop."""
-    oldest = as_of_column(as_of) - F.make_dt_interval(hours=F.lit(params.retention_hours))
-    return stories.filter(F.col("run_at") >= oldest)

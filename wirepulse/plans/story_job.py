@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from wirepulse.functions.embedding import hashed_words
 from wirepulse.functions.scoring import as_of_column
 from wirepulse.operators import stories as st
+from wirepulse.operators.events import time_filter
 from wirepulse.params import StoryParams
+from wirepulse.sources.story_store import StoryStore
 
 
 @dataclass(frozen=True)
@@ -66,8 +69,16 @@ def inline_event_ids(stories: DataFrame, event_ids: DataFrame) -> DataFrame:
     return stories.join(lists, "story_id", "left")
 
 
-def append_run(stories: DataFrame, path: str) -> None:
-    """Add a run as its own ``run_key`` folder; older runs are not touched."""
-    stories.withColumn("run_key", F.date_format("run_at", "yyyyMMddHHmmss")).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("run_key").parquet(path)
+def run_and_store(
+    scored: DataFrame,
+    run_at: datetime,
+    store: StoryStore,
+    responses: DataFrame | None = None,
+    embed: Callable[[Column], Column] = hashed_words,
+    params: StoryParams = StoryParams(),
+) -> list[str]:
+    """One cycle of the job over the events known at ``run_at``: its stories and their members are added
+    to the store, runs past their retention go. Returns the keys of those."""
+    known = time_filter(scored, end=run_at)
+    run = run_story_job(known, run_at, responses, embed, params)
+    return store.append(run_at, run.stories, run.event_ids, params)

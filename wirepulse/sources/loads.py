@@ -15,10 +15,10 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from threading import Lock
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-_TAKEN = "FileAlreadyExistsException"
+from wirepulse.sources.folders import Folder
+
 _ONE_AT_A_TIME = Lock()
 
 
@@ -32,50 +32,32 @@ class LoadManifest:
     """The numbers of a landing log, kept below ``<landing path>/_loads``."""
 
     def __init__(self, spark: SparkSession, landing_path: str):
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._log = landing_path.rstrip("/")
-        self._folder = f"{self._log}/_loads"
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        self._files = self._path(self._folder).getFileSystem(hadoop)
+        self._log = Folder(spark, landing_path)
 
     def reserve(self, stream: str, batch: int) -> Load:
         """The number of a batch: the one it has already, or the next free one."""
         own = self._number_of(stream, batch)
         if own is None:
             own = self._take()
-            self._create(f"streams/{stream}/{batch}={own}")
+            self._log.create(f"_loads/streams/{stream}/{batch}={own}")
             own = self._number_of(stream, batch)
-        status = self._files.getFileStatus(self._path(f"{self._folder}/streams/{stream}/{batch}={own}"))
-        moment = datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)
+        named = self._log.modified(f"_loads/streams/{stream}/{batch}={own}")
+        moment = datetime.fromtimestamp(named / 1000, timezone.utc)
         return Load(own, moment.replace(tzinfo=None))
 
     def numbers(self) -> list[int]:
-        return sorted(int(n) for n in self._names("numbers/*"))
+        return sorted(int(n) for n in self._log.names("_loads/numbers/*"))
 
     def _number_of(self, stream: str, batch: int) -> int | None:
-        found = [int(n.split("=")[1]) for n in self._names(f"streams/{stream}/{batch}=*")]
+        found = [int(n.split("=")[1]) for n in self._log.names(f"_loads/streams/{stream}/{batch}=*")]
         return min(found, default=None)
 
     def _take(self) -> int:
         taken = self.numbers()
         if not taken:  # a log from before there were numbers
-            taken = [int(n.split("=")[1]) for n in self._names("../load_seq=*")]
+            taken = [int(n.split("=")[1]) for n in self._log.names("load_seq=*")]
         number = max(taken, default=-1) + 1
         with _ONE_AT_A_TIME:
-            while not self._create(f"numbers/{number}"):
+            while not self._log.create(f"_loads/numbers/{number}"):
                 number += 1
         return number
-
-    def _create(self, name: str) -> bool:
-        try:
-            self._files.create(self._path(f"{self._folder}/{name}"), False).close()
-        except Py4JJavaError as error:
-            if _TAKEN not in error.java_exception.getClass().getName():
-                raise
-            return False
-        return True
-
-    def _names(self, pattern: str) -> list[str]:
-        place = f"{self._log}/{pattern[3:]}" if pattern.startswith("../") else f"{self._folder}/{pattern}"
-        found = self._files.globStatus(self._path(place))
-        return [f.getPath().getName() for f in found or []]
