@@ -6,6 +6,7 @@ from wirepulse.functions.embedding import hashed_words
 from wirepulse.functions.geo import detect_country
 from wirepulse.functions.text import document_text
 from wirepulse.operators import retrieval
+from wirepulse.operators.similarity import lay_out
 
 ARTICLES = [
     ("1", "Mumbai floods worsen", "Red alert issued", "https://a.example/1", "IN"),
@@ -45,6 +46,27 @@ def test_scope_and_fallback(spark, index):
     assert by_question == {0: {"1", "5"}, 1: set("12345"), 2: set("12345")}
 
 
+def test_far_blocks_are_skipped(spark):
+    """Clustered unit vectors: the same hits as a full search, ties and zero vectors included, from few
+    of the blocks."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 16))
+    entries = np.repeat(centers, 30, axis=0) + rng.normal(scale=0.05, size=(360, 16))
+    entries = np.concatenate([entries, entries[:40], np.zeros((3, 16))])
+    asked = np.concatenate([entries[::9] + rng.normal(scale=0.01, size=entries[::9].shape), np.zeros((1, 16)), rng.normal(size=(3, 16))])
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    e = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(unit(entries))], "id string, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit(asked))], "question_id bigint, vector array<double>")
+    full = sorted(map(tuple, retrieval._search(q, e, None, 5, 4096, 16384).collect()))
+    pruned = retrieval._search_all(q, e, 5, 16, 20).select("question_id", "id", "similarity", "scoped", "rank")
+    assert sorted(map(tuple, pruned.collect())) == [tuple(r) for r in sorted(full)] and len(full) == 5 * len(asked)
+    placed, layout = lay_out(e, 22, "id", "embedding")
+    home = retrieval._home(q, layout)
+    first = retrieval._search(home, placed, "block", 5, 4096, 16384)
+    looked = retrieval.visits(home, layout, 5, first).count() + len(asked)
+    assert layout.unit and looked < len(asked) * layout.count / 2
+
+
 @pytest.mark.parametrize("question_block, entry_block", [(4096, 16384), (3, 7)])
 def test_blocks_agree_with_brute_force(spark, question_block, entry_block):
     rng = np.random.default_rng(1)

@@ -646,7 +646,7 @@ def detect_country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def knn_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unscoped neighbours of every labelled vector among all others of the table."""
+    """Unscoped neighbours of every labelled vector among all of the table; it is its own nearest."""
     vectors = inputs.table(spark, sf_dir, "embeddings")
     dense = F.col("embedding").cast("array<double>")
     asked = vectors.select(

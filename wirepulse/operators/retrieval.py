@@ -1,15 +1,21 @@
 """Vector index upsert and exact nearest-neighbour retrieval for many questions in one job.
 
-Questions and index entries are cut into bounded blocks; every (question block, entry block)
-combination is one cell computed as a matrix product. A cell returns at most ``k`` entries per
-question and scope, so the ranking after it is small. Nothing is broadcast or collected.
+Questions and index entries are cut into bounded blocks; a (question block, entry block) combination is
+one cell computed as a matrix product. A cell returns at most ``k`` entries per question and scope, so
+the ranking after it is small.
+
+The entries of a search among all lie around pivots. A question looks into the block of its nearest pivot
+first. Its k-th best similarity there is a bound: a block whose pivot is farther away than the bound's
+angle and the block's radius together can't hold a better entry, or an equal one, and is skipped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -18,7 +24,8 @@ from pyspark.sql import functions as F
 from wirepulse.functions.geo import detect_country
 from wirepulse.functions.text import answer_prompt, context_line
 from wirepulse.operators.ranking import latest_per_key, top_k_per_group
-from wirepulse.operators.similarity import similarity_chunks, to_matrix
+from wirepulse.operators.similarity import DIGITS, SLACK, Blocks, angles_to, lay_out, similarity_chunks, to_matrix
+from wirepulse.session import fresh_path
 
 QUESTION_BLOCK = 4096
 ENTRY_BLOCK = 16_384
@@ -78,17 +85,22 @@ def _search(
     """
     name = F.col(scope) if scope else F.lit("")
     q, e = questions.withColumn("_scope", name), index.withColumn("_scope", name)
-    blocks = (
-        q.groupBy("_scope").agg(F.ceil(F.count("*") / question_block).cast("int").alias("qs"))
-        .join(e.groupBy("_scope").agg(F.ceil(F.count("*") / entry_block).cast("int").alias("es")), "_scope")
-    )
+    if scope is None:
+        qs, es = (max(1, math.ceil(x.count() / n)) for x, n in ((questions, question_block), (index, entry_block)))
+        q, e = (x.withColumns({"qs": F.lit(qs), "es": F.lit(es)}) for x in (q, e))
+    else:
+        blocks = (
+            q.groupBy("_scope").agg(F.ceil(F.count("*") / question_block).cast("int").alias("qs"))
+            .join(e.groupBy("_scope").agg(F.ceil(F.count("*") / entry_block).cast("int").alias("es")), "_scope")
+        )
+        q, e = (x.join(blocks, "_scope") for x in (q, e))
     sides = []
     for side, key, own, other, mine, vector, role in (
         (q, "question_id", "qb", "eb", "qs", "vector", 0), (e, "id", "eb", "qb", "es", "embedding", 1)
     ):
         opposite = "es" if mine == "qs" else "qs"
         sides.append(
-            side.join(blocks, "_scope").select(
+            side.select(
                 "_scope", F.pmod(F.xxhash64(key), F.col(mine)).cast("int").alias(own),
                 F.explode(F.sequence(F.lit(0), F.col(opposite) - 1)).alias(other),
                 F.lit(role).alias("role"), F.col(key).cast("string").alias("id"), F.col(vector).alias("vector"),
@@ -99,8 +111,67 @@ def _search(
         .applyInArrow(_nearest(k), "question_id bigint, id string, similarity double")
         .withColumn("scoped", F.lit(scope is not None))
     )
+    return _ranked(partial, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = [F.desc("similarity"), F.asc("id")]
-    return top_k_per_group(partial, ["question_id", "scoped"], order, k, ["id"], rank="rank")
+    return top_k_per_group(found, ["question_id", "scoped"], order, k, ["id"], rank="rank")
+
+
+def visits(questions: DataFrame, layout: Blocks, k: int, first: DataFrame) -> DataFrame:
+    """(question_id, vector, block): the blocks that each question still has to look into, after the hits
+    of its ``block`` in ``first``. With fewer than ``k`` hits, and for a zero vector, these are all."""
+    bound = first.groupBy("question_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("_least"))
+
+    @F.pandas_udf("array<int>")
+    def needed(vector: pd.Series, block: pd.Series, least: pd.Series) -> pd.Series:
+        if not len(vector):
+            return pd.Series([], dtype=object)
+        matrix = np.array(vector.tolist(), float)
+        reach = np.arccos(np.clip(least.to_numpy(float) - 10.0**-DIGITS, -1.0, 1.0)) + SLACK
+        reach[np.isnan(reach) | ~matrix.any(axis=1)] = np.inf
+        where = layout.visits(angles_to(matrix, layout.pivots), reach)
+        where &= np.isfinite(layout.radius)
+        spread = where[:, np.repeat(np.arange(len(layout.parts)), layout.parts)]
+        spread[np.arange(len(matrix)), block.to_numpy()] = False
+        return pd.Series([np.flatnonzero(row).tolist() for row in spread], index=vector.index)
+
+    rows = questions.join(bound, "question_id", "left").select("question_id", "vector", needed("vector", "block", "_least").alias("_to"))
+    return rows.select("question_id", "vector", F.explode("_to").alias("block"))
+
+
+def _home(questions: DataFrame, layout: Blocks) -> DataFrame:
+    """(question_id, vector, block): a block of the nearest pivot that has entries."""
+    first, parts = layout.first, layout.parts
+    used = np.flatnonzero(np.isfinite(layout.radius))
+
+    @F.pandas_udf("int")
+    def nearest(vector: pd.Series, hashed: pd.Series) -> pd.Series:
+        if not len(vector):
+            return pd.Series([], dtype="int32")
+        pivot = used[angles_to(np.array(vector.tolist(), float), layout.pivots[used]).argmin(axis=1)]
+        return pd.Series((first[pivot] + hashed.to_numpy() % parts[pivot]).astype(np.int32), index=vector.index)
+
+    hashed = F.pmod(F.xxhash64("question_id"), F.lit(1 << 30))
+    dense = questions.select("question_id", F.col("vector").cast("array<double>").alias("vector"))
+    return dense.withColumn("block", nearest("vector", hashed))
+
+
+def _search_all(questions: DataFrame, index: DataFrame, k: int, question_block: int, entry_block: int) -> DataFrame:
+    """``_search`` among all entries; one block of entries is searched whole, of more the far ones are
+    skipped."""
+    blocks = math.ceil(index.count() / entry_block)
+    if blocks <= 1:
+        return _search(questions, index, None, k, question_block, entry_block)
+    entries, layout = lay_out(index.select("id", "embedding"), blocks, "id", "embedding")
+    asked = _home(questions, layout)
+    path = fresh_path(index.sparkSession, "first-probe")
+    _search(asked, entries, "block", k, question_block, entry_block).write.parquet(path)
+    first = index.sparkSession.read.parquet(path)
+    more = _search(visits(asked, layout, k, first), entries, "block", k, question_block, entry_block)
+    hits = first.unionByName(more).drop("rank").withColumn("scoped", F.lit(False))
+    return _ranked(hits, k)
 
 
 def nearest_entries(
@@ -117,7 +188,7 @@ def nearest_entries(
     gets the top ``k`` among entries of that country. Ties go to the smaller id.
     """
     scoped = _in_country(questions, index, k, question_block, entry_block)
-    return _search(questions, index, None, k, question_block, entry_block).unionByName(scoped)
+    return _search_all(questions, index, k, question_block, entry_block).unionByName(scoped)
 
 
 def _in_country(
@@ -140,7 +211,7 @@ def nearest_with_fallback(
     countries = index.select(F.col("country_code").alias("country")).distinct()
     without = questions.join(countries, "country", "left_anti")
     scoped = _in_country(questions, index, k, question_block, entry_block)
-    return scoped.unionByName(_search(without, index, None, k, question_block, entry_block))
+    return scoped.unionByName(_search_all(without, index, k, question_block, entry_block))
 
 
 def embed_questions(questions: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:

@@ -54,11 +54,13 @@ def _check(threshold: float) -> None:
 @dataclass(frozen=True)
 class Blocks:
     """Pivots and what lies around them: the radius of each (an angle, slack included), and the number
-    of blocks that its vectors are cut into. Blocks are numbered pivot by pivot."""
+    of blocks that its vectors are cut into. Blocks are numbered pivot by pivot. Angles bound products
+    of ``unit`` vectors only; of others nothing is skipped."""
 
     pivots: np.ndarray
     radius: np.ndarray
     parts: np.ndarray
+    unit: bool = True
 
     @property
     def count(self) -> int:
@@ -71,11 +73,19 @@ class Blocks:
     def visits(self, angles: np.ndarray, reach: float | np.ndarray) -> np.ndarray:
         """(vectors, pivots): whether a vector with these angles to the pivots has to look there for
         others within ``reach``."""
+        if not self.unit:
+            return np.broadcast_to(np.isfinite(self.radius), angles.shape).copy()
         return angles <= self.radius + np.reshape(reach, (-1, 1))
 
 
+def _directions(matrix: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norm == 0, 1, norm)
+
+
 def angles_to(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
+    """(vectors, pivots); a zero vector is at a right angle to everything."""
+    return np.arccos(np.clip(_directions(matrix) @ _directions(pivots).T, -1.0, 1.0))
 
 
 def choose_pivots(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vector") -> np.ndarray:
@@ -89,9 +99,11 @@ def choose_pivots(vectors: DataFrame, blocks: int, key: str = "id", vector: str
 
 def lay_out(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vector") -> tuple[DataFrame, Blocks]:
     """(the vectors with their ``block``, stored; the blocks). The driver gets the pivots and one row for
-    each: its number of vectors and its radius. There must be a vector, and none may be zero."""
+    each: its number of vectors and its radius. There must be a vector. Zero vectors lie around a pivot
+    of their own, at a right angle to everything."""
     spark = vectors.sparkSession
     pivots = choose_pivots(vectors, blocks, key, vector)
+    pivots = np.concatenate([pivots[pivots.any(axis=1)], np.zeros((1, pivots.shape[1]))])
     kind = vectors.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,26 +112,32 @@ def lay_out(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vec
                 continue
             matrix = to_matrix(pa.chunked_array([rows.column(1)]))
             angle = angles_to(matrix, pivots)
+            angle[:, -1] = np.where(matrix.any(axis=1), np.inf, 0.0)
+            angle[:, :-1][angle[:, -1] == 0] = np.inf
             nearest = angle.argmin(axis=1)
             own = angle[np.arange(len(matrix)), nearest]
+            off = np.abs(np.linalg.norm(matrix, axis=1) - 1) * matrix.any(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(nearest, pa.int32()), pa.array(own)], [key, vector, "pivot", "angle"]
+                [*rows.columns, pa.array(nearest, pa.int32()), pa.array(own), pa.array(off)],
+                [key, vector, "pivot", "angle", "off"],
             )
 
     dense = vectors.select(key, F.col(vector).cast("array<double>").alias(vector))
-    placed = dense.mapInArrow(place, f"`{key}` {kind}, `{vector}` array<double>, pivot int, angle double")
+    placed = dense.mapInArrow(place, f"`{key}` {kind}, `{vector}` array<double>, pivot int, angle double, off double")
     path = fresh_path(spark, "placed-vectors")
     placed.write.parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
-    found = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
+    sums = F.count("*").alias("n"), F.max("angle").alias("r"), F.max("off").alias("off")
+    found = placed.groupBy("pivot").agg(*sums).collect()
     sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for row in found:
         sizes[row["pivot"]], radius[row["pivot"]] = row["n"], row["r"]
     most = max(1, math.ceil(sizes.sum() / blocks)) * 2
-    layout = Blocks(pivots, np.where(sizes > 0, radius + SLACK, -np.inf), np.maximum(-(-sizes // most), 1))
+    unit = max((row["off"] for row in found), default=0.0) < 1e-9
+    layout = Blocks(pivots, np.where(sizes > 0, radius + SLACK, -np.inf), np.maximum(-(-sizes // most), 1), unit)
     first, parts = (F.array(*map(F.lit, x.tolist())) for x in (layout.first, layout.parts))
     block = F.get(first, F.col("pivot")) + F.pmod(F.xxhash64(key), F.get(parts, F.col("pivot")))
-    return placed.withColumn("block", block.cast("int")).drop("angle"), layout
+    return placed.withColumn("block", block.cast("int")).drop("angle", "off"), layout
 
 
 def visited_blocks(layout: Blocks, reach: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
@@ -165,6 +183,8 @@ def to_matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Equal-length list column as a dense matrix."""
     flat = vectors.combine_chunks()
     rows = len(flat)
+    if not rows:
+        return np.zeros((0, 1))
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
