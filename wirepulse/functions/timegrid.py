@@ -33,10 +33,14 @@ def next_month(ts: Column) -> Column:
     return F.add_months(month_start(ts), 1).cast("timestamp_ntz")
 
 
-def visible_ticks(ts: Column, window_hours: int = 6, step_minutes: int = CYCLE_MINUTES) -> Column:
-    """All slider positions ``t`` with ``t - window <= ts <= t``; both ends are inclusive."""
+def tick_range(ts: Column, window_hours: int = 6, step_minutes: int = CYCLE_MINUTES) -> tuple[Column, Column]:
+    """The first and the last slider position ``t`` with ``t - window <= ts <= t``."""
     floor = floor_minutes(ts, step_minutes)
     step = F.make_dt_interval(mins=F.lit(step_minutes))
     first = F.when(floor == ts, floor).otherwise(floor + step)
-    last = floor + F.make_dt_interval(hours=F.lit(window_hours))
-    return F.sequence(first, last, step)
+    return first, floor + F.make_dt_interval(hours=F.lit(window_hours))
+
+
+def visible_ticks(ts: Column, window_hours: int = 6, step_minutes: int = CYCLE_MINUTES) -> Column:
+    """All slider positions of ``tick_range``; both ends are inclusive."""
+    return F.sequence(*tick_range(ts, window_hours, step_minutes), F.make_dt_interval(mins=F.lit(step_minutes)))
