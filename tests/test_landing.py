@@ -7,8 +7,9 @@ from wirepulse.operators.events import time_filter
 from wirepulse.operators.rollup import daily_rollup, insert_absent
 from wirepulse.plans.ingest import attach_titles
 from wirepulse.plans.retention import create_landing_table, run_retention
+from wirepulse.sources.loads import LoadManifest
 from wirepulse.sources.landing import (
-    append_batch, bounds, compact, list_partitions, merge_log, read_log, to_landing_rows, to_monthly,
+    append_batch, bounds, compact_log, list_partitions, merge_log, read_current, read_log, to_landing_rows, to_monthly,
     write_monthly,
 )
 
@@ -44,15 +45,51 @@ def test_upsert_changes_volatile_columns_only_and_is_repeatable(spark, tmp_path)
 
 
 def test_compaction_keeps_the_result(spark, tmp_path):
-    first = rows_for(spark, [event(4, page_title="Old", actor1_name="A"), event(5)], 0)
-    second = rows_for(spark, [event(4, num_articles=7, actor1_name="B")], 1)
-    third = rows_for(spark, [event(4, num_articles=9, actor1_name="C")], 2)
-    compact(first.unionByName(second), str(tmp_path / "compact"))
-    stored = spark.read.parquet(str(tmp_path / "compact")).withColumn("month", F.col("month").cast("string"))
-    folded = merge_log(stored.unionByName(third))
-    whole = merge_log(first.unionByName(second).unionByName(third))
-    assert sorted(map(str, folded.collect())) == sorted(map(str, whole.collect()))
-    assert stored.count() == 2
+    """Months with newer loads only are folded again; unfinished loads stay out; readers see all."""
+    path = str(tmp_path / "log")
+    manifest = LoadManifest(spark, path)
+    current = lambda: sorted(map(str, read_current(spark, path).collect()))
+    whole = lambda: sorted(map(str, merge_log(read_log(spark, path)).collect()))
+
+    def add(rows, batch, finish=True):
+        load = manifest.reserve("s", batch)
+        append_batch(rows_for(spark, rows, load.number), path)
+        if finish:
+            manifest.finish(load)
+        return load
+
+    old = dict(date_added=OLD)
+    add([event(4, page_title="Old", actor1_name="A"), event(5), event(7, **old), event(8, **old)], 0)
+    assert compact_log(spark, path) == ["2026-03", "2026-07"] and compact_log(spark, path) == []
+    add([event(4, num_articles=7, actor1_name="B"), event(9)], 1)
+    assert current() == whole()
+    late = add([event(7, num_articles=3, **old)], 2, finish=False)
+    add([event(4, num_articles=9, actor1_name="C")], 3)
+    assert compact_log(spark, path) == ["2026-07"]  # up to load 1: load 2 is still being written
+    assert (tmp_path / "log/_base/month=2026-07/through=1").exists() and current() == whole()
+    manifest.finish(late)
+    assert compact_log(spark, path) == ["2026-03", "2026-07"] and current() == whole()
+    got = {r.global_event_id: (r.num_articles, r.actor1_name, r.page_title) for r in read_current(spark, path).collect()}
+    assert got[4] == (9, "A", None) and got[7][0] == 3 and len(got) == 5
+    # The first base of July is gone, the one before the newest is still there.
+    assert sorted(p.name for p in (tmp_path / "log/_base/month=2026-07").iterdir()) == ["through=1", "through=3"]
+    (tmp_path / "log/_base/_done/3").unlink()  # a compaction that died before its end
+    assert current() == whole()
+
+
+def test_months_without_later_loads_are_only_scanned(spark, tmp_path):
+    path = str(tmp_path / "log")
+    append_batch(rows_for(spark, [event(1, date_added=OLD), event(2, date_added=OLD)], 0), path)
+    compact_log(spark, path)
+    plan = read_current(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    append_batch(rows_for(spark, [event(3)], 1), path)  # a month of its own
+    assert read_current(spark, path, months=["2026-03"]).count() == 2 and read_current(spark, path).count() == 3
+    compact_log(spark, path)
+    append_batch(rows_for(spark, [event(3, num_articles=8)], 2), path)
+    plan = read_current(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("+- Union"):].split("FileScan")[0]  # the scan of March
+    assert {r.num_articles for r in read_current(spark, path).filter("global_event_id = 3").collect()} == {8}
 
 
 def test_titles_join_within_the_cycle(spark):

@@ -307,6 +307,18 @@ PARTITIONS = """partitions as (
   select 'raw_events_y' || strftime(lower, '%Y') || 'm' || strftime(lower, '%m') as name, lower,
     lower + interval 1 month as upper, rows
   from (select date_trunc('month', date_added)::timestamp as lower, count(*) as rows from history group by 1))"""
+add("landing_compacted", RAW, HISTORY, """log as (
+  select *, 0 as load from history union all
+  select * replace (num_articles + 5 as num_articles, 'LATER' as actor1_name, null as avg_tone), 1 from history
+  where quad_class = 2 and date_added >= timestamp '2023-12-01 00:00:00'),
+current as (
+  select first.* replace (last.num_mentions as num_mentions, last.num_sources as num_sources,
+    last.num_articles as num_articles, last.avg_tone as avg_tone, last.page_title as page_title)
+  from (select * from log qualify row_number() over (partition by global_event_id, date_added order by load) = 1) first
+  join (select * from log qualify row_number() over (partition by global_event_id, date_added order by load desc) = 1) last
+    using (global_event_id, date_added))""", select=f"""
+select {EVENT_TEXT}, page_title, strftime(c.date_added, '%Y-%m') as month from (
+  select * exclude (source_url, page_title), null::varchar as source_url, null::varchar as page_title from current) c""")
 add("partition_counts", RAW, HISTORY, PARTITIONS, select="""
 select name, cast(lower as varchar) as lower, cast(upper as varchar) as upper, rows from partitions""")
 add("repartition_monthly", RAW, HISTORY, select="""

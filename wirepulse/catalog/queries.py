@@ -205,6 +205,22 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(merged, "load_seq", "month")
 
 
+@register
+def landing_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a year of rows as one load, folded into monthly bases; then a later load of some rows of the
+    last months, merged with them when the current rows are read."""
+    path = fresh_path(spark, "compacted-log")
+    history = inputs.history_events(spark, sf_dir)
+    again = history.filter("quad_class = 2 and date_added >= timestamp_ntz '2023-12-01 00:00:00'").withColumns(
+        {"num_articles": F.col("num_articles") + 5, "actor1_name": F.lit("LATER"), "avg_tone": F.lit(None).cast("double")}
+    )
+    for number, rows in enumerate((history, again)):
+        landing.append_batch(landing.to_landing_rows(rows, number, F.col("ingested_at")), path)
+        if number == 0:
+            landing.compact_log(spark, path)
+    return _event_columns(landing.read_current(spark, path), "month")
+
+
 @register
 def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitions = landing.list_partitions(inputs.history_events(spark, sf_dir))

@@ -19,6 +19,11 @@ class Folder:
         """Names of what is there under a pattern, such as ``part=*``."""
         return [f.getPath().getName() for f in self._files.globStatus(self._at(pattern)) or []]
 
+    def nested(self, pattern: str) -> list[tuple[str, str]]:
+        """(folder, name) of what is there under a pattern such as ``part=*/*``."""
+        found = (f.getPath() for f in self._files.globStatus(self._at(pattern)) or [])
+        return [(p.getParent().getName(), p.getName()) for p in found]
+
     def create(self, name: str) -> bool:
         """An empty file; False if it exists already."""
         try:

@@ -11,6 +11,7 @@ creates then; streams of one driver take numbers one after another.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from threading import Lock
@@ -20,6 +21,7 @@ from pyspark.sql import SparkSession
 from wirepulse.sources.folders import Folder
 
 _ONE_AT_A_TIME = Lock()
+_LOST_AFTER = 3600
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,26 @@ class LoadManifest:
     def numbers(self) -> list[int]:
         return sorted(int(n) for n in self._log.names("_loads/numbers/*"))
 
+    def finish(self, load: Load) -> None:
+        """Says that all rows of a load are written; again for a replayed batch."""
+        self._log.create(f"_loads/finished/{load.number}")
+
+    def finished_through(self) -> int:
+        """The largest number up to which no load is still to come, or -1. A batch that has its number
+        but didn't finish will be replayed; a number without a batch is given up after an hour."""
+        named = {int(n.split("=")[1]) for n in self._log.names("_loads/streams/*/*=*")}
+        finished = {int(n) for n in self._log.names("_loads/finished/*")}
+        numbers = self.numbers()
+        if not numbers:  # written without the manifest, one load after another
+            return max((int(n.split("=")[1]) for n in self._log.names("load_seq=*")), default=-1)
+        through = numbers[0] - 1
+        for n in numbers:
+            lost = n not in named and self._log.modified(f"_loads/numbers/{n}") < (time.time() - _LOST_AFTER) * 1000
+            if n not in finished and not lost:
+                break
+            through = n
+        return through
+
     def _number_of(self, stream: str, batch: int) -> int | None:
         found = [int(n.split("=")[1]) for n in self._log.names(f"_loads/streams/{stream}/{batch}=*")]
         return min(found, default=None)

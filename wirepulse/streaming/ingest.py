@@ -25,12 +25,14 @@ def batch_writer(
     touched, in whatever turns the streams run. Later loads overwrite earlier ones when the log is read."""
 
     def write(lines: DataFrame, batch_id: int) -> None:
-        load = LoadManifest(lines.sparkSession, landing_path).reserve(stream, batch_id)
+        manifest = LoadManifest(lines.sparkSession, landing_path)
+        load = manifest.reserve(stream, batch_id)
         valid = validate_batch(good_rows(classify_lines(number_lines(lines))))
         if titles is not None:
             valid = attach_titles(valid, titles())
         rows = to_landing_rows(valid, load.number, F.lit(load.reserved_at).cast("timestamp_ntz"))
         append_batch(rows, landing_path)
+        manifest.finish(load)
 
     return write
 
