@@ -307,6 +307,8 @@ PARTITIONS = """partitions as (
   select 'raw_events_y' || strftime(lower, '%Y') || 'm' || strftime(lower, '%m') as name, lower,
     lower + interval 1 month as upper, rows
   from (select date_trunc('month', date_added)::timestamp as lower, count(*) as rows from history group by 1))"""
+add("landing_bounds", RAW, HISTORY, select="""
+select cast(min(date_added) as varchar) as lo, cast(max(date_added) as varchar) as hi from history""")
 add("landing_compacted", RAW, HISTORY, """log as (
   select *, 0 as load from history union all
   select * replace (num_articles + 5 as num_articles, 'LATER' as actor1_name, null as avg_tone), 1 from history
@@ -388,6 +390,18 @@ add("display_label", RAW, CLEANED, SCORED, select="""
 select global_event_id, coalesce(nullif(page_title, ''),
   nullif(concat_ws(' – ', nullif(actor1_name, ''), nullif(actor2_name, '')), ''),
   'Event ' || global_event_id) as label, cast(floor(round(intensity, 9) * 100 + 0.5) as int) as buzz from scored""")
+add("markers_at_altitude", RAW, CLEANED, SCORED, """cells as (
+  select altitude, arg_max({'id': global_event_id, 'lat': lat, 'lon': lon, 'intensity': intensity},
+      {'i': intensity, 'n': -global_event_id}) as rep,
+    cast(case when count(*) > 1 then sum(coalesce(num_articles, 0)) else sum(num_articles) end as bigint) as num_articles,
+    cast(case when count(*) > 1 then sum(coalesce(num_sources, 0)) else sum(num_sources) end as bigint) as num_sources,
+    case when count(*) > 1 then count(*) end as cluster_size
+  from scored, (values (2.5::double, 8), (1.5::double, 4), (0.9::double, 2)) l(altitude, c)
+  group by altitude, floor(lat / c), floor(lon / c))""", select="""
+select altitude, rep.id as id, rep.lat as lat, rep.lon as lon, round(rep.intensity, 6) as intensity, num_articles,
+  num_sources, cluster_size from cells
+union all select 0.5::double, global_event_id, lat, lon, round(intensity, 6), num_articles::bigint, num_sources::bigint,
+  null::bigint from scored""")
 add("zoom_grid", RAW, CLEANED, SCORED, select="""
 select c as cell_deg, cast(floor(lat_ / c) as int) as cell_lat, cast(floor(lon_ / c) as int) as cell_lon,
   rep.id as id, rep.lat as lat, rep.lon as lon, round(rep.intensity, 6) as intensity,

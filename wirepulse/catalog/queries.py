@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,6 +228,12 @@ def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitions.select("name", _txt("lower"), _txt("upper"), "rows")
 
 
+@register
+def landing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last event time, between which a migration makes its months."""
+    return landing.bounds(inputs.history_events(spark, sf_dir)).select(_txt("lo"), _txt("hi"))
+
+
 @register
 def repartition_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "monthly")
@@ -390,6 +397,18 @@ def zoom_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def markers_at_altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the map shows from four camera altitudes; from the nearest the events themselves."""
+    points = tables.scored_events(spark, sf_dir).select(
+        F.col("global_event_id").alias("id"), "lat", "lon", "intensity",
+        F.col("num_articles").cast("bigint").alias("num_articles"), F.col("num_sources").cast("bigint").alias("num_sources"),
+    )
+    shown = [grid.markers_at(points, a).withColumn("altitude", F.lit(a)) for a in (2.5, 1.5, 0.9, 0.5)]
+    every = reduce(DataFrame.unionByName, shown)
+    return every.select("altitude", "id", "lat", "lon", _r6("intensity"), "num_articles", "num_sources", "cluster_size")
+
+
 @register
 def slider_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = replay.slider_replay(tables.scored_events(spark, sf_dir), inputs.newest(spark, sf_dir))

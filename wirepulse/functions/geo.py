@@ -15,13 +15,6 @@ def cell(value: Column, degrees: float) -> Column:
     return F.floor(value / degrees).cast("int")
 
 
-def cell_degrees(altitude: Column) -> Column:
-    """Cell size for a camera altitude; 0 means no aggregation."""
-    return (
-        F.when(altitude >= 2.0, 8).when(altitude >= 1.2, 4).when(altitude >= 0.7, 2).otherwise(0)
-    )
-
-
 def in_box(
     lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column
 ) -> Column:
