@@ -174,8 +174,8 @@ members as (
   select s.*, l.story_id from scored s join nodes n using (page_title) join labels l on l.node = n.id)"""
 
 
-# The three newest runs of the story job, each over the titled events of the day before it.
-RUN_STORIES = f"""run_times as (select {AS_OF} - to_hours(h) as run_at from (values (48), (24), (0)) r(h)),
+# The two newest runs of the story job, each over the titled events of the day before it.
+RUN_STORIES = f"""run_times as (select {AS_OF} - to_hours(h) as run_at from (values (24), (0)) r(h)),
 run_events as (select s.*, run_at from scored s join run_times on page_title is not null
   and date_added <= run_at and date_added >= run_at - interval 24 hour),
 run_nodes as (select run_at, page_title, min(global_event_id) as id from run_events group by all),

@@ -21,7 +21,7 @@ from wirepulse.session import fresh_path
 # Stories of the whole table, whatever time it spans.
 WHOLE_TABLE = StoryParams(window_hours=None)
 # Runs of the story job, hours before the newest event; the first is past its retention at the last.
-RUN_HOURS = (80, 48, 24, 0)
+RUN_HOURS = (80, 24, 0)
 RUN_PARAMS = StoryParams(window_hours=24)
 
 _PATHS: dict[tuple[str, str, str], str] = {}

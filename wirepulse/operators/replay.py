@@ -53,9 +53,9 @@ def slider_counts(
     events have no row.
 
     An event counts from its first position on and no longer behind its last one, so it is two changes,
-    summed per position in each task first. Running sums within a day start from the sum of all days
-    before it. A day has all its positions (``step_minutes`` divides a day); where an event is visible,
-    a change lies on the same day or the one before or after it, so no other days are needed.
+    summed per position in each task first. The running sums go over one row for each position with a
+    change, whatever the number of events: at most 35,000 a year. Positions between two changes repeat
+    the sums of the first.
     """
     first, last = tick_range(F.col("date_added"), window_hours, step_minutes)
     step = F.make_dt_interval(mins=F.lit(step_minutes))
@@ -67,18 +67,11 @@ def slider_counts(
     changes = events.filter("date_added is not null").select(
         F.explode(F.array(change(first, 1), change(last + step, -1))).alias("c")
     )
-    sums = [F.sum(c).alias(c) for c in ("events", "articles")]
     per_tick = changes.groupBy("c.tick").agg(F.sum("c.events").alias("events"), F.sum("c.articles").alias("articles"))
-    per_tick = per_tick.withColumn("day", F.date_trunc("day", "tick").cast("timestamp_ntz"))
-    days = per_tick.groupBy("day").agg(*sums)
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
-    carried = days.select("day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("events", "articles")])
-    none = F.lit(0).cast("bigint")
-    grid = F.sequence(F.col("day"), F.col("day") + F.make_dt_interval(days=F.lit(1)) - step, step)
-    empty = days.select(F.explode(grid).alias("tick"), none.alias("events"), none.alias("articles"), "day")
-    every = per_tick.unionByName(empty).groupBy("day", "tick").agg(*sums)
-    so_far = Window.partitionBy("day").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    running = every.select("day", "tick", *[F.sum(c).over(so_far).alias(c) for c in ("events", "articles")])
-    return running.join(carried, "day").select(
-        "tick", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in ("events", "articles")]
-    ).filter("events > 0")
+    order = Window.orderBy("tick")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    running = per_tick.select(
+        "tick", F.lead("tick").over(order).alias("_next"), *[F.sum(c).over(so_far).alias(c) for c in ("events", "articles")]
+    )
+    shown = F.explode(F.sequence(F.col("tick"), F.col("_next") - step, step))
+    return running.filter("events > 0").select(shown.alias("tick"), "events", "articles")
