@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.conftest import prose
-from wirepulse.llm.ngram_join import JoinRule, similarity_components
+from wirepulse.llm.ngram_join import JoinRule, _bitmap, _most_common, open_groups, qualifying, similarity_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,3 +86,38 @@ def test_linked_sizes_meet_in_a_scheme(percent):
             shared = {x for x in rule.schemes(a)} & set(rule.schemes(b))
             # Some scheme of both has more sections than they can differ in, and spare ones.
             assert any(sections - (a + b - 2 * needed) > spare for _, sections, spare in shared)
+
+
+def test_bitmaps_bound_the_overlap_and_rule_out_strangers():
+    rng = np.random.default_rng(3)
+    rule = JoinRule(5, 80)
+    for n in (0, 1, 30, 33, 500, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for m in {n // 2, n * 9 // 10, n}:
+            b = np.unique(np.concatenate([a[:m], rng.integers(0, 1 << 63, n // 8, np.uint64)]))
+            bound = _most_common(_bitmap(a), len(a), _bitmap(b), len(b))
+            assert m <= bound <= min(len(a), len(b))
+        stranger = rng.integers(0, 1 << 63, n, np.uint64)
+        if n >= 500:
+            assert _most_common(_bitmap(a), n, _bitmap(stranger), n) < rule.needed(n, n)
+
+
+def test_groups_of_several_widths_open_only_what_may_link():
+    rng = np.random.default_rng(4)
+    rule = JoinRule(5, 80)
+    base = rng.integers(0, 1 << 63, 300, np.uint64)
+    near = [np.unique(np.append(base[i:], rng.integers(0, 1 << 63, 5, np.uint64))) for i in range(0, 50, 5)]
+    far = [np.unique(rng.integers(0, 1 << 63, k, np.uint64)) for k in (20, 60, 240, 300, 520, 2000)]
+    texts = [np.unique(base), *near, *far]
+    rows = [
+        {"doc": i, "comp": i, "query": query, "n": len(t), "tokens": t.tobytes()}
+        for i, t in enumerate(texts) for query in (True, False)
+    ]
+    maps = [{**r, "tokens": _bitmap(np.frombuffer(r["tokens"], np.uint64)).tobytes()} for r in rows]
+    kept = qualifying(pd.DataFrame(maps), rule)
+    assert {d for d, _, _ in kept} == set(range(1 + len(near)))
+    parts = [{i} for i in range(len(texts))]
+    for u, v in open_groups(pd.DataFrame(rows), rule):
+        a, b = (next(p for p in parts if x in p) for x in (u, v))
+        parts = [p for p in parts if p not in (a, b)] + [a | b]
+    assert sorted(map(len, parts)) == [1] * len(far) + [1 + len(near)]

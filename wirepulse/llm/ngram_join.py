@@ -239,24 +239,37 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
     )
 
 
-def _short(tokens: np.ndarray) -> np.ndarray:
-    """The leading 16 bits of a set's tokens, of a large set 32, each value once."""
-    return np.unique((tokens >> np.uint64(48)).astype("<u2") if len(tokens) <= 2000 else (tokens >> np.uint64(32)).astype("<u4"))
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The places that the tokens of a set take, as words of 64: two to four places a token, 64 at least."""
+    level = max(6, (2 * len(tokens) - 1).bit_length())
+    places = np.zeros(1 << level, np.uint8)
+    places[tokens >> np.uint64(20) & np.uint64((1 << level) - 1)] = 1
+    return np.packbits(places, bitorder="little").view("<u8")
 
 
-def _short_from(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if n <= 2000 else "<u4")
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (along the last axis) over fewer places."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    return len(np.intersect1d(x, y, assume_unique=True))
+def _ones(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
+
 
+def _most_common(x: np.ndarray, nx, y: np.ndarray, ny):
+    """An upper bound of the intersection of sets of nx and ny tokens: the places that both take, and
+    the tokens that share a place with others of their set."""
+    words = min(x.shape[-1], y.shape[-1])
+    x, y = _fold(x, words), _fold(y, words)
+    bound = _ones(x & y) + np.minimum(nx - _ones(x), ny - _ones(y))
+    return np.minimum(bound, np.minimum(nx, ny))
 
-def _most_common(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
-    """An upper bound of the intersection of two sets of nx and ny tokens, from their short forms."""
-    if x.dtype != y.dtype:
-        x, y = (np.unique(v >> 16).astype("<u2") if v.dtype == np.dtype("<u4") else v for v in (x, y))
-    return _common(x, y) + min(nx - len(x), ny - len(y))
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
 
 
 # Up to this many keys a list of documents is sent to every executor (some 40 bytes each).
@@ -264,7 +277,7 @@ MOST_KEYS = 1_000_000
 
 
 def _tokens_of(df: DataFrame, docs: DataFrame, rule: JoinRule, key: str, text: str) -> DataFrame:
-    """(doc, n, short, tokens): the sets of the documents whose keys are in ``docs``."""
+    """(doc, n, bitmap, tokens): the sets of the documents whose keys are in ``docs``."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in blocks(batches, text):
@@ -272,17 +285,17 @@ def _tokens_of(df: DataFrame, docs: DataFrame, rule: JoinRule, key: str, text: s
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([_short(x).tobytes() for x in sets], pa.binary()),
+                    pa.array([_bitmap(x).tobytes() for x in sets], pa.binary()),
                     pa.array([x.tobytes() for x in sets], pa.binary()),
                 ],
-                ["doc", "n", "short", "tokens"],
+                ["doc", "n", "bitmap", "tokens"],
             )
 
     docs = stored(docs, "asked")
     if docs.count() <= MOST_KEYS:
         docs = F.broadcast(docs)
     named = df.select(key, text).join(docs, key, "left_semi")
-    return named.mapInArrow(collect, "doc long, n long, short binary, tokens binary")
+    return named.mapInArrow(collect, "doc long, n long, bitmap binary, tokens binary")
 
 
 def _compared(pairs: DataFrame, tokens: DataFrame, column: str, same) -> DataFrame:
@@ -303,35 +316,91 @@ def _compared(pairs: DataFrame, tokens: DataFrame, column: str, same) -> DataFra
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
-    """The linked ones of the pairs (u, v). Whole sets move only for pairs whose bound, from the short
-    forms, reaches the overlap that a link needs."""
+    """The linked ones of the pairs (u, v). Whole sets move only for pairs whose bound, from the
+    bitmaps, reaches the overlap that a link needs."""
 
     def may(a: bytes, an: int, b: bytes, bn: int) -> bool:
-        return _most_common(_short_from(a, an), an, _short_from(b, bn), bn) >= rule.needed(an, bn)
+        return _most_common(np.frombuffer(a, "<u8"), an, np.frombuffer(b, "<u8"), bn) >= rule.needed(an, bn)
 
     def are(a: bytes, an: int, b: bytes, bn: int) -> bool:
         return rule.linked(_common(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), an, bn)
 
-    likely = stored(_compared(pairs, tokens, "short", may), "likely-pairs")
+    likely = stored(_compared(pairs, tokens, "bitmap", may), "likely-pairs")
     return _compared(likely, tokens, "tokens", are)
 
 
-def _lead(raw: bytes, n: int, short: bool) -> np.ndarray:
-    """The leading 16 bits of a set's tokens, each value once, from either form."""
-    x = _short_from(raw, n) if short else np.frombuffer(raw, np.uint64)
-    shift = {2: 0, 4: 16, 8: 48}[x.itemsize]
-    return x if not shift else np.unique((x >> x.dtype.type(shift)).astype("<u2"))
-
-
-def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list[tuple[int, int]]:
-    """Links that join the components of some sets: rows of doc, comp, query (a set to compare with the
-    others, or one of these), n and tokens.
-
-    The matrix has a row for each group, here the sets of a component: the union of their leading
-    bits. A query meets a group only if its overlap with the union reaches what a link with the
-    group's smallest set would need, and a set of it only if their own bound does. With ``short``
-    forms the first pair that can't be ruled out is returned.
-    """
+class TokenGroups:
+    """The matrix of some sets with bitmaps of one width: a row for each group, here the sets of a
+    component, with the union of their tokens."""
+
+    def __init__(self, rows: np.ndarray, comps: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        order = np.argsort(comps, kind="stable")
+        self.rows, self.sizes, self.bits = rows[order], sizes[order], bits[order]
+        starts = np.flatnonzero(np.diff(comps[order], prepend=~comps[order][:1]))
+        self.comps, self.counts = comps[order][starts], np.diff(np.append(starts, len(rows)))
+        self.smallest = np.minimum.reduceat(self.sizes, starts)
+        self.union = np.bitwise_or.reduceat(self.bits, starts, axis=0)
+        self._folded: dict[int, TokenGroups] = {}
+
+    @classmethod
+    def of(cls, comps: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray]) -> list[TokenGroups]:
+        """One matrix for each width."""
+        widths = np.array([len(x) for x in bitmaps])
+        alike = [np.flatnonzero(widths == w) for w in np.unique(widths)]
+        return [cls(at, comps[at], sizes[at], np.stack([bitmaps[i] for i in at])) for at in alike]
+
+    def folded(self, words: int) -> TokenGroups:
+        if words >= self.bits.shape[1]:
+            return self
+        if words not in self._folded:
+            comps = np.repeat(self.comps, self.counts)
+            self._folded[words] = TokenGroups(self.rows, comps, self.sizes, _fold(self.bits, words))
+        return self._folded[words]
+
+    def open(self, bits: np.ndarray, n: int, comp: int, rule: JoinRule) -> np.ndarray:
+        """Rows of the sets of other components that a set of ``n`` tokens may be linked with. A group is
+        opened only if the overlap with its union reaches what a link with its smallest set needs."""
+        bits = _fold(bits, self.bits.shape[1])
+        spare = n - _ones(bits)
+        reach = np.minimum(_ones(self.union & bits) + spare, n)
+        opened = np.repeat((self.comps != comp) & (reach >= rule.needed(n, self.smallest)), self.counts)
+        at = np.flatnonzero(opened)
+        likely = _most_common(bits, n, self.bits[at], self.sizes[at]) >= rule.needed(n, self.sizes[at])
+        return self.rows[at[likely]]
+
+
+_COLUMNS = ["doc", "comp", "n", "tokens"]
+
+
+def _candidates(sets: pd.DataFrame, rule: JoinRule, bitmap) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each query of some sets with the sets that the bounds don't rule out, as (doc, comp, n, tokens).
+    The sets are rows of these and query (a set to compare with the others, or one of the others)."""
+    asked = sets["query"].astype(bool)
+    members = list(sets.loc[~asked, _COLUMNS].itertuples(index=False, name=None))
+    if not members:
+        return
+    comps, sizes = (np.array([m[i] for m in members], np.int64) for i in (1, 2))
+    matrices = TokenGroups.of(comps, sizes, [bitmap(m[3]) for m in members])
+    for query in sets.loc[asked, _COLUMNS].itertuples(index=False, name=None):
+        _, comp, n, tokens = query
+        bits = bitmap(tokens)
+        found = [m.folded(len(bits)).open(bits, n, comp, rule) for m in matrices]
+        likely = [members[i] for i in np.concatenate(found)]
+        if likely:
+            yield query, likely
+
+
+def qualifying(sets: pd.DataFrame, rule: JoinRule) -> list[tuple[int, int, bool]]:
+    """(doc, comp, query): the rows of some sets, given as bitmaps, that a link may need."""
+    kept = set()
+    for (doc, comp, *_), likely in _candidates(sets, rule, lambda raw: np.frombuffer(raw, "<u8")):
+        kept.add((doc, comp, True))
+        kept.update((d, c, False) for d, c, *_ in likely)
+    return sorted(kept)
+
+
+def open_groups(sets: pd.DataFrame, rule: JoinRule) -> list[tuple[int, int]]:
+    """Links that join the components of some sets."""
     parent = {c: c for c in sets["comp"]}
 
     def root(c: int) -> int:
@@ -340,36 +409,11 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule, short: bool = False) -> list
             c = parent[c]
         return c
 
-    columns = ["doc", "comp", "n", "tokens"]
-    members = list(sets.loc[~sets["query"].astype(bool), columns].itertuples(index=False, name=None))
-    if not members:
-        return []
-    leads = [_lead(t, n, short) for _, _, n, t in members]
-    lengths = np.array([len(x) for x in leads])
-    starts = np.cumsum(lengths) - lengths
-    values, sizes = np.concatenate(leads), np.array([n for _, _, n, _ in members])
-    comps, own = np.unique([c for _, c, _, _ in members], return_inverse=True)
-    union = np.zeros((len(comps), 1 << 16), bool)
-    union[np.repeat(own, lengths), values] = True
-    smallest = np.full(len(comps), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, own, sizes)
-    held = np.zeros(1 << 16, np.int64)
     links = []
-    for d, c, n, t in sets.loc[sets["query"].astype(bool), columns].itertuples(index=False, name=None):
-        lead = _lead(t, n, short)
-        other = np.array([root(x) != root(c) for x in comps])
-        other &= union[:, lead].sum(axis=1) + n - len(lead) >= rule.needed(n, smallest)
-        if not other.any():
-            continue
-        held[lead] = 1
-        bound = np.add.reduceat(held[values], starts) + np.minimum(n - len(lead), sizes - lengths)
-        held[lead] = 0
-        for i in np.flatnonzero(other[own] & (bound >= rule.needed(n, sizes))):
-            e, ec, _, u = members[i]
-            if short:
-                return [(d, e)]
+    for (d, c, n, t), likely in _candidates(sets, rule, lambda raw: _bitmap(np.frombuffer(raw, np.uint64))):
+        for e, ec, m, u in likely:
             if root(ec) != root(c) and rule.linked(
-                _common(np.frombuffer(t, np.uint64), np.frombuffer(u, np.uint64)), n, len(u) // 8
+                _common(np.frombuffer(t, np.uint64), np.frombuffer(u, np.uint64)), n, m
             ):
                 links.append((d, e))
                 parent[root(ec)] = root(c)
@@ -389,7 +433,7 @@ def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame) -> Dat
     weights = tokens.select("doc", F.greatest("n", F.lit(LEAST_TOKENS)).alias("weight"))
     homes = rows.groupBy("doc", "comp").agg(F.min("pivot").alias("home")).join(weights, "doc")
     sizes = homes.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    block = F.concat_ws("/", "home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))  # blocks of one hash are one block
     homes = stored(homes.join(sizes, "home").select("doc", "comp", "weight", block.alias("block")), "blocks")
     mains = comps.toDF("pivot", "main")
     mixed = (
@@ -404,18 +448,19 @@ def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame) -> Dat
         .withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(1 << 20)))
     )
     counts = met.groupBy("block").agg(F.ceil(F.sum("weight") / (2 * BLOCK_TOKENS)).cast("int").alias("parts"))
-    named = lambda part: F.concat_ws("/", "block", part).alias("group")
+    named = lambda part: F.xxhash64("block", part).alias("group")
     asked = met.join(counts, "block").select(named(F.col("part") % F.col("parts")), "doc", "comp", F.lit(True).alias("query"))
     members = homes.join(counts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return asked.unionByName(members.select(named(F.col("part")), "doc", "comp", F.lit(False).alias("query")))
 
 
 def _opened(groups: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
-    """Links that join components, from the groups in which the short forms don't rule them out."""
+    """Links that join components. Bitmaps move for every query and block that it meets, whole sets only
+    for those rows that the bounds leave."""
 
     def qualify(sets: pd.DataFrame) -> pd.DataFrame:
-        some = open_groups(sets, rule, short=True)
-        return pd.DataFrame({"group": sets["group"].iloc[:1] if some else []}).astype(str)
+        kept = pd.DataFrame(qualifying(sets, rule), columns=["doc", "comp", "query"])
+        return kept.astype({"doc": "int64", "comp": "int64", "query": "bool"}).assign(group=np.int64(sets["group"].iloc[0]))
 
     def compare(sets: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(sets, rule), columns=["u", "v"]).astype("int64")
@@ -428,8 +473,8 @@ def _opened(groups: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
         own = own.join(asked.select("doc").distinct(), "doc", "left_semi")
         return asked.join(own, "doc").repartition(tasks, "group")
 
-    qualified = stored(with_sets(groups, "short").groupBy("group").applyInPandas(qualify, "group string"), "open-groups")
-    opened = groups.join(qualified, "group", "left_semi")
+    kept = with_sets(groups, "bitmap").groupBy("group").applyInPandas(qualify, "doc long, comp long, query boolean, group long")
+    opened = stored(kept, "open-groups")
     return with_sets(opened, "tokens").groupBy("group").applyInPandas(compare, "u long, v long")
 
 
