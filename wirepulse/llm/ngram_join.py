@@ -60,6 +60,10 @@ class JoinRule:
         """Smallest intersection of linked sets of these sizes."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def may_link(self, n: int, least: int, most: int) -> bool:
+        """Whether a set of ``n`` can link with any of a size from ``least`` to ``most``."""
+        return 100 * most >= self.percent * n and 100 * n >= self.percent * least
+
     def schemes(self, n: int) -> list[tuple[int, int, int]]:
         """(class, sections, spare) of the size classes of the larger set in a link of a set of
         ``n``. All sets that can link meet in the class of the larger one."""
@@ -339,6 +343,7 @@ class TokenGroups:
         starts = np.flatnonzero(np.diff(comps[order], prepend=~comps[order][:1]))
         self.comps, self.counts = comps[order][starts], np.diff(np.append(starts, len(rows)))
         self.smallest = np.minimum.reduceat(self.sizes, starts)
+        self.least, self.most = int(sizes.min()), int(sizes.max())
         self.union = np.bitwise_or.reduceat(self.bits, starts, axis=0)
         self._folded: dict[int, TokenGroups] = {}
 
@@ -384,8 +389,8 @@ def _candidates(sets: pd.DataFrame, rule: JoinRule, bitmap) -> Iterator[tuple[tu
     for query in sets.loc[asked, _COLUMNS].itertuples(index=False, name=None):
         _, comp, n, tokens = query
         bits = bitmap(tokens)
-        found = [m.folded(len(bits)).open(bits, n, comp, rule) for m in matrices]
-        likely = [members[i] for i in np.concatenate(found)]
+        near = [m for m in matrices if rule.may_link(n, m.least, m.most)]
+        likely = [members[i] for m in near for i in m.folded(len(bits)).open(bits, n, comp, rule)]
         if likely:
             yield query, likely
 
