@@ -3,7 +3,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from tests.test_parse import line
-from wirepulse.plans.retention import create_landing_table, run_retention
+from wirepulse.operators.metrics import over_limit
+from wirepulse.plans import retention
+from wirepulse.plans.retention import create_landing_table, expired_partitions, run_retention
 from wirepulse.sources.landing import merge_log, read_log
 from wirepulse.sources.folders import Folder
 from wirepulse.sources.loads import LoadManifest
@@ -125,6 +127,38 @@ def test_counts_are_complete(spark, tmp_path):
     assert run("state")["01:00:00"] == 60 and run("other")["01:00:00"] == 120
 
 
+def test_counts_per_user(spark, tmp_path):
+    """Requests of a user that come in several batches are counted together, late ones too."""
+    source, out, keys = str(tmp_path / "requests"), str(tmp_path / "out"), {"user_id": "bigint"}
+
+    def run(*requests):
+        rows = spark.createDataFrame(requests, "user_id bigint, ts string")
+        rows.select("user_id", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("user_id bigint, ts timestamp_ntz").parquet(source)
+        start_counts(stream, "ts", "1 minute", out, str(tmp_path / "state"), keys=keys).awaitTermination()
+        return {(r.user_id, str(r.window_start)[11:], r.requests, r.rejected) for r in over_limit(read_counts(spark, out, keys), 2).collect()}
+
+    assert run((1, "2026-07-04 12:00:01"), (1, "2026-07-04 12:00:59"), (2, "2026-07-04 12:00:30")) == set()
+    assert run((1, "2026-07-04 12:00:02"), (2, "2026-07-04 12:01:00")) == {(1, "12:00:00", 3, 1)}
+    late = [(None, "2026-07-04 11:00:00")] * 3
+    assert run(*late) == {(1, "12:00:00", 3, 1), (None, "11:00:00", 3, 1)}
+
+
+def test_partitions_go_with_few_statements(spark, monkeypatch):
+    rows = spark.range(5).select(
+        F.col("id").alias("global_event_id"), F.col("id").alias("load_seq"), F.lit("2026-01").alias("month"),
+    )
+    create_landing_table(rows, "many_loads")
+    specs = expired_partitions(spark, "many_loads", "2026-07-05 00:00:00")
+    assert [s["load_seq"] for s in specs] == ["0", "1", "2", "3", "4"]
+    monkeypatch.setattr(retention, "SPECS_PER_STATEMENT", 2)
+    retention.drop_partitions(spark, "many_loads", specs[:3])
+    assert [r.load_seq for r in spark.table("many_loads").orderBy("load_seq").collect()] == [3, 4]
+    retention.drop_partitions(spark, "many_loads", specs)
+    assert spark.table("many_loads").count() == 0
+    spark.sql("DROP TABLE many_loads")
+
+
 def test_retention_on_the_ingested_layout(spark, tmp_path):
     """Expired months of a log that streams wrote are rolled up and their files go."""
     folder = tmp_path / "in"

@@ -346,6 +346,14 @@ add("retained_raw", RAW, HISTORY, VALID_HISTORY, select=f"""
 select load_seq, global_event_id, cast(date_added as varchar) as date_added, event_root_code
 from valid_history where not ({EXPIRED.replace('date_added', 'valid_history.date_added')})""")
 
+add("retention_run", RAW, HISTORY, VALID_HISTORY, select=f"""
+select 'raw' as layer, strftime(h.date_added, '%Y-%m') as month, cast(h.quad_class % 2 as bigint) as load,
+  count(*) as rows, count(*) as events, cast(sum(h.num_articles) as bigint) as articles
+from valid_history h where not ({EXPIRED.replace('date_added', 'h.date_added')}) group by 1, 2, 3
+union all
+select 'rollup', strftime(day, '%Y-%m'), null, count(*), cast(sum(event_count) as bigint), cast(sum(total_articles) as bigint)
+from ({rollup_sql('valid_history', EXPIRED)}) group by 2""")
+
 # --- cleaned and scored layers, event queries -------------------------------------------------
 
 add("clean_events", RAW, CLEANED, select=f"select {EVENT_TEXT}, page_title from cleaned")
@@ -525,6 +533,7 @@ add("rate_limit_audit", """busy as (
   select user_id, date_trunc('day', ts)::timestamp as window_start, count(*) as requests
   from events group by 1, 2 having count(*) > 3)""", select="""
 select user_id, cast(window_start as varchar) as window_start, requests, requests - 3 as rejected from busy""")
+ORACLES["stream_user_rate"] = ORACLES["rate_limit_audit"]
 add("rate_limit_rejects", """numbered as (
   select *, row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) as rn
   from events)""", select="""

@@ -6,6 +6,7 @@ text, so results compare with plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -17,6 +18,7 @@ from wirepulse.catalog import inputs, tables
 from wirepulse.functions import text
 from wirepulse.functions.embedding import hashed_words, word_counts
 from wirepulse.functions.geo import detect_country
+from wirepulse.functions.timegrid import month_key
 from wirepulse.operators import events as ev
 from wirepulse.operators import geojson, grid, metrics, quality, replay, requests, retrieval
 from wirepulse.operators import rollup, search, similarity
@@ -24,6 +26,7 @@ from wirepulse.operators import stories as st
 from wirepulse.operators import validate
 from wirepulse.operators.clean import clean, score, stage
 from wirepulse.plans.ingest import ingest
+from wirepulse.plans.retention import create_landing_table, run_retention
 from wirepulse.plans.story_job import inline_event_ids
 from wirepulse.schemas import EVENT_COLUMNS
 from wirepulse.session import fresh_path
@@ -290,6 +293,29 @@ def retained_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("load_seq", "global_event_id", _txt("date_added"), "event_root_code")
 
 
+@register
+def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads as a landing table; a run rolls expired months up and drops them, a second finds nothing
+    more to do. What is left of both layers, by month."""
+    raw, rolled = (f"{name}_{uuid.uuid4().hex}" for name in ("landed", "rolled"))
+    load = F.col("quad_class") % 2
+    create_landing_table(landing.to_landing_rows(_valid_history(spark, sf_dir), load, F.col("ingested_at")), raw)
+    for _ in range(2):
+        run_retention(spark, raw, rolled, RETENTION_AS_OF)
+    left = spark.table(raw).groupBy(F.lit("raw").alias("layer"), "month", F.col("load_seq").cast("long").alias("load")).agg(
+        F.count("*").alias("rows"), F.count("*").alias("events"), F.sum("num_articles").alias("articles")
+    )
+    month = month_key(F.col("day")).alias("month")
+    days = spark.table(rolled).groupBy(F.lit("rollup").alias("layer"), month, F.lit(None).cast("long").alias("load")).agg(
+        F.count("*").alias("rows"), F.sum("event_count").alias("events"), F.sum("total_articles").alias("articles")
+    )
+    out = fresh_path(spark, "retention-run")
+    left.unionByName(days).write.parquet(out)
+    for name in (raw, rolled):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.read.parquet(out)
+
+
 # --- cleaned and scored layers, event queries -------------------------------------------------
 
 
@@ -479,6 +505,17 @@ def rate_limit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select("user_id", _txt("window_start"), "requests", "rejected")
 
 
+@register
+def stream_user_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit from a stream's counts per user and window."""
+    keys = {"user_id": "bigint"}
+    stream = spark.readStream.schema(inputs.TABLE_SCHEMAS["events"]).parquet(f"{sf_dir}/[e]vents.parquet")
+    out, state = fresh_path(spark, "user-rates"), fresh_path(spark, "state")
+    start_counts(stream, "ts", "1 day", out, state, keys=keys).awaitTermination()
+    audit = metrics.over_limit(read_counts(spark, out, keys), limit=3)
+    return audit.select("user_id", _txt("window_start"), "requests", "rejected")
+
+
 @register
 def rate_limit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = metrics.rejected_requests(_request_log(spark, sf_dir), limit=3, window_seconds=86_400)

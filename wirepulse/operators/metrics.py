@@ -122,6 +122,12 @@ def rate_limit_audit(
     )
 
 
+def over_limit(counts: DataFrame, limit: int = 10) -> DataFrame:
+    """(user_id, window_start, requests, rejected) from counts per user and window, as a stream keeps them."""
+    over = counts.withColumnRenamed("events", "requests").filter(F.col("requests") > limit)
+    return over.select("user_id", "window_start", "requests", (F.col("requests") - limit).alias("rejected"))
+
+
 def rejected_requests(
     requests: DataFrame, limit: int = 10, window_seconds: int = 60
 ) -> DataFrame:

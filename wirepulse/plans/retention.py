@@ -15,6 +15,9 @@ from wirepulse.operators.rollup import daily_rollup, expired_rows, first_kept, i
 from wirepulse.params import RetentionParams
 from wirepulse.sources.landing import merge_log
 
+# A month has a partition for each of its loads, some thousands; one statement drops many.
+SPECS_PER_STATEMENT = 1000
+
 
 def create_landing_table(log: DataFrame, table: str) -> None:
     """The log as a catalog table in the layout that ingest writes."""
@@ -31,6 +34,18 @@ def expired_partitions(
     return sorted((s for s in specs if s["month"] < bound), key=lambda s: sorted(s.items()))
 
 
+def _partition(spec: dict[str, str]) -> str:
+    named = ", ".join(f"{column} = '{value}'" for column, value in spec.items())
+    return f"PARTITION ({named})"
+
+
+def drop_partitions(spark: SparkSession, table: str, specs: list[dict[str, str]]) -> None:
+    """Those that are gone already are passed over."""
+    for start in range(0, len(specs), SPECS_PER_STATEMENT):
+        some = (_partition(spec) for spec in specs[start : start + SPECS_PER_STATEMENT])
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(some)}")
+
+
 def run_retention(
     spark: SparkSession,
     landing: str,
@@ -48,8 +63,6 @@ def run_retention(
     if spark.catalog.tableExists(rollup):
         new = insert_absent(spark.table(rollup), new)
     new.observe(written, F.count("*").alias("rows")).write.mode("append").saveAsTable(rollup)
-    for spec in expired:
-        named = ", ".join(f"{column} = '{value}'" for column, value in spec.items())
-        spark.sql(f"ALTER TABLE {landing} DROP IF EXISTS PARTITION ({named})")
+    drop_partitions(spark, landing, expired)
     months = sorted({spec["month"] for spec in expired})
     return {"partitions_dropped": months, "rollup_rows_written": written.get["rows"]}
