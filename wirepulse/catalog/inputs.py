@@ -182,6 +182,17 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cycle_title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cycle, line_no, value): article lines of each cycle for two of three events, with the number of
+    the event in the title, so that a URL has other titles in other cycles."""
+    fields = ["''"] * 27
+    fields[4] = "source_url"
+    fields[26] = "concat('<PAGE_TITLE>', page_title, ' (', cast(load_seq as string), ')</PAGE_TITLE>')"
+    return raw_events(spark, sf_dir).filter("load_seq % 3 <> 0 and page_title is not null").selectExpr(
+        "cycle", "load_seq as line_no", f"concat_ws('\t', {', '.join(fields)}) as value"
+    )
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index entries, one per page."""
     return table(spark, sf_dir, "pages").selectExpr(

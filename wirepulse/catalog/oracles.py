@@ -701,6 +701,11 @@ merged as (
   from first_load f join last_load l on f.global_event_id = l.global_event_id and f.date_added = l.date_added
   where f.rn = 1 and l.rn = 1)""", select=f"""
 select strftime(m.date_added, '%Y-%m') as month, {EVENT_TEXT}, page_title from merged m""")
+add("stream_titles", RAW, PARSED, VALID, f"""titles as (
+  select cycle, source_url as url, arg_max(trim({_entities.format("page_title || ' (' || load_seq || ')'")}), load_seq) as page_title
+  from raw where load_seq % 3 <> 0 and page_title is not null group by all)""", select="""
+select v.cycle, v.global_event_id, v.num_articles, v.source_url, t.page_title
+from valid v left join titles t on v.source_url = t.url and v.cycle = t.cycle""")
 add("stream_rate", """hours as (
   select date_trunc('hour', ts)::timestamp as h, count(*) as events from events group by 1)""", select="""
 select cast(h as varchar) as window_start, events from hours""")

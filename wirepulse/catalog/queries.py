@@ -35,6 +35,7 @@ from wirepulse.sources.event_export import classify_lines, good_rows, reject_cou
 from wirepulse.sources.title_export import parse_titles
 from wirepulse.streaming.ingest import start_ingest
 from wirepulse.streaming.rates import read_counts, start_counts
+from wirepulse.streaming.titled import start_titled_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -765,6 +766,19 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(current, "month")
 
 
+@register
+def stream_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and titles as two streams, joined by cycle and URL, read from the landing log. All files are
+    there at the start, so no cycle has to wait for late ones."""
+    lines, titles, out, state = (fresh_path(spark, n) for n in ("lines", "titles", "landing", "state"))
+    for rows, path in ((inputs.event_lines, lines), (inputs.cycle_title_lines, titles)):
+        rows(spark, sf_dir).repartitionByRange("cycle", "line_no").sortWithinPartitions("cycle", "line_no").select(
+            "cycle", "value"
+        ).write.partitionBy("cycle").text(path)
+    start_titled_ingest(spark, lines, titles, out, state, delay="0 seconds").awaitTermination()
+    return landing.read_log(spark, out).select("cycle", "global_event_id", "num_articles", "source_url", "page_title")
+
+
 @register
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = inputs.TABLE_SCHEMAS["events"]

@@ -24,8 +24,7 @@ def parse_titles(lines: DataFrame, *keys: str) -> DataFrame:
         F.size("_f") == EXPORT_FIELDS
     )
     raw = fields.select(
-        "cycle",
-        "line_no",
+        *dict.fromkeys(["cycle", "line_no", *keys]),
         strip(F.get("_f", F.lit(URL_FIELD))).alias("url"),
         F.regexp_extract(F.get("_f", F.lit(EXTRAS_FIELD)), TITLE_PATTERN, 1).alias("_raw"),
     ).filter((F.col("url") != "") & (F.col("_raw") != ""))
