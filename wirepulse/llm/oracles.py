@@ -32,12 +32,12 @@ covered as (select w.row_id, w.i, lead(w.i) over (partition by w.row_id order by
     from windows w join again using (row_id, win)),
 repeats as (select row_id, sum(least(8, coalesce(following - i, 8))) as n from covered group by row_id),
 texts as (select host, count(distinct t) as texts from docs group by host),
-lines as (select row_id, doc_id, host, t, {_WORDS.format("line")} as lw
-    from (select row_id, doc_id, host, t, unnest(string_split(lower(t), chr(10))) as line from docs)),
+lines as (select row_id, host, t, {_WORDS.format("line")} as lw
+    from (select row_id, host, t, unnest(string_split(lower(t), chr(10))) as line from docs)),
 common as (select l.host, l.lw from lines l join texts x on l.host = x.host where len(l.lw) > 0
     group by l.host, l.lw, x.texts
-    having count(distinct l.t) > 20 and count(distinct l.t) > 0.05 * x.texts),
-lost as (select doc_id, sum(len(lw)) as lost_words from lines join common using (host, lw) group by doc_id),
+    having count(distinct l.t) > 20 and count(distinct l.t) > least(0.05 * x.texts, 1000)),
+lost as (select row_id, sum(len(lw)) as lost_words from lines join common using (host, lw) group by row_id),
 dup as (select row_id, count(*) - count(distinct line) as n
     from (select row_id, unnest(string_split(t, chr(10))) as line from docs)
     where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by row_id),
@@ -46,7 +46,7 @@ measured as (select d.doc_id, len(w)::bigint as n_words,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
     coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
     coalesce(lost.lost_words, 0)::bigint as lost_words
-    from docs d left join repeats r using (row_id) left join dup using (row_id) left join lost using (doc_id)),
+    from docs d left join repeats r using (row_id) left join dup using (row_id) left join lost using (row_id)),
 failed as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from measured)
 select *, not base_failed and not (lost_words > 0 and (n_words - lost_words < 20
     or n_words - lost_words < 0.3 * n_words)) as kept from failed
