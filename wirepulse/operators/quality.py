@@ -31,34 +31,30 @@ def check_table(df: DataFrame, table: str, checks: list[tuple]) -> DataFrame:
     """(table, column, check, failures).
 
     ``not_null`` counts rows, ``accepted_values`` distinct foreign values, ``unique`` keys that
-    occur more than once. All row checks share one aggregation; uniqueness is one more per key.
+    occur more than once. One scan: a row gives a (check, value) pair for each key and each fault, pairs
+    are counted with a map-side combine, and the counts of the pairs decide all checks.
     """
-    counted = []
-    for column, check, accepted in checks:
-        if check == "not_null":
-            counted.append(((column, check), F.count_if(F.col(column).isNull())))
-        elif check == "accepted_values":
-            foreign = F.when(~F.col(column).isin(accepted), F.col(column))
-            counted.append(((column, check), F.count_distinct(foreign)))
-    reports = []
-    if counted:
-        sums = df.agg(*[c.alias(f"_{i}") for i, (_, c) in enumerate(counted)])
-        rows = [
-            F.struct(F.lit(k[0]).alias("column"), F.lit(k[1]).alias("check"),
-                     F.col(f"_{i}").alias("failures"))
-            for i, (k, _) in enumerate(counted)
-        ]
-        reports.append(sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
-    for column, check, _ in checks:
+    pairs, failures = [], []
+    at, n = F.col("pair.at"), F.col("n")
+    for i, (column, check, accepted) in enumerate(checks):
+        value, here = F.col(column), at == i
         if check == "unique":
-            repeated = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-            reports.append(
-                repeated.agg(F.count_if(F.col("n") > 1).alias("failures")).select(
-                    F.lit(column).alias("column"), F.lit(check).alias("check"), "failures"
-                )
-            )
-    report = reduce(DataFrame.unionByName, reports)
-    return report.select(F.lit(table).alias("table"), "column", "check", "failures")
+            counts, text = value.isNotNull(), value.cast("string")
+            failed = F.count_if(here & (n > 1))
+        elif check == "not_null":
+            counts, text = value.isNull(), F.lit(None).cast("string")
+            failed = F.coalesce(F.sum(F.when(here, n)), F.lit(0))
+        else:
+            counts, text = ~value.isin(accepted), value.cast("string")
+            failed = F.count_if(here)
+        pairs.append(F.when(counts, F.struct(F.lit(i).alias("at"), text.alias("value"))))
+        failures.append(F.struct(
+            F.lit(column).alias("column"), F.lit(check).alias("check"), failed.cast("bigint").alias("failures")
+        ).alias(f"_{i}"))
+    found = df.select(F.explode(F.array(*pairs)).alias("pair")).filter("pair is not null")
+    sums = found.groupBy("pair").agg(F.count("*").alias("n")).agg(*failures)
+    rows = F.explode(F.array(*[f"_{i}" for i in range(len(checks))])).alias("r")
+    return sums.select(rows).select(F.lit(table).alias("table"), "r.*")
 
 
 def quality_report(raw: DataFrame, staged: DataFrame, cleaned: DataFrame, scored: DataFrame) -> DataFrame:
