@@ -60,9 +60,9 @@ class JoinRule:
         """Smallest intersection of linked sets of these sizes."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def may_link(self, n: int, least: int, most: int) -> bool:
-        """Whether a set of ``n`` can link with any of a size from ``least`` to ``most``."""
-        return 100 * most >= self.percent * n and 100 * n >= self.percent * least
+    def may_link(self, n, least, most):
+        """Whether a set of ``n`` can link with any of a size from ``least`` to ``most``: of numbers or columns."""
+        return (100 * most >= self.percent * n) & (100 * n >= self.percent * least)
 
     def schemes(self, n: int) -> list[tuple[int, int, int]]:
         """(class, sections, spare) of the size classes of the larger set in a link of a set of
@@ -425,31 +425,35 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule) -> list[tuple[int, int]]:
     return links
 
 
-def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame) -> DataFrame:
+def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
     """(group, doc, comp, query): the sets that are still to be compared, and with which.
 
     Every set lies in one block: of its home, the smallest pivot of its groups, cut by hash into
     blocks of about ``BLOCK_TOKENS``. In a group of sections whose sets are in several components, those
     outside the component of its pivot are queries. A query meets each block that holds a set of
-    another component of one of its groups once, however many sections they agree on; the queries of
-    a block are cut into parts.
+    another component of one of its groups, of a size that can link, once, however many sections they
+    agree on; the queries of a block are cut into parts.
     """
     rows = agreed.join(comps, "doc")
-    weights = tokens.select("doc", F.greatest("n", F.lit(LEAST_TOKENS)).alias("weight"))
+    weights = tokens.select("doc", "n", F.greatest("n", F.lit(LEAST_TOKENS)).alias("weight"))
     homes = rows.groupBy("doc", "comp").agg(F.min("pivot").alias("home")).join(weights, "doc")
     sizes = homes.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("blocks"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))  # blocks of one hash are one block
-    homes = stored(homes.join(sizes, "home").select("doc", "comp", "weight", block.alias("block")), "blocks")
+    homes = stored(homes.join(sizes, "home").select("doc", "comp", "n", "weight", block.alias("block")), "blocks")
     mains = comps.toDF("pivot", "main")
     mixed = (
         rows.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
         .filter("_lo <> _hi").select("sig")
     )
-    rows = rows.join(mixed, "sig").join(mains, "pivot").join(homes.select("doc", "weight", "block"), "doc")
-    queries = rows.filter("comp <> main").select("sig", "doc", "comp", "weight")
-    held = rows.groupBy("sig", "block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    rows = rows.join(mixed, "sig").join(mains, "pivot").join(homes.select("doc", "n", "weight", "block"), "doc")
+    queries = rows.filter("comp <> main").select("sig", "doc", "comp", "n", "weight")
+    held = rows.groupBy("sig", "block").agg(
+        F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("n").alias("_least"), F.max("n").alias("_most")
+    )
     met = (
-        queries.join(held, "sig").filter("_lo <> comp or _hi <> comp").select("doc", "comp", "weight", "block").distinct()
+        queries.join(held, "sig").filter("_lo <> comp or _hi <> comp")
+        .filter(rule.may_link(F.col("n"), F.col("_least"), F.col("_most")))
+        .select("doc", "comp", "weight", "block").distinct()
         .withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(1 << 20)))
     )
     counts = met.groupBy("block").agg(F.ceil(F.sum("weight") / (2 * BLOCK_TOKENS)).cast("int").alias("parts"))
@@ -508,7 +512,7 @@ def similarity_components(
         return stored(connected_components(nodes, found.toDF("src", "dst")).toDF("doc", "comp"), "set-components")
 
     comps = components(edges)
-    groups = stored(_mixed_groups(agreed, comps, tokens), "mixed-groups")
+    groups = stored(_mixed_groups(agreed, comps, tokens, rule), "mixed-groups")
     if not groups.isEmpty():
         comps = components(edges.union(stored(_opened(groups, tokens, rule), "more-links")))
     member = named.join(comps.toDF("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
