@@ -321,6 +321,23 @@ current as (
     using (global_event_id, date_added))""", select=f"""
 select {EVENT_TEXT}, page_title, strftime(c.date_added, '%Y-%m') as month from (
   select * exclude (source_url, page_title), null::varchar as source_url, null::varchar as page_title from current) c""")
+add("scored_layer", RAW, HISTORY, """log as (
+  select *, 0 as load, timestamp '2024-02-01' as taken from history union all
+  select * replace (num_articles + 5 as num_articles,
+    date_added + to_days(cast(case when load_seq % 2 = 0 then 31 else 0 end as int)) as date_added), 1, timestamp '2024-02-02'
+  from history where quad_class = 2 and date_added >= timestamp '2023-12-01 00:00:00'),
+current as (
+  select first.* replace (last.num_mentions as num_mentions, last.num_sources as num_sources,
+    last.num_articles as num_articles, last.load as load)
+  from (select * from log qualify row_number() over (partition by global_event_id, date_added order by load, cycle) = 1) first
+  join (select * from log qualify row_number() over (partition by global_event_id, date_added order by load desc, cycle desc) = 1) last
+    using (global_event_id, date_added)),
+newest as (
+  select * from current qualify row_number() over (partition by global_event_id
+    order by date_added desc, taken desc, load desc) = 1)""", select=f"""
+select global_event_id, strftime(date_added, '%Y-%m') as month, cast(date_added as varchar) as date_added, num_articles,
+  num_sources, cast(load as bigint) as load_seq, round({score_sql("timestamp '2024-02-01 00:00:00'")}, 6) as intensity
+from newest where {RULES} and event_root_code in {ROOTS}""")
 add("partition_counts", RAW, HISTORY, PARTITIONS, select="""
 select name, cast(lower as varchar) as lower, cast(upper as varchar) as upper, rows from partitions""")
 add("repartition_monthly", RAW, HISTORY, select="""

@@ -27,6 +27,7 @@ from wirepulse.operators import validate
 from wirepulse.operators.clean import clean, score, stage
 from wirepulse.plans.ingest import ingest
 from wirepulse.plans.retention import create_landing_table, run_retention
+from wirepulse.plans.scored_layer import ScoredLayer
 from wirepulse.plans.story_job import inline_event_ids
 from wirepulse.schemas import EVENT_COLUMNS
 from wirepulse.session import fresh_path
@@ -226,6 +227,26 @@ def landing_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(landing.read_current(spark, path), "month")
 
 
+@register
+def scored_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored layer after two loads: half a year of rows, then some of the later ones again, of which
+    every other one moved on by a month."""
+    log, path = fresh_path(spark, "scored-log"), fresh_path(spark, "scored-layer")
+    history = inputs.history_events(spark, sf_dir)
+    moved = F.when(F.col("load_seq") % 2 == 0, F.make_dt_interval(days=F.lit(31))).otherwise(F.make_dt_interval())
+    again = history.filter("quad_class = 2 and date_added >= timestamp_ntz '2023-12-01 00:00:00'").withColumns(
+        {"num_articles": F.col("num_articles") + 5, "date_added": F.col("date_added") + moved}
+    )
+    layer = ScoredLayer(spark, path)
+    for number, rows in enumerate((history, again)):
+        ingested_at = F.lit(f"2024-02-0{number + 1}").cast("timestamp_ntz")
+        landing.append_batch(landing.to_landing_rows(rows, number, ingested_at), log)
+        layer.refresh(log)
+    return layer.read("2024-02-01 00:00:00").select(
+        "global_event_id", "month", _txt("date_added"), "num_articles", "num_sources", "load_seq", _r6("intensity")
+    )
+
+
 @register
 def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitions = landing.list_partitions(inputs.history_events(spark, sf_dir))

@@ -45,6 +45,15 @@ def recency_decay(event_time: Column, reference: Column, half_life_hours: float)
     return F.exp(F.lit(-math.log(2) / half_life_hours) * age_hours(event_time, reference))
 
 
+def attention(
+    params: ScoreParams = ScoreParams(), articles: str = "num_articles", sources: str = "num_sources"
+) -> Column:
+    """The part of the score that no reference time changes."""
+    return F.lit(params.w_articles) * normalized_count(F.col(articles), params.articles_cap) + F.lit(
+        params.w_sources
+    ) * normalized_count(F.col(sources), params.sources_cap)
+
+
 def intensity(
     as_of: datetime | str | Column,
     params: ScoreParams = ScoreParams(),
@@ -53,9 +62,12 @@ def intensity(
     event_time: str = "date_added",
 ) -> Column:
     """Weighted score in [0, 1] relative to ``as_of``, whichever instant that is."""
-    return (
-        F.lit(params.w_articles) * normalized_count(F.col(articles), params.articles_cap)
-        + F.lit(params.w_sources) * normalized_count(F.col(sources), params.sources_cap)
-        + F.lit(params.w_recency)
-        * recency_decay(F.col(event_time), as_of_column(as_of), params.half_life_hours)
-    )
+    return attention(params, articles, sources) + freshness(as_of, params, event_time)
+
+
+def freshness(
+    as_of: datetime | str | Column, params: ScoreParams = ScoreParams(), event_time: str = "date_added"
+) -> Column:
+    """The part of the score that fades."""
+    decay = recency_decay(F.col(event_time), as_of_column(as_of), params.half_life_hours)
+    return F.lit(params.w_recency) * decay

@@ -27,13 +27,20 @@ def stage(raw: DataFrame) -> DataFrame:
     return raw.select(*present)
 
 
+def newest_rows(staged: DataFrame) -> DataFrame:
+    """The latest row of each event id."""
+    order = [F.desc("date_added"), F.desc("ingested_at"), F.desc("load_seq")]
+    return latest_per_key(staged, ["global_event_id"], order)
+
+
+def usable() -> Column:
+    """Whether the latest row of an event keeps all rules."""
+    return valid_coordinates() & valid_counts() & has_event_code() & valid_root_code()
+
+
 def clean(raw: DataFrame) -> DataFrame:
     """Latest row per event id, and only then the rules: an id whose latest row is bad vanishes."""
-    order = [F.desc("date_added"), F.desc("ingested_at"), F.desc("load_seq")]
-    newest = latest_per_key(stage(raw), ["global_event_id"], order)
-    return newest.filter(
-        valid_coordinates() & valid_counts() & has_event_code() & valid_root_code()
-    )
+    return newest_rows(stage(raw)).filter(usable())
 
 
 def score(
@@ -52,24 +59,22 @@ def score(
     )
 
 
-def write_scored(scored: DataFrame, path: str) -> None:
-    """Full rebuild of the scored table.
-
-    Rows are clustered by month and grid cell, then sorted by time, so a viewport query skips
-    files and row groups by the min/max of ``lat``, ``lon`` and ``date_added``. The rebalance
-    splits a hot cell and merges small ones at runtime, in a single pass over the input.
-    """
-    placed = scored.withColumns(
-        {
-            "month": month_key(F.col("date_added")),
-            "_clat": cell(F.col("lat"), 8),
-            "_clon": cell(F.col("lon"), 8),
-        }
-    )
-    (
-        placed.hint("rebalance", "month", "_clat", "_clon")
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows clustered by month and grid cell, then sorted by time, so a viewport query skips files and
+    row groups by the min/max of ``lat``, ``lon`` and ``date_added``. The rebalance splits a hot cell
+    and merges small ones at runtime, in a single pass over the input."""
+    cells = {"_clat": cell(F.col("lat"), 8), "_clon": cell(F.col("lon"), 8)}
+    return (
+        rows.withColumns(cells).hint("rebalance", "month", "_clat", "_clon")
         .sortWithinPartitions("month", "_clat", "_clon", "date_added")
         .drop("_clat", "_clon")
+    )
+
+
+def write_scored(scored: DataFrame, path: str) -> None:
+    """Full rebuild of the scored table; ``plans/scored_layer.py`` keeps one up load by load."""
+    (
+        clustered(scored.withColumn("month", month_key(F.col("date_added"))))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("month")
