@@ -223,3 +223,16 @@ def test_quality_report(spark):
     assert total == 18  # the range test is the nineteenth
     odd = scored(spark).withColumn("intensity", F.col("intensity") + 0.2)
     assert ids(quality.intensity_out_of_range(odd)) == [1]
+
+
+def test_many_terms_find_what_each_finds_alone(spark):
+    names = ["Paris, France", "Franeker", "Ran", "Rantoul", "united  place", "x", "", None]
+    rows = [event(i, action_geo_full_name=n) for i, n in enumerate(names * 3)]
+    named = batch(spark, rows).withColumn("effective_intensity", F.col("global_event_id") % 5 / 5)
+    terms = [" fran ", "FRAN", "f", "united", "an", "rant", "zzz", "xyq", "", "a,"]
+    got = search.search_places(named, spark.createDataFrame([(t,) for t in [*terms, None]], "term string"))
+    want = search.place_search(named, terms)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    assert search.search_places(named.limit(0), spark.createDataFrame([], "term string")).count() == 0
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -457,8 +457,10 @@ _places = ", ".join(
     f"({i}, {quote(kind)}, {quote(name)}, {lat}, {lon}, {alt})"
     for i, (kind, name, lat, lon, alt) in enumerate(PLACES)
 )
-add("place_search", RAW, CLEANED, SCORED, f"""terms as (
-  select unnest(['united', 'in', 'france', 'region 3', 'east']) as term),
+
+def _place_search(terms: str) -> tuple[str, str]:
+    """Table expressions of a search for ``terms`` and the query."""
+    return f"""terms as ({terms}),
 places(n, kind, name, lat, lon, altitude) as (values {_places}),
 spots as (
   select action_geo_full_name as name, arg_min({{'lat': lat, 'lon': lon}},
@@ -470,10 +472,20 @@ found as (
   union all
   select term, 'place', name, at_.lat, at_.lon, 0.9, 3, ord from (
     select *, row_number() over (partition by term order by first_) as ord
-    from terms, spots where contains(lower(name), term)) where ord <= 4)""", select="""
+    from terms, spots where contains(lower(name), term)) where ord <= 4)""", """
 select term, position, kind, name, lat, lon, altitude from (
   select *, cast(row_number() over (partition by term order by grp, ord, name) as int) as position from found)
-where position <= 8""")
+where position <= 8"""
+
+
+_expressions, _select = _place_search("select unnest(['united', 'in', 'france', 'region 3', 'east']) as term")
+add("place_search", RAW, CLEANED, SCORED, _expressions, select=_select)
+_expressions, _select = _place_search("""
+  with words as (select distinct unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) as w from (
+    select page_title as t from titled union select action_geo_full_name from scored))
+  select distinct term from (select w as term from words union select left(w, 3) from words) where length(term) >= 2""")
+add("place_search_many", RAW, CLEANED, SCORED, f"""titled as (
+  select {inputs.TITLE} as page_title from pages)""", _expressions, select=_select)
 
 
 def _check(table: str, source: str, column: str, kind: str, accepted: str = "") -> str:

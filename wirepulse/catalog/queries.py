@@ -476,6 +476,19 @@ def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.place_search(events, ["united", "in", "FRANCE", "region 3", "east", "x"])
 
 
+@register
+def place_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for each different word of all page titles and of all event places, and for the first three
+    letters of each."""
+    scored = tables.scored_events(spark, sf_dir)
+    texts = inputs.pages_with_titles(spark, sf_dir).select(F.col("page_title").alias("t")).union(
+        scored.select("action_geo_full_name")
+    ).distinct()
+    words = texts.select(F.explode(F.split(F.lower("t"), "[^a-z0-9]+")).alias("term")).distinct()
+    terms = words.union(words.select(F.left("term", F.lit(3))))
+    return search.search_places(scored.withColumn("effective_intensity", F.round("intensity", 9)), terms)
+
+
 @register
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = inputs.raw_events(spark, sf_dir, titles=False)
