@@ -8,7 +8,8 @@ from tests.test_validate_clean import batch, event
 from wirepulse.dimensions import codes_for_themes
 from wirepulse.operators import events as ev
 from wirepulse.operators import geojson, grid, metrics, quality, replay, requests, search
-from wirepulse.operators.clean import write_scored
+from wirepulse.functions.scoring import intensity
+from wirepulse.operators.clean import score, write_scored
 
 NOON = dt.datetime(2026, 7, 4, 12)
 EVENING = dt.datetime(2026, 7, 4, 18)
@@ -236,3 +237,30 @@ def test_many_terms_find_what_each_finds_alone(spark):
     assert search.search_places(named.limit(0), spark.createDataFrame([], "term string")).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_whole_map_requests_open_few_blocks_and_lose_nothing(spark):
+    rows = [
+        event(i, lat=(i * 37 % 170) - 85.0, lon=(i * 53 % 350) - 175.0, event_root_code=f"{i % 20 + 1:02d}",
+              num_articles=i * 7 % 101, num_sources=i * 3 % 26, date_added=NOON - dt.timedelta(hours=i * 11 % 300))
+        for i in range(1, 1500)
+    ]
+    events = score(batch(spark, rows), EVENING)
+    asked = [
+        {"limit": 20}, {"limit": 20, "at": NOON - dt.timedelta(hours=90)}, {"limit": 5, "categories": ["04"]},
+        {"limit": 7, "bbox": "-60,-30,80,70"}, {"limit": 5000}, {"limit": 3, "bbox": "2,2,9,9"},
+        {"limit": 10, "start": NOON - dt.timedelta(hours=50), "end": NOON - dt.timedelta(hours=20)},
+    ]
+    checked = requests.with_codes(requests.validate_requests(request_rows(spark, *asked)))
+    boxed = checked.fillna({"west": -180.0, "south": -90.0, "east": 180.0, "north": 90.0})
+    got = {}
+    for row in requests.answer_requests(boxed, events).orderBy("request_id", "rank").collect():
+        got.setdefault(row.request_id, []).append(row.global_event_id)
+    for r in boxed.collect():
+        effective = intensity(r.at) if r.at else F.col("intensity")
+        hits = ev.bbox_filter(ev.category_filter(ev.time_filter(events, r.start, r.end), r.codes), r.west, r.south, r.east, r.north)
+        want = hits.orderBy(F.desc(F.round(effective, 9)), "global_event_id").limit(r.limit)
+        assert got.get(r.request_id, []) == ids(want), r
+    opened = requests.opened_blocks(boxed, requests.event_blocks(requests.event_points(events)))
+    met = {r.request_id: r.n for r in opened.groupBy("request_id").agg(F.sum("events").alias("n")).collect()}
+    assert met[0] < 150 and met[1] < 150 and met[4] == 1499  # of 1,499 events each
