@@ -58,6 +58,17 @@ def test_edits_chains_and_shared_passages(spark, size, percent):
     check(spark, rows, size, percent)
 
 
+def test_links_that_no_pivot_has(spark):
+    """Texts that grow word by word: most links are between sets that agree with a common pivot but aren't linked
+    with it, so that only the second round of comparisons finds them."""
+    rows = []
+    for n in (*range(1, 60), 100, 190, 200, 380, 399, 400):
+        base = [f"q{n}_{j}" for j in range(n + 2)]
+        for more in range(n // 9 + 2):
+            rows.append((len(rows), " ".join(base + [f"z{len(rows)}_{j}" for j in range(more)])))
+    check(spark, rows, 3, 90)
+
+
 def test_a_large_group_of_near_copies(spark):
     base = prose(5, 200).split()
     rows = [(i, " ".join(w if j not in (i, i * 7 % 200) else f"n{i}" for j, w in enumerate(base))) for i in range(200)]

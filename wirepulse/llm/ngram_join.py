@@ -457,7 +457,8 @@ def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame, rule:
         .withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(1 << 20)))
     )
     counts = met.groupBy("block").agg(F.ceil(F.sum("weight") / (2 * BLOCK_TOKENS)).cast("int").alias("parts"))
-    named = lambda part: F.xxhash64("block", part).alias("group")
+    # Hashes of an int and of a long differ: the parts of both sides have one type.
+    named = lambda part: F.xxhash64("block", part.cast("long")).alias("group")
     asked = met.join(counts, "block").select(named(F.col("part") % F.col("parts")), "doc", "comp", F.lit(True).alias("query"))
     members = homes.join(counts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return asked.unionByName(members.select(named(F.col("part")), "doc", "comp", F.lit(False).alias("query")))
