@@ -12,8 +12,8 @@ pivot with the members of the group, in blocks.
 
 Sections that many sets agree on, because they are empty or lie inside a shared passage, say little.
 There are ``1 + spare`` more sections than linked sets can differ in, so linked sets agree on more
-than ``spare`` of them, and every set leaves out its largest groups up to that number without losing a
-link. Nothing is capped: the groups that stay are compared whatever their size.
+than ``spare`` of them, and every set leaves out its largest groups up to that number, in each of its
+schemes, without losing a link. Nothing is capped: the groups that stay are compared whatever their size.
 """
 
 from __future__ import annotations
@@ -38,7 +38,10 @@ HOT = 64
 # Tokens of the sets of a block (8 bytes each), a small set counted as LEAST_TOKENS: at most 512 sets.
 BLOCK_TOKENS, LEAST_TOKENS = 1 << 17, 1 << 8
 _ENTRIES = "bucket int, low binary, high binary, docs binary, frequent binary, sig binary, doc binary"
-_AGREED = "sig long, doc long, size long, n long"
+_AGREED = "sig long, doc long, size long, n long, scheme int"
+# A signature holds the class of its scheme in these 7 of its bits.
+_CLASS_BIT = np.uint64(41)
+_CLASS_MASK = np.uint64(127 << 41)
 _LARGE = 1 << 40  # stands for the size of a large group
 _CLASS_RATIO = 1.5
 _SIZES = [1]
@@ -64,17 +67,20 @@ class JoinRule:
         """Whether a set of ``n`` can link with any of a size from ``least`` to ``most``: of numbers or columns."""
         return (100 * most >= self.percent * n) & (100 * n >= self.percent * least)
 
+    def differ(self, c: int) -> int:
+        """Most tokens that linked sets differ in, if the larger one is of size class ``c``."""
+        return 2 * (_SIZES[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+
+    def spare(self, c: int) -> int:
+        """Sections that a set may leave out in the scheme of a class."""
+        return (self.differ(c) + 1) // 2
+
     def schemes(self, n: int) -> list[tuple[int, int, int]]:
         """(class, sections, spare) of the size classes of the larger set in a link of a set of
         ``n``. All sets that can link meet in the class of the larger one."""
         own = bisect_right(_SIZES, n) - 1
         most = bisect_right(_SIZES, n * 100 // self.percent) - 1
-        out = []
-        for c in range(own, most + 1):
-            differ = 2 * (_SIZES[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = (differ + 1) // 2
-            out.append((c, differ + 1 + spare, spare))
-        return out
+        return [(c, self.differ(c) + 1 + self.spare(c), self.spare(c)) for c in range(own, most + 1)]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -115,7 +121,8 @@ def _sections(tokens: np.ndarray, rule: JoinRule) -> np.ndarray:
         section = ((tokens >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
         starts = np.searchsorted(section, np.arange(count + 1))  # tokens are sorted, so sections are
         name = np.uint64(c << 32) + np.arange(count, dtype=np.uint64)
-        signatures.append(mix(sums[starts[1:]] - sums[starts[:-1]] ^ mix(name + np.uint64(1))))
+        mixed_sums = mix(sums[starts[1:]] - sums[starts[:-1]] ^ mix(name + np.uint64(1)))
+        signatures.append(mixed_sums & ~_CLASS_MASK | np.uint64(c) << _CLASS_BIT)
     return np.concatenate(signatures)
 
 
@@ -143,8 +150,8 @@ def _unpack(bucket: int, low: bytes, high: bytes, docs: bytes) -> tuple[np.ndarr
 
 
 def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFrame:
-    """(sig, doc, size, n): the sets that agree with another on a section, and the number of sets that
-    do. Sections that the same few sets agree on are one group, of ``n`` sections.
+    """(sig, doc, size, n, scheme): the sets that agree with another on a section, and the number of sets
+    that do. Sections of a scheme that the same few sets agree on are one group, of ``n`` sections.
 
     A section that more than ``HOT`` sets of one task share is summed there: its smallest set stands
     for the others in the exchange, and they go to tasks of their own.
@@ -196,6 +203,9 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
         if pending:
             yield flush()
 
+    def scheme_of(sig: np.ndarray) -> np.ndarray:
+        return ((sig.view(np.uint64) & _CLASS_MASK) >> _CLASS_BIT).astype(np.int32)
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -203,7 +213,9 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
                 if row["sig"] is not None:
                     sig, doc = np.frombuffer(row["sig"], np.int64), np.frombuffer(row["doc"], np.int64)
                     sizes = np.full(len(sig), _LARGE)
-                    yield pa.RecordBatch.from_pydict({"sig": sig, "doc": doc, "size": sizes, "n": np.ones_like(sig)})
+                    yield pa.RecordBatch.from_pydict(
+                        {"sig": sig, "doc": doc, "size": sizes, "n": np.ones_like(sig), "scheme": scheme_of(sig)}
+                    )
                 else:
                     entries = _unpack(row["bucket"], row["low"], row["high"], row["docs"])
                     found.append((*entries, np.frombuffer(row["frequent"], bool)))
@@ -219,7 +231,9 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
         first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
         counts = np.diff(np.append(first, len(sig)))
         large = (counts > HOT) | np.maximum.reduceat(frequent, first)
-        members = mix(np.add.reduceat(mix(doc.view(np.uint64)), first)) >> np.uint64(2) | np.uint64(1 << 62)
+        scheme = scheme_of(sig[first])
+        members = mix(np.add.reduceat(mix(doc.view(np.uint64)), first) ^ mix(scheme.astype(np.uint64) + np.uint64(1)))
+        members = members >> np.uint64(2) | np.uint64(1 << 62)
         name = np.where(large, sig[first], members)
         _, once, times = np.unique(name, return_index=True, return_counts=True)
         sections = np.zeros(len(first), np.int64)
@@ -229,7 +243,7 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
         yield pa.RecordBatch.from_pydict(
             {
                 "sig": name[kept].view(np.int64), "doc": doc[kept], "size": size[kept],
-                "n": np.repeat(sections, counts)[kept],
+                "n": np.repeat(sections, counts)[kept], "scheme": np.repeat(scheme, counts)[kept],
             }
         )
 
@@ -237,7 +251,7 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
     return (
         entries.repartition("bucket").mapInArrow(group, _AGREED)
         # A set that several tasks met on a large section is one member of it.
-        .groupBy("sig", "doc").agg(
+        .groupBy("sig", "doc", "scheme").agg(
             F.max("size").alias("size"), F.when(F.max("size") == _LARGE, F.max("n")).otherwise(F.sum("n")).alias("n")
         )
     )
@@ -501,7 +515,7 @@ def similarity_components(
     """
     sets = stored(shingle_sets(df, rule, key, text), "shingle-sets")
     named = sets.filter("n > 0 and doc is not null").groupBy("set").agg(F.min("doc").alias("rep"))
-    agreed = stored(_section_groups(agreed_sections(df.filter(F.col(key).isNotNull()), rule, text), sets, rule), "sections")
+    agreed = stored(_section_groups(agreed_sections(df.filter(F.col(key).isNotNull()), rule, text), rule), "sections")
     nodes = agreed.select(F.col("doc").alias("id")).union(agreed.select("pivot")).distinct()
     asked = named.join(nodes, F.col("set") == F.col("id"), "left_semi").select(F.col("rep").alias(key))
     tokens = stored(_tokens_of(df, asked, rule, key, text), "shingle-tokens")
@@ -525,24 +539,19 @@ def similarity_components(
     )
 
 
-def _section_groups(agreed: DataFrame, sets: DataFrame, rule: JoinRule) -> DataFrame:
-    """(sig, doc, pivot): the groups of sets left when each set leaves out its largest groups, as many
-    sections as are spare; the pivot is the group's smallest set.
+def _section_groups(agreed: DataFrame, rule: JoinRule) -> DataFrame:
+    """(sig, doc, pivot): the groups of sets left when each set leaves out its largest groups of each scheme,
+    as many sections as are spare there; the pivot is the group's smallest set.
 
     Sizes and names order all groups alike, so of two sets the one that leaves out more leaves out
     everything that the other does. It leaves out no more sections than are spare, and linked sets
-    agree on more than that: one of them stays in both.
+    agree on more than that in the scheme of the larger one: one of them stays in both.
     """
-
-    @F.pandas_udf("long")
-    def spare(n: pd.Series) -> pd.Series:
-        return n.map({x: min(s for _, _, s in rule.schemes(x)) for x in n.unique()}).astype("int64")
-
-    sizes = sets.select(F.col("set").alias("doc"), F.col("n").alias("tokens")).filter("tokens > 0").distinct()
-    largest = Window.partitionBy("doc").orderBy(F.desc("size"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    spare = F.array(*(F.lit(rule.spare(c)).cast("long") for c in range(len(_SIZES) - 1)))
+    largest = Window.partitionBy("doc", "scheme").orderBy(F.desc("size"), "sig").rowsBetween(Window.unboundedPreceding, 0)
     kept = (
-        agreed.withColumn("_out", F.sum("n").over(largest)).join(sizes, "doc")
-        .filter(F.col("_out") > spare("tokens")).select("sig", "doc")
+        agreed.withColumn("_out", F.sum("n").over(largest))
+        .filter(F.col("_out") > F.get(spare, F.col("scheme"))).select("sig", "doc")
     )
     kept = stored(kept, "kept-sections")
     groups = kept.groupBy("sig").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
