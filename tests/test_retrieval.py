@@ -90,6 +90,16 @@ def test_blocks_agree_with_brute_force(spark, question_block, entry_block):
     assert got == want
 
 
+def test_fallback_among_several_blocks(spark, index, tmp_path):
+    """Questions without a country, from stored texts, look through an index of more than one block."""
+    ask(spark, "What is happening in Zimbabwe?", "India votes", "floods", "Nikkei").write.parquet(str(tmp_path / "asked"))
+    asked = retrieval.embed_questions(spark.read.parquet(str(tmp_path / "asked")), hashed_words)
+    one, several = (
+        sorted(map(tuple, retrieval.nearest_with_fallback(asked, index, 3, entry_block=n).collect())) for n in (16384, 2)
+    )
+    assert one == several and len(one) == 11
+
+
 def test_prompt_and_sources(spark, index):
     rows = retrieval.answer_questions(ask(spark, "News from Japan?"), index, hashed_words).first()
     assert "Context:\n- Tokyo stock market rallies: Nikkei hits record high\n\nQuestion: News from Japan?\nAnswer:" in rows.prompt

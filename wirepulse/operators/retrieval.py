@@ -165,7 +165,10 @@ def _search_all(questions: DataFrame, index: DataFrame, k: int, question_block:
     if blocks <= 1:
         return _search(questions, index, None, k, question_block, entry_block)
     entries, layout = lay_out(index.select("id", "embedding"), blocks, "id", "embedding")
-    asked = _home(questions, layout)
+    # Stored, so that the optimizer can't move a filter on the block, a Python function's result, below a join.
+    home = fresh_path(index.sparkSession, "home-blocks")
+    _home(questions, layout).write.parquet(home)
+    asked = index.sparkSession.read.parquet(home)
     path = fresh_path(index.sparkSession, "first-probe")
     _search(asked, entries, "block", k, question_block, entry_block).write.parquet(path)
     first = index.sparkSession.read.parquet(path)
