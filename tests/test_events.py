@@ -239,6 +239,14 @@ def test_many_terms_find_what_each_finds_alone(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_exploded_requests_are_not_broadcast(spark):
+    checked = requests.with_codes(requests.validate_requests(request_rows(spark, {"limit": 20}, {"limit": 3, "bbox": "2,2,9,9"})))
+    boxed = checked.fillna({"west": -180.0, "south": -90.0, "east": 180.0, "north": 90.0})
+    events = score(batch(spark, [event(i) for i in range(1, 9)]), EVENING)
+    plan = requests.answer_requests(boxed, events)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_deg" in plan and "BroadcastHashJoin [_deg" not in plan
+
+
 def test_whole_map_requests_open_few_blocks_and_lose_nothing(spark):
     rows = [
         event(i, lat=(i * 37 % 170) - 85.0, lon=(i * 53 % 350) - 175.0, event_root_code=f"{i % 20 + 1:02d}",
