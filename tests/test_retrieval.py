@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,15 @@ def test_fallback_among_several_blocks(spark, index, tmp_path):
     assert one == several and len(one) == 11
 
 
+def test_a_cell_of_copies_returns_k_entries_a_question():
+    """Of equal entries those with the smallest ids stay, whatever their number."""
+    entries = [(f"{i:03d}", 1, [1.0, 0.0]) for i in range(50, 0, -1)] + [("999", 1, [0.0, 1.0])]
+    rows = entries + [("1", 0, [1.0, 0.0]), ("2", 0, [0.0, 1.0])]
+    cell = pa.table({n: [r[i] for r in rows] for i, n in enumerate(("id", "role", "vector"))})
+    got = retrieval._nearest(3)(cell).to_pylist()
+    assert sorted((r["question_id"], r["id"]) for r in got) == [(1, "001"), (1, "002"), (1, "003"), (2, "001"), (2, "002"), (2, "999")]
+
+
 def test_prompt_and_sources(spark, index):
     rows = retrieval.answer_questions(ask(spark, "News from Japan?"), index, hashed_words).first()
     assert "Context:\n- Tokyo stock market rallies: Nikkei hits record high\n\nQuestion: News from Japan?\nAnswer:" in rows.prompt

@@ -12,7 +12,7 @@ angle and the block's radius together can't hold a better entry, or an equal one
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from wirepulse.functions.geo import detect_country
 from wirepulse.functions.text import answer_prompt, context_line
 from wirepulse.operators.ranking import latest_per_key, top_k_per_group
-from wirepulse.operators.similarity import DIGITS, SLACK, Blocks, angles_to, lay_out, similarity_chunks, to_matrix
+from wirepulse.operators.similarity import (
+    DIGITS, SLACK, Blocks, angles_to, block_lists, lay_out, similarity_chunks, slices, to_matrix,
+)
 from wirepulse.session import fresh_path
 
 QUESTION_BLOCK = 4096
@@ -47,7 +49,8 @@ def _rows(table: pa.Table, role: int) -> pa.Table:
 
 
 def _nearest(k: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a cell, each question's ``k`` nearest entries and those tied with the last of them."""
+    """Of a cell, each question's ``k`` nearest entries; of those tied with the last the ones with the
+    smallest ids, so that a cell of copies returns no more than others."""
 
     def rank(table: pa.Table) -> pa.Table:
         questions, entries = _rows(table, 0), _rows(table, 1)
@@ -56,7 +59,11 @@ def _nearest(k: int) -> Callable[[pa.Table], pa.Table]:
         for start, sims in similarity_chunks(left, right):
             if sims.shape[1] > k:
                 last = sims.shape[1] - k
-                near = sims >= np.partition(sims, last, axis=1)[:, last : last + 1]
+                least = np.partition(sims, last, axis=1)[:, last].copy()
+                near = sims >= least[:, None]
+                for i in np.flatnonzero(near.sum(axis=1) > k):  # entries are sorted by id
+                    tied = np.flatnonzero(sims[i] == least[i])
+                    near[i, tied[k - int((sims[i] > least[i]).sum()) :]] = False
             else:
                 near = np.ones_like(sims, bool)
             row, column = np.nonzero(near)
@@ -124,21 +131,24 @@ def visits(questions: DataFrame, layout: Blocks, k: int, first: DataFrame) -> Da
     of its ``block`` in ``first``. With fewer than ``k`` hits, and for a zero vector, these are all."""
     bound = first.groupBy("question_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("_least"))
 
-    @F.pandas_udf("array<int>")
-    def needed(vector: pd.Series, block: pd.Series, least: pd.Series) -> pd.Series:
-        if not len(vector):
-            return pd.Series([], dtype=object)
-        matrix = np.array(vector.tolist(), float)
-        reach = np.arccos(np.clip(least.to_numpy(float) - 10.0**-DIGITS, -1.0, 1.0)) + SLACK
-        reach[np.isnan(reach) | ~matrix.any(axis=1)] = np.inf
-        where = layout.visits(angles_to(matrix, layout.pivots), reach)
-        where &= np.isfinite(layout.radius)
-        spread = where[:, np.repeat(np.arange(len(layout.parts)), layout.parts)]
-        spread[np.arange(len(matrix)), block.to_numpy()] = False
-        return pd.Series([np.flatnonzero(row).tolist() for row in spread], index=vector.index)
-
-    rows = questions.join(bound, "question_id", "left").select("question_id", "vector", needed("vector", "block", "_least").alias("_to"))
-    return rows.select("question_id", "vector", F.explode("_to").alias("block"))
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = np.repeat(np.arange(len(layout.parts)), layout.parts)
+        for rows in slices(batches):
+            matrix = to_matrix(pa.chunked_array([rows.column("vector")]))
+            least = rows.column("_least").to_numpy(zero_copy_only=False).astype(float)
+            reach = np.arccos(np.clip(least - 10.0**-DIGITS, -1.0, 1.0)) + SLACK
+            reach[np.isnan(reach) | ~matrix.any(axis=1)] = np.inf
+            where = layout.visits(angles_to(matrix, layout.pivots), reach)
+            where &= np.isfinite(layout.radius)
+            spread = where[:, owner]
+            spread[np.arange(len(matrix)), rows.column("block").to_numpy()] = False
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("question_id"), rows.column("vector"), block_lists(spread)], ["question_id", "vector", "_to"]
+            )
+
+    rows = questions.join(bound, "question_id", "left").select("question_id", "vector", "block", "_least")
+    found = rows.mapInArrow(needed, "question_id bigint, vector array<double>, _to array<int>")
+    return found.select("question_id", "vector", F.explode("_to").alias("block"))
 
 
 def _home(questions: DataFrame, layout: Blocks) -> DataFrame:

@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,10 @@ TARGET_BLOCKS = 128
 MAX_PIVOTS = 1024
 # Added to angles for the rounding of the arithmetic; far below what a decision depends on.
 SLACK = 1e-6
-# Elements of one similarity chunk (64 MB of doubles).
-CHUNK_ELEMENTS = 1 << 23
+# Elements of one similarity chunk (16 MB of doubles); a few of them are held at a time.
+CHUNK_ELEMENTS = 1 << 21
+# Vectors whose angles to all pivots are held at a time.
+ANGLE_ROWS = 512
 # Similarities are compared after rounding, so sums in another order give the same pairs.
 DIGITS = 9
 
@@ -107,9 +108,7 @@ def lay_out(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vec
     kind = vectors.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
+        for rows in slices(batches):
             matrix = to_matrix(pa.chunked_array([rows.column(1)]))
             angle = angles_to(matrix, pivots)
             angle[:, -1] = np.where(matrix.any(axis=1), np.inf, 0.0)
@@ -140,20 +139,32 @@ def lay_out(vectors: DataFrame, blocks: int, key: str = "id", vector: str = "vec
     return placed.withColumn("block", block.cast("int")).drop("angle", "off"), layout
 
 
-def visited_blocks(layout: Blocks, reach: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
-    """The blocks behind its own that a vector has to visit, as a function of vectors and blocks."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, at most ``ANGLE_ROWS`` at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ANGLE_ROWS):
+            yield batch.slice(start, ANGLE_ROWS)
 
-    @F.pandas_udf("array<int>")
-    def visits(vector: pd.Series, block: pd.Series) -> pd.Series:
-        if not len(vector):
-            return pd.Series([], dtype=object)
-        matrix = np.array(vector.tolist(), float)
-        where = layout.visits(angles_to(matrix, layout.pivots), reach)
+
+def block_lists(spread: np.ndarray) -> pa.ListArray:
+    """The numbers of the true columns of each row."""
+    ends = np.concatenate([[0], np.cumsum(spread.sum(axis=1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(spread)[1], pa.int32()))
+
+
+def visited_blocks(placed: DataFrame, layout: Blocks, reach: float) -> DataFrame:
+    """(block, _to, id, vector): each vector with the blocks behind its own that it has to visit."""
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(layout.parts)), layout.parts)
-        spread = where[:, owner] & (np.arange(layout.count) > block.to_numpy()[:, None])
-        return pd.Series([np.flatnonzero(row).tolist() for row in spread], index=vector.index)
+        for rows in slices(batches):
+            where = layout.visits(angles_to(to_matrix(pa.chunked_array([rows.column("vector")])), layout.pivots), reach)
+            spread = where[:, owner] & (np.arange(layout.count) > rows.column("block").to_numpy()[:, None])
+            yield pa.RecordBatch.from_arrays([*rows.columns, block_lists(spread)], ["block", "id", "vector", "_to"])
 
-    return visits
+    kind = placed.schema["id"].dataType.simpleString()
+    found = placed.select("block", "id", "vector").mapInArrow(visits, f"block int, id {kind}, vector array<double>, _to array<int>")
+    return found.select("block", F.explode("_to").alias("_to"), "id", "vector")
 
 
 def to_cells(vectors: DataFrame, threshold: float, blocks: int) -> tuple[DataFrame, int]:
@@ -167,9 +178,8 @@ def to_cells(vectors: DataFrame, threshold: float, blocks: int) -> tuple[DataFra
     placed, layout = lay_out(vectors, blocks)
     reach = math.acos(threshold - SLACK) + SLACK
     n = layout.count
-    visitors = placed.withColumn("_to", F.explode(visited_blocks(layout, reach)("vector", "block")))
     path = fresh_path(vectors.sparkSession, "visits")
-    visitors.select("block", "_to", "id", "vector").write.parquet(path)
+    visited_blocks(placed, layout, reach).write.parquet(path)
     visitors = vectors.sparkSession.read.parquet(path)
     met = visitors.select("block", "_to").distinct().select(F.col("block").alias("_from"), F.col("_to").alias("block"))
     cell = lambda low, high: (F.col(low).cast("bigint") * n + F.col(high)).alias("cell")
