@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_validate_clean import batch, event
 from wirepulse.functions import text
 from wirepulse.functions.embedding import hashed_words, model_embedder
+from wirepulse.operators import similarity
 from wirepulse.operators import stories as st
 from wirepulse.operators.components import connected_components
 from wirepulse.operators.similarity import _joined, block_count, similarity_links, similarity_summary, to_cells
@@ -108,6 +109,46 @@ def test_blocks_without_structure(spark):
     assert similarity_summary(zeros, 0.5, 3).count() == 0
 
 
+def chained(size=600, far=40):
+    """A dense arc of vectors, each similar to the next ones, and vectors of small groups far from it."""
+    rng = np.random.default_rng(4)
+    at = rng.permutation(np.linspace(0, 2 * np.pi, size, endpoint=False))
+    arc = np.stack([np.cos(at), np.sin(at)] + [np.zeros(size)] * far, axis=1)
+    rest = np.repeat(np.eye(2 + far)[2:], 2, axis=0) + rng.normal(scale=0.01, size=(2 * far, 2 + far))
+    return np.concatenate([arc, rest])
+
+
+@pytest.mark.parametrize("blocks", [2, 12, 40])
+def test_vectors_of_a_large_group_are_not_compared_in_all_blocks(spark, monkeypatch, blocks):
+    """The result of a single cell, although few vectors visit other blocks."""
+    moved = []
+    plain = similarity.blocks_to_visit
+    monkeypatch.setattr(similarity, "blocks_to_visit", lambda rows, *rest, **more: moved.append(rows.count()) or plain(rows, *rest, **more))
+    monkeypatch.setattr(similarity, "VISITORS", 7)
+    rows = chained()
+    want = [list(range(600))] + [[i, i + 1] for i in range(600, 680, 2)]
+    assert groups(spark, rows, 0.9, blocks) == want == groups(spark, rows, 0.9, 1)
+    # A hub of a fortieth is too thin to chain along the arc.
+    assert moved and (moved[0] <= 2 * len(rows) / 5 or blocks == 40)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_two_rounds_of_links_lose_none(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(size=(160, 5)) * rng.choice([1, 3], 5) + rng.choice([0, 1.5])
+    monkeypatch.setattr(similarity, "VISITORS", 5)
+    monkeypatch.setattr(similarity, "HUB", 6)
+    for threshold in (0.85, 0.97):
+        want = groups(spark, rows, threshold, 1)
+        assert groups(spark, rows, threshold, 16) == want
+
+
+def test_least_similarity_is_where_rounding_reaches_the_threshold():
+    for threshold in (0.6, 0.4, 0.123456789, 0.9999):
+        least = similarity._least(threshold)
+        assert np.round(least, 9) >= threshold > np.round(np.nextafter(least, 0), 9)
+
+
 def test_labels_of_joined_groups():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ SLACK = 1e-6
 CHUNK_ELEMENTS = 1 << 21
 # Vectors whose angles to all pivots are held at a time.
 ANGLE_ROWS = 512
+# Most vectors of the hub, and about as many visitors as a cell of the second round of links has.
+HUB = 2048
+VISITORS = 8192
+_FOREST = "src bigint, dst bigint, own boolean, main boolean"
 # Similarities are compared after rounding, so sums in another order give the same pairs.
 DIGITS = 9
 
@@ -152,21 +157,34 @@ def block_lists(spread: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(spread)[1], pa.int32()))
 
 
-def visited_blocks(placed: DataFrame, layout: Blocks, reach: float) -> DataFrame:
-    """(block, _to, id, vector): each vector with the blocks behind its own that it has to visit."""
+def blocks_to_visit(placed: DataFrame, layout: Blocks, reach: float, behind: bool = False) -> DataFrame:
+    """(block, id, vector, _to): each vector with the list of the other blocks that it has to visit, or of
+    those behind its own."""
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(layout.parts)), layout.parts)
         for rows in slices(batches):
             where = layout.visits(angles_to(to_matrix(pa.chunked_array([rows.column("vector")])), layout.pivots), reach)
-            spread = where[:, owner] & (np.arange(layout.count) > rows.column("block").to_numpy()[:, None])
+            own, others = rows.column("block").to_numpy()[:, None], np.arange(layout.count)
+            spread = where[:, owner] & (others > own if behind else others != own)
             yield pa.RecordBatch.from_arrays([*rows.columns, block_lists(spread)], ["block", "id", "vector", "_to"])
 
     kind = placed.schema["id"].dataType.simpleString()
-    found = placed.select("block", "id", "vector").mapInArrow(visits, f"block int, id {kind}, vector array<double>, _to array<int>")
+    return placed.select("block", "id", "vector").mapInArrow(visits, f"block int, id {kind}, vector array<double>, _to array<int>")
+
+
+def visited_blocks(placed: DataFrame, layout: Blocks, reach: float) -> DataFrame:
+    """(block, _to, id, vector): each vector with the blocks behind its own that it has to visit."""
+    found = blocks_to_visit(placed, layout, reach, behind=True)
     return found.select("block", F.explode("_to").alias("_to"), "id", "vector")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def to_cells(vectors: DataFrame, threshold: float, blocks: int) -> tuple[DataFrame, int]:
     """((cell, block, id, vector), number of blocks): each vector in the cell of its block, and in one for
     each pair of blocks that may hold similar vectors and involves it. Zero vectors, which are similar to
@@ -306,22 +324,70 @@ def _joined(label: np.ndarray, start: int, offset: int, hits: np.ndarray) -> np.
     return label
 
 
-def _forest(blocks: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
+def _least(threshold: float) -> float:
+    """The smallest number that is ``threshold`` or above after rounding, so that whole matrices need none."""
+    low, high = threshold - 10.0**-DIGITS, threshold + 10.0**-DIGITS
+    while low < (middle := (low + high) / 2) < high:
+        low, high = (low, middle) if np.round(middle, DIGITS) >= threshold else (middle, high)
+    return high
+
+
+def _linked(left: np.ndarray, right: np.ndarray | None, least: float) -> np.ndarray:
+    """Labels of the groups that similar pairs join, of the left vectors and then of the right ones: pairs
+    of one of each, or of the left ones if there are no others."""
+    label = np.arange(len(left) + (0 if right is None else len(right)))
+    others, offset = (left, 0) if right is None else (right, len(left))
+    if not len(left) or not len(others):
+        return label
+    step = min(max(CHUNK_ELEMENTS // len(others), 16), 1024)
+    for start in range(0, len(left), step):
+        behind = start if right is None else 0
+        hits = left[start : start + step] @ others[behind:].T >= least
+        label = _joined(label, start, offset + behind, hits)
+    return label
+
+
+def _roots(ids: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest id of each vector's group: a link to it from every other vector is a spanning forest."""
+    smallest = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, label, ids)
+    return smallest[label]
+
+
+def _largest_group(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    least = _least(threshold)
+
+    def largest(table: pa.Table) -> pa.Table:
+        label = _linked(to_matrix(table.column("vector")), None, least)
+        return table.select(["id"]).slice(int(np.bincount(label).argmax()), 1)
+
+    return largest
+
+
+def _forest(threshold: float, anchor: int | None) -> Callable[[pa.Table], pa.Table]:
+    """Of a block and the hub: (src, dst, own, main), the forest with a link of every vector, of roots to
+    themselves; whether the vector is one of the block; whether it is in the group of the anchor."""
+    least = _least(threshold)
+
     def link(table: pa.Table) -> pa.Table:
-        left_ids, left, right_ids, right, diagonal = _split_cell(table, blocks)
-        ids = left_ids if diagonal else np.concatenate([left_ids, right_ids])
-        offset = 0 if diagonal else len(left_ids)
-        label = np.arange(len(ids))
-        for start, sims in similarity_chunks(left, right):
-            hits = sims >= threshold
-            if diagonal:
-                own = np.arange(len(sims))
-                hits[own, start + own] = False
-            label = _joined(label, start, offset, hits)
-        # One link from every merged vector to the smallest id of its group.
-        smallest = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, label, ids)
-        root = smallest[label]
+        ids, own = (table.column(c).to_numpy() for c in ("id", "own"))
+        label = _linked(to_matrix(table.column("vector")), None, least)
+        main = np.isin(label, label[~own & (ids == anchor)])
+        roots = pa.array(_roots(ids, label), pa.int64())
+        return pa.table({"src": pa.array(ids, pa.int64()), "dst": roots, "own": pa.array(own), "main": pa.array(main)})
+
+    return link
+
+
+def _visitor_links(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Of members of a block and visitors: a spanning forest of the pairs of one of each."""
+    least = _least(threshold)
+
+    def link(table: pa.Table) -> pa.Table:
+        visiting = table.column("visiting")
+        left, right = table.filter(visiting), table.filter(pc.invert(visiting))
+        ids = np.concatenate([left.column("id").to_numpy(), right.column("id").to_numpy()])
+        root = _roots(ids, _linked(to_matrix(left.column("vector")), to_matrix(right.column("vector")), least))
         merged = root != ids
         return pa.table({"src": pa.array(ids[merged], pa.int64()), "dst": pa.array(root[merged], pa.int64())})
 
@@ -331,8 +397,50 @@ def _forest(blocks: int, threshold: float) -> Callable[[pa.Table], pa.Table]:
 def similarity_links(
     vectors: DataFrame, threshold: float = 0.6, blocks: int | None = None
 ) -> DataFrame:
-    """(src, dst) links whose transitive closure equals that of all pairs at ``threshold`` or
-    above: each cell returns a spanning forest of its own pairs."""
+    """(src, dst) links whose transitive closure equals that of all pairs at ``threshold`` or above.
+
+    Only links that join different groups matter, so the vectors are compared in two rounds, and each cell
+    returns a spanning forest of its own pairs. First each block is compared with itself and with the hub,
+    some vectors that go to every block. What is linked there with the anchor, a vector of the hub's largest
+    group, is one main group, whose vectors need not be compared with one another. Then the vectors outside
+    the main group visit the blocks that may hold similar ones. Rows moved are a few for each vector, and
+    one for each block and vector outside the main group: where titles chain into a large group, as they
+    do in few dimensions, those are few. Without one, it is each vector to each block it has to visit.
+    """
     _check(threshold)
-    cells, blocks = to_cells(vectors, threshold, blocks or block_count(vectors.count()))
-    return cells.groupBy("cell").applyInArrow(_forest(blocks, threshold), "src bigint, dst bigint")
+    blocks = blocks or block_count(vectors.count())
+    vectors = vectors.filter(F.exists("vector", lambda x: x != 0))
+    if blocks == 1 or vectors.isEmpty():
+        one = vectors.select(F.lit(0).alias("block"), "id", "vector", F.lit(True).alias("own"))
+        return one.groupBy("block").applyInArrow(_forest(threshold, None), _FOREST).filter("src <> dst").select("src", "dst")
+    placed, layout = lay_out(vectors, blocks)
+    placed = placed.select("block", "id", "vector")
+
+    size = min(-(-placed.count() // blocks), HUB)
+    hub = placed.orderBy(F.xxhash64("id")).limit(size).select(F.lit(0).alias("hub"), "id", "vector")
+    hub = _written(hub, "hub")
+    anchor = hub.groupBy("hub").applyInArrow(_largest_group(threshold), "id bigint").first()["id"]
+    everywhere = placed.select("block").distinct().crossJoin(hub.drop("hub")).withColumn("own", F.lit(False))
+    met = placed.withColumn("own", F.lit(True)).unionByName(everywhere)
+    first = _written(met.groupBy("block").applyInArrow(_forest(threshold, anchor), _FOREST), "first-links")
+    links = first.filter("src <> dst").select("src", "dst").distinct()
+
+    outside = first.filter("own and not main").select(F.col("src").alias("id"), F.lit(True).alias("rest")).distinct()
+    if outside.isEmpty():
+        return links
+    reach = math.acos(threshold - SLACK) + SLACK
+    rest = _written(blocks_to_visit(placed.join(outside, "id", "left_semi"), layout, reach), "visits")
+    # Vectors of the main group are visited in all blocks, others in the blocks behind the visitor's.
+    both, main = F.array(F.lit(True), F.lit(False)), F.array(F.lit(False))
+    visits = rest.select("id", "vector", "block", F.explode("_to").alias("_to")).select(
+        "id", "vector", F.col("_to").alias("block"), F.explode(F.when(F.col("_to") > F.col("block"), both).otherwise(main)).alias("rest")
+    )
+    members = placed.join(outside, "id", "left").withColumn("rest", F.col("rest").isNotNull())
+    target = ["block", "rest"]
+    met = visits.groupBy(*target).count().join(members.select(*target).distinct(), target)
+    parts = met.select(*target, F.ceil(F.col("count") / VISITORS).cast("int").alias("parts"))
+    asked = visits.join(parts, target).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    there = members.join(parts, target).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked, there = (x.select(*target, "part", "id", "vector", F.lit(v).alias("visiting")) for x, v in ((asked, True), (there, False)))
+    cells = asked.unionByName(there).groupBy(*target, "part")
+    return links.unionByName(cells.applyInArrow(_visitor_links(threshold), "src bigint, dst bigint"))
