@@ -6,7 +6,9 @@ import pandas as pd
 import pytest
 
 from tests.llm.conftest import prose
-from wirepulse.llm.ngram_join import JoinRule, _bitmap, _most_common, open_groups, qualifying, similarity_components
+from wirepulse.llm.ngram_join import (
+    JoinRule, _bitmap, _mixed_groups, _most_common, open_groups, qualifying, similarity_components,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,6 +71,26 @@ def test_links_that_no_pivot_has(spark):
     check(spark, rows, 3, 90)
 
 
+def test_rows_of_a_shared_passage_are_not_pairs(spark):
+    """Sets that agree on sections of one passage, each also with a set of its own: all of them meet, in
+    rows of their number."""
+    k = 150
+    shared = [(sig, 1000 + i, 1000) for sig in (1, 2, 3) for i in range(k)]
+    own = [(100 + i, doc, i) for i in range(k) for doc in (i, 1000 + i)]
+    agreed = spark.createDataFrame(shared + own, "sig long, doc long, pivot long")
+    docs = [(d,) for d in (*range(k), *range(1000, 1000 + k))]
+    comps = spark.createDataFrame([(d, d) for (d,) in docs], "doc long, comp long")
+    tokens = spark.createDataFrame([(d, 300) for (d,) in docs], "doc long, n long")
+    groups = {}
+    found = _mixed_groups(agreed, comps, tokens, JoinRule()).collect()
+    for r in found:
+        groups.setdefault(r.group, (set(), set()))[r.query].add(r.doc)
+    assert len(found) <= 6 * k
+    met = {frozenset((q, m)) for members, queries in groups.values() for q in queries for m in members}
+    assert all(frozenset((1000 + i, 1000 + j)) in met for i in range(k) for j in range(i))
+    assert all(frozenset((i, 1000 + i)) in met for i in range(k))
+
+
 def test_a_large_group_of_near_copies(spark):
     base = prose(5, 200).split()
     rows = [(i, " ".join(w if j not in (i, i * 7 % 200) else f"n{i}" for j, w in enumerate(base))) for i in range(200)]

@@ -442,39 +442,40 @@ def open_groups(sets: pd.DataFrame, rule: JoinRule) -> list[tuple[int, int]]:
 def _mixed_groups(agreed: DataFrame, comps: DataFrame, tokens: DataFrame, rule: JoinRule) -> DataFrame:
     """(group, doc, comp, query): the sets that are still to be compared, and with which.
 
-    Every set lies in one block: of its home, the smallest pivot of its groups, cut by hash into
-    blocks of about ``BLOCK_TOKENS``. In a group of sections whose sets are in several components, those
-    outside the component of its pivot are queries. A query meets each block that holds a set of
-    another component of one of its groups, of a size that can link, once, however many sections they
-    agree on; the queries of a block are cut into parts.
+    In a group of sections whose sets are in several components, those outside the component of its pivot
+    are queries. The sets of all such groups of one pivot are one row each, however many sections they agree
+    on, cut by hash into blocks of about ``BLOCK_TOKENS``. A query meets the blocks of its pivots that hold
+    a set of another component, of a size that can link; the queries of a block are cut into parts.
     """
     rows = agreed.join(comps, "doc")
     weights = tokens.select("doc", "n", F.greatest("n", F.lit(LEAST_TOKENS)).alias("weight"))
-    homes = rows.groupBy("doc", "comp").agg(F.min("pivot").alias("home")).join(weights, "doc")
-    sizes = homes.groupBy("home").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))  # blocks of one hash are one block
-    homes = stored(homes.join(sizes, "home").select("doc", "comp", "n", "weight", block.alias("block")), "blocks")
-    mains = comps.toDF("pivot", "main")
     mixed = (
         rows.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
         .filter("_lo <> _hi").select("sig")
     )
-    rows = rows.join(mixed, "sig").join(mains, "pivot").join(homes.select("doc", "n", "weight", "block"), "doc")
-    queries = rows.filter("comp <> main").select("sig", "doc", "comp", "n", "weight")
-    held = rows.groupBy("sig", "block").agg(
+    rows = rows.join(mixed, "sig").select("pivot", "doc", "comp").distinct().join(weights, "doc")
+    mains = comps.toDF("pivot", "main")
+    sizes = rows.groupBy("pivot").agg(F.ceil(F.sum("weight") / BLOCK_TOKENS).alias("blocks"))
+    # Hashes of an int and of a long differ: numbers of blocks and of parts are longs on both sides.
+    block = lambda number: F.xxhash64("pivot", number).alias("block")
+    rows = stored(
+        rows.join(sizes, "pivot").join(mains, "pivot").withColumn("block", block(F.pmod(F.xxhash64("doc"), F.col("blocks")))), "blocks"
+    )
+    held = rows.groupBy("block").agg(
         F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("n").alias("_least"), F.max("n").alias("_most")
     )
+    queries = rows.filter("comp <> main").drop("block")
+    queries = queries.withColumn("_number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = (
-        queries.join(held, "sig").filter("_lo <> comp or _hi <> comp")
-        .filter(rule.may_link(F.col("n"), F.col("_least"), F.col("_most")))
-        .select("doc", "comp", "weight", "block").distinct()
+        queries.select("doc", "comp", "n", "weight", block(F.col("_number"))).join(held, "block")
+        .filter("_lo <> comp or _hi <> comp").filter(rule.may_link(F.col("n"), F.col("_least"), F.col("_most")))
+        .select("doc", "comp", "weight", "block")
         .withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(1 << 20)))
     )
     counts = met.groupBy("block").agg(F.ceil(F.sum("weight") / (2 * BLOCK_TOKENS)).cast("int").alias("parts"))
-    # Hashes of an int and of a long differ: the parts of both sides have one type.
     named = lambda part: F.xxhash64("block", part.cast("long")).alias("group")
     asked = met.join(counts, "block").select(named(F.col("part") % F.col("parts")), "doc", "comp", F.lit(True).alias("query"))
-    members = homes.join(counts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = rows.join(counts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return asked.unionByName(members.select(named(F.col("part")), "doc", "comp", F.lit(False).alias("query")))
 
 
