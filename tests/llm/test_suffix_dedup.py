@@ -2,10 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import prose
-from wirepulse.llm.suffix_dedup import merged_runs, remove_repeats
+from wirepulse.llm.common import whole_groups
+from wirepulse.llm.suffix_dedup import _entries, merged_runs, remove_repeats
 
 
 def brute_force(texts, length):
@@ -78,3 +81,25 @@ def test_documents_and_whole_characters(spark, documents, no_documents):
     by = {r.doc_id: r.kept for r in kept}
     assert by[4] == prose(2, 120) and by[5] == "" and by[1] == ""
     assert remove_repeats(no_documents).count() == 0
+
+
+def test_anchors_are_spread_over_all_buckets():
+    data = np.random.default_rng(7).integers(97, 123, 400_000, dtype=np.uint8)
+    offsets = np.arange(0, 400_001, 4_000)
+    anchors = _entries(np.arange(100), data, offsets, 200)["anchor"]
+    counts = np.bincount((anchors >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert counts.sum() > 3_000 and counts.max() < 1.5 * counts.mean()
+
+
+@pytest.mark.parametrize("most", [1, 64, 400, 1 << 20])
+def test_sorted_rows_come_in_parts_of_whole_groups(most):
+    rng = random.Random(3)
+    keys = sorted(rng.choice([-9, 0, 2, 5, *range(100, 160)]) for _ in range(900)) + [500] * 300
+    rows = pa.table({"k": pa.array(keys, pa.int64()), "n": list(range(1200))})
+    batches = [b for at in (0, 7, 300, 301, 1150) for b in rows.slice(at, {0: 7, 7: 293, 300: 1, 301: 849, 1150: 50}[at]).to_batches()]
+    parts = [pa.Table.from_batches(x) for x in whole_groups(iter(batches), "k", most)]
+    assert pa.concat_tables(parts).to_pylist() == rows.to_pylist()
+    ends = [(p["k"][0].as_py(), p["k"][-1].as_py()) for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+    largest = 16 * max(Counter(keys).values())
+    assert all(p.nbytes <= 2 * most + largest for p in parts) and list(whole_groups(iter([]), "k", most)) == []

@@ -15,7 +15,8 @@ A context or anchor that is frequent in one task is summed there before the exch
 has one more digit before its windows: those that begin near it share the bytes behind it, the others
 the bytes before it, and only where these occur twice the windows are ordered. Digits and windows that
 occur twice in one task are settled there and one of them stands for all in the exchange, so no task
-holds a group of unbounded size.
+holds a group of unbounded size. Behind an exchange rows come sorted, and a task holds some megabytes
+of whole groups at a time, however much it has read.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirepulse.llm.common import RangeHash, blocks, mix, stored
+from wirepulse.llm.common import RangeHash, blocks, mix, stored, whole_groups
 
 ANCHOR = 32
-BUCKETS = 512
+BUCKETS = 4096
 # An anchor with more contexts in the task that finds them, or over all, is frequent.
-FREQUENT, FREQUENT_OVER_ALL = 256, 20_000
-_SETTLED = 200_000  # rows that a task settles at once
-_ANCHORS_AT_ONCE = 20_000
+FREQUENT, FREQUENT_OVER_ALL = 256, 5_000
+# What a task settles at once: rows and bytes of digits, bytes of entries, bytes of texts to be ordered.
+_SETTLED, _SETTLED_BYTES = 200_000, 1 << 24
+_ENTRY_BYTES, _TEXT_BYTES = 1 << 23, 1 << 20
+_BLOCK_BYTES = 1 << 18  # a block's hashes and minima take some hundred times its bytes
 _PIECE = 4096  # entries of a row that needs no grouping
 _CHUNK = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -82,7 +85,8 @@ def _entries(row: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int
     lo, hi = np.maximum(pos - length + ANCHOR, start), np.minimum(pos + length, end)
     out = np.empty(len(pos), _ENTRY)
     second = RangeHash(data, 1)
-    out["anchor"] = mix(runs[pos])
+    # The smallest mixed hash of a window was chosen: mixed again, anchors are spread over all buckets.
+    out["anchor"] = mix(mix(runs[pos]))
     out["context"] = mix(hashed(lo, hi)) ^ mix(second(lo, hi) + ((pos - lo) << 32 | (hi - lo)).astype(np.uint64))
     out["row"], out["pos"], out["lo"], out["hi"] = row[text], pos - start, lo - start, hi - start
     out["first"], out["last"], out["flag"] = pos - first, pos - last, 0
@@ -145,14 +149,14 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
             rep["flag"] |= np.where(frequent, 2, 0).astype(np.uint8)
             sent = rep[~frequent | one]
             # A frequent anchor's first context stands for the anchor only.
-            bucket = (sent["anchor"] >> np.uint64(55)).astype(np.int64)
+            bucket = (sent["anchor"] >> np.uint64(52)).astype(np.int64)
             ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))  # sorted by anchor
             for b in np.flatnonzero(np.diff(ends)):
                 yield {"bucket": int(b), "kind": -1, "entries": sent[ends[b] : ends[b + 1]].tobytes()}
 
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("entries", pa.binary())])
         held = 0
-        for rows, data, offsets in blocks(batches, "_text"):
+        for rows, data, offsets in blocks(batches, "_text", _BLOCK_BYTES):
             pending.append(_entries(rows.column("_row").to_numpy(zero_copy_only=False), data, offsets, length))
             held += len(pending[-1])
             if held > 500_000:
@@ -162,27 +166,29 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(list(flush()), schema)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                e = np.frombuffer(raw, _ENTRY)
-                if kind < 0:
-                    parts.append(e)
-                else:
-                    yield _rows(kind, e)
-        if not parts:
-            return
-        e, first, size, repeated, contexts = _summed(np.concatenate(parts))
-        yield _rows(_SPAN, e[np.repeat(repeated & (size > 1), size)])
-        rep = e[first]
-        frequent = np.maximum.reduceat(e["flag"] & 2, _groups(e["anchor"])[0])
-        _, per_anchor = _groups(e["anchor"][first])
-        frequent = np.repeat((frequent > 0) | (per_anchor > FREQUENT_OVER_ALL), per_anchor)
-        yield _rows(_HOT, rep[frequent])
-        yield _rows(_COLD, rep[~frequent & (contexts > 1)])
+        for group in whole_groups(batches, "bucket", _ENTRY_BYTES):
+            parts = []
+            for batch in group:
+                for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                    e = np.frombuffer(raw, _ENTRY)
+                    if kind < 0:
+                        parts.append(e)
+                    else:
+                        yield _rows(kind, e)
+            if not parts:
+                continue
+            e, first, size, repeated, contexts = _summed(np.concatenate(parts))
+            yield _rows(_SPAN, e[np.repeat(repeated & (size > 1), size)])
+            rep = e[first]
+            frequent = np.maximum.reduceat(e["flag"] & 2, _groups(e["anchor"])[0])
+            _, per_anchor = _groups(e["anchor"][first])
+            frequent = np.repeat((frequent > 0) | (per_anchor > FREQUENT_OVER_ALL), per_anchor)
+            yield _rows(_HOT, rep[frequent])
+            yield _rows(_COLD, rep[~frequent & (contexts > 1)])
 
     schema = "bucket int, kind int, entries binary"
-    return df.mapInArrow(emit, schema).repartition("bucket").mapInArrow(settle, _FOUND)
+    dealt = df.mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(settle, _FOUND)
 
 
 def _contexts(df: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -247,30 +253,28 @@ def _settled(keyed: DataFrame, expand=None, schema: str | None = None) -> DataFr
             out = rows.take(pa.array(np.concatenate([order, again])))
             return _with(out, "state", pa.array(np.concatenate([state, np.ones(len(again), np.int64)]), pa.int64()))
 
-        held = 0
+        held = size = 0
         for rows in expand(batches) if expand else batches:
             if not rows.num_rows:
                 continue
             pending.append(rows)
-            held += rows.num_rows
-            if held > _SETTLED:
+            held, size = held + rows.num_rows, size + rows.nbytes
+            if held > _SETTLED or size > _SETTLED_BYTES:
                 yield flush()
-                held = 0
+                held = size = 0
         if pending:
             yield flush()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        order, start, size = _keys(rows)
-        once = np.array(rows.column("state"), np.int64)[order] == 0
-        yield rows.take(pa.array(order[once & (np.repeat(size, size) > 1)]))
+        for group in whole_groups(batches, "k1", _SETTLED_BYTES):
+            rows = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
+            order, start, size = _keys(rows)
+            once = np.array(rows.column("state"), np.int64)[order] == 0
+            yield rows.take(pa.array(order[once & (np.repeat(size, size) > 1)]))
 
     state = f"{schema}, state long"
     seen = stored(keyed.mapInArrow(first, state), "settled")
-    later = seen.filter("state < 2").repartition("k1").mapInArrow(second, state)
+    later = seen.filter("state < 2").repartition("k1").sortWithinPartitions("k1").mapInArrow(second, state)
     return seen.filter("state = 2").unionByName(later).drop("state")
 
 
@@ -323,36 +327,15 @@ def repeated_spans(df: DataFrame, length: int = 200) -> DataFrame:
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole anchors at a time; rows come sorted by them."""
-        waiting: list[pa.RecordBatch] = []
-
-        def repeated() -> pa.RecordBatch:
-            found = (_windows(b.slice(at, 2000), length) for b in waiting for at in range(0, b.num_rows, 2000))
+        for group in whole_groups(batches, "anchor", _TEXT_BYTES):
+            found = (_windows(b.slice(at, 2000), length) for b in group for at in range(0, b.num_rows, 2000))
             h1, h2, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((h2, h1))
             same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
             twice = np.zeros(len(order), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
-            return _runs(row[twice], start[twice], length)
-
-        held = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = np.array(batch.column("anchor"), np.int64)
-            held += batch.num_rows
-            if held > _ANCHORS_AT_ONCE:
-                new = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-                if new:
-                    waiting.append(batch.slice(0, new))
-                if new or (waiting and anchor[0] != np.array(waiting[-1].column("anchor"), np.int64)[-1]):
-                    yield repeated()
-                    waiting.clear()
-                    batch = batch.slice(new)
-                    held = batch.num_rows
-            waiting.append(batch)
-        if waiting:
-            yield repeated()
+            yield _runs(row[twice], start[twice], length)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,10 +379,10 @@ def remove_repeats(
     schema += "string" if whole_characters else "binary"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, data, offsets in blocks(batches, "_text"):
             out = []
-            for value, found in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                raw = value.encode()
+            for at, end, found in zip(offsets[:-1], offsets[1:], batch.column("_spans").to_pylist(), strict=True):
+                raw = data[at:end].tobytes()
                 runs = merged_runs([(s["lo"], s["hi"]) for s in found or ()])
                 if whole_characters:
                     runs = [r for r in (_narrowed(raw, a, b) for a, b in runs) if r[0] < r[1]]
@@ -411,11 +394,10 @@ def remove_repeats(
                 )
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if whole_characters else pa.binary()]
             results = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in kept_columns), *results],
-                    [*kept_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept_columns), *results],
+                [*kept_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
 
     return joined.select(*kept_columns, "_text", "_spans").mapInArrow(remove, schema)
 
