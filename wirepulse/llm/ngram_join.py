@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirepulse.llm.common import Words, blocks, mix, shingles, stored
+from wirepulse.llm.common import Words, blocks, in_slices, mix, shingles, stored, whole_groups
 from wirepulse.operators.components import connected_components
 
-BUCKETS = 512
+BUCKETS = 4096
+# Bytes of entries that a task groups at once.
+_ENTRY_BYTES = 1 << 23
 # A section with more sets in a task is hot.
 HOT = 64
 # Tokens of the sets of a block (8 bytes each), a small set counted as LEAST_TOKENS: at most 512 sets.
@@ -129,7 +131,7 @@ def _sections(tokens: np.ndarray, rule: JoinRule) -> np.ndarray:
 def _pack(signatures: np.ndarray, docs: np.ndarray, frequent: np.ndarray) -> Iterator[dict]:
     """A row for each bucket with its entries: signature bits as 4 and 2 bytes, the set, and whether
     it stands for others."""
-    bucket = (signatures >> np.uint64(55)).astype(np.int64)
+    bucket = (signatures >> np.uint64(52)).astype(np.int64)
     order = np.lexsort((docs, bucket))
     ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
     for b in np.flatnonzero(np.diff(ends)):
@@ -165,8 +167,10 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
         held = 0
 
         def flush() -> pa.RecordBatch:
-            sig = np.concatenate([x[0] for x in pending]) & np.uint64((1 << 48) - 1 | 511 << 55)
+            sig = np.concatenate([x[0] for x in pending]) & np.uint64((1 << 48) - 1 | 4095 << 52)
             doc = np.concatenate([x[1] for x in pending])
+            pending.clear()
+            seen.clear()
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
             first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
@@ -175,7 +179,7 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
             away = np.repeat(counts, counts) > HOT
             here = ~away | (place == 0)
             rows = list(_pack(sig[here], doc[here], away[here]))
-            narrow = (sig >> np.uint64(55)) << np.uint64(48) | sig & np.uint64((1 << 48) - 1)
+            narrow = (sig >> np.uint64(52)) << np.uint64(48) | sig & np.uint64((1 << 48) - 1)
             at = np.flatnonzero(away)
             for i in range(0, len(at), 4096):
                 some = at[i : i + 4096]
@@ -185,8 +189,6 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
                         "sig": narrow[some].tobytes(), "doc": doc[some].tobytes(),
                     }
                 )
-            pending.clear()
-            seen.clear()
             return pa.RecordBatch.from_pylist(rows, schema)
 
         for _, data, offsets in blocks(batches, text):
@@ -197,59 +199,62 @@ def agreed_sections(df: DataFrame, rule: JoinRule, text: str = "text") -> DataFr
                     sig = _sections(tokens, rule)
                     pending.append((sig, np.full(len(sig), doc, np.int64)))
                     held += len(sig)
-            if held > 1_000_000:
-                yield flush()
+            if held > 500_000:
+                yield from in_slices(flush())
                 held = 0
         if pending:
-            yield flush()
+            yield from in_slices(flush())
 
     def scheme_of(sig: np.ndarray) -> np.ndarray:
         return ((sig.view(np.uint64) & _CLASS_MASK) >> _CLASS_BIT).astype(np.int32)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["sig"] is not None:
-                    sig, doc = np.frombuffer(row["sig"], np.int64), np.frombuffer(row["doc"], np.int64)
-                    sizes = np.full(len(sig), _LARGE)
-                    yield pa.RecordBatch.from_pydict(
-                        {"sig": sig, "doc": doc, "size": sizes, "n": np.ones_like(sig), "scheme": scheme_of(sig)}
-                    )
-                else:
-                    entries = _unpack(row["bucket"], row["low"], row["high"], row["docs"])
-                    found.append((*entries, np.frombuffer(row["frequent"], bool)))
-        if not found:
-            return
-        sig, doc, frequent = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((doc, sig))
-        sig, doc, frequent = sig[order], doc[order], frequent[order]
-        new = np.ones(len(sig), bool)  # the same set from several tasks is one
-        new[1:] = (np.diff(sig) != 0) | (np.diff(doc) != 0)
-        frequent = np.maximum.reduceat(frequent, np.flatnonzero(new))
-        sig, doc = sig[new], doc[new]
-        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
-        counts = np.diff(np.append(first, len(sig)))
-        large = (counts > HOT) | np.maximum.reduceat(frequent, first)
-        scheme = scheme_of(sig[first])
-        members = mix(np.add.reduceat(mix(doc.view(np.uint64)), first) ^ mix(scheme.astype(np.uint64) + np.uint64(1)))
-        members = members >> np.uint64(2) | np.uint64(1 << 62)
-        name = np.where(large, sig[first], members)
-        _, once, times = np.unique(name, return_index=True, return_counts=True)
-        sections = np.zeros(len(first), np.int64)
-        sections[once] = times
-        kept = np.repeat((sections > 0) & (large | (counts > 1)), counts)
-        name, size = np.repeat(name, counts), np.repeat(np.where(large, _LARGE, counts), counts)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "sig": name[kept].view(np.int64), "doc": doc[kept], "size": size[kept],
-                "n": np.repeat(sections, counts)[kept], "scheme": np.repeat(scheme, counts)[kept],
-            }
-        )
+        for part in whole_groups(batches, "bucket", _ENTRY_BYTES):
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for batch in part:
+                for row in batch.to_pylist():
+                    if row["sig"] is not None:
+                        sig, doc = np.frombuffer(row["sig"], np.int64), np.frombuffer(row["doc"], np.int64)
+                        sizes = np.full(len(sig), _LARGE)
+                        yield pa.RecordBatch.from_pydict(
+                            {"sig": sig, "doc": doc, "size": sizes, "n": np.ones_like(sig), "scheme": scheme_of(sig)}
+                        )
+                    else:
+                        entries = _unpack(row["bucket"], row["low"], row["high"], row["docs"])
+                        found.append((*entries, np.frombuffer(row["frequent"], bool)))
+            if not found:
+                continue
+            sig, doc, frequent = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            order = np.lexsort((doc, sig))
+            sig, doc, frequent = sig[order], doc[order], frequent[order]
+            new = np.ones(len(sig), bool)  # the same set from several tasks is one
+            new[1:] = (np.diff(sig) != 0) | (np.diff(doc) != 0)
+            frequent = np.maximum.reduceat(frequent, np.flatnonzero(new))
+            sig, doc = sig[new], doc[new]
+            first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+            counts = np.diff(np.append(first, len(sig)))
+            large = (counts > HOT) | np.maximum.reduceat(frequent, first)
+            scheme = scheme_of(sig[first])
+            members = mix(np.add.reduceat(mix(doc.view(np.uint64)), first) ^ mix(scheme.astype(np.uint64) + np.uint64(1)))
+            members = members >> np.uint64(2) | np.uint64(1 << 62)
+            name = np.where(large, sig[first], members)
+            _, once, times = np.unique(name, return_index=True, return_counts=True)
+            sections = np.zeros(len(first), np.int64)
+            sections[once] = times
+            kept = np.repeat((sections > 0) & (large | (counts > 1)), counts)
+            name, size = np.repeat(name, counts), np.repeat(np.where(large, _LARGE, counts), counts)
+            agreed = pa.RecordBatch.from_pydict(
+                {
+                    "sig": name[kept].view(np.int64), "doc": doc[kept], "size": size[kept],
+                    "n": np.repeat(sections, counts)[kept], "scheme": np.repeat(scheme, counts)[kept],
+                }
+            )
+            yield from in_slices(agreed)
 
     entries = df.select(text).mapInArrow(emit, _ENTRIES)
     return (
-        entries.repartition("bucket").mapInArrow(group, _AGREED)
+        entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(group, _AGREED)
         # A set that several tasks met on a large section is one member of it.
         .groupBy("sig", "doc", "scheme").agg(
             F.max("size").alias("size"), F.when(F.max("size") == _LARGE, F.max("n")).otherwise(F.sum("n")).alias("n")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirepulse.llm.common import RangeHash, blocks, mix, stored, whole_groups
+from wirepulse.llm.common import RangeHash, blocks, in_slices, mix, stored, whole_groups
 
 ANCHOR = 32
 BUCKETS = 4096
@@ -160,10 +160,10 @@ def found_anchors(df: DataFrame, length: int) -> DataFrame:
             pending.append(_entries(rows.column("_row").to_numpy(zero_copy_only=False), data, offsets, length))
             held += len(pending[-1])
             if held > 500_000:
-                yield pa.RecordBatch.from_pylist(list(flush()), schema)
+                yield from in_slices(pa.RecordBatch.from_pylist(list(flush()), schema))
                 held = 0
         if pending:
-            yield pa.RecordBatch.from_pylist(list(flush()), schema)
+            yield from in_slices(pa.RecordBatch.from_pylist(list(flush()), schema))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket", _ENTRY_BYTES):
@@ -260,10 +260,10 @@ def _settled(keyed: DataFrame, expand=None, schema: str | None = None) -> DataFr
             pending.append(rows)
             held, size = held + rows.num_rows, size + rows.nbytes
             if held > _SETTLED or size > _SETTLED_BYTES:
-                yield flush()
+                yield from in_slices(flush())
                 held = size = 0
         if pending:
-            yield flush()
+            yield from in_slices(flush())
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "k1", _SETTLED_BYTES):
