@@ -5,6 +5,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.conftest import prose
+from wirepulse.llm import decontamination
 from wirepulse.llm.decontamination import LEAST_SCORE, benchmark_overlaps
 from wirepulse.llm.quality_rules import LineLimits, judge_quality
 from wirepulse.llm.sharding import histogram_shards
@@ -144,6 +145,31 @@ def test_both_ways_of_joining_the_seeds_agree(spark):
     assert {(d, i) for d, i, _, _ in sent} == {(1, 0), (1, 2), (1, 3), (None, 0), (2, 1)}
 
 
+def test_many_benchmark_windows_are_neither_broadcast_nor_shuffled_against_all(spark):
+    """The tables are small by Spark's estimate; their windows are not. Few windows of the documents are in an item."""
+    words = lambda t: F.transform(F.split(t, " "), lambda w: F.xxhash64(w))
+    docs = spark.createDataFrame([(i, prose(500 + i, 300)) for i in range(40)], "_doc long, _text string").withColumn("_row", F.col("_doc"))
+    sets = spark.createDataFrame([(i, prose(500 + 9 * i, 40)) for i in range(4)], "_set long, t string")
+    sets = sets.select("_set", words("t").alias("_item_words"))
+    found = decontamination.shuffled_hits(docs, sets, 4 * 40 * len(decontamination.MASKS))
+    assert {(r._row, r._set) for r in found.filter("_shift = 0").collect()} == {(9 * i, i) for i in range(4)}
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    hashes = spark.range(3000).withColumn("h", F.xxhash64("id"))
+    known = decontamination.may_hold(hashes.filter("id < 1000"), "h", 1000)
+    assert hashes.filter("id < 1000").filter(known(F.col("h"))).count() == 1000
+    assert hashes.filter("id >= 1000").filter(known(F.col("h"))).count() < 200
+
+
+def test_items_of_equal_words_are_compared_once_and_all_reported(spark):
+    item = prose(600, 40)
+    bench = spark.createDataFrame([(i, item.upper() if i % 2 else item) for i in range(300)], "item_id long, text string")
+    df = spark.createDataFrame([(7, f"{prose(601, 30)} {item}"), (8, prose(602, 60))], "doc_id long, text string")
+    # The windows of one set are few enough to be sent.
+    got = benchmark_overlaps(df, bench, most_broadcast=40 * len(decontamination.MASKS))
+    assert got.count() == 300 and {(r.doc_id, r.score, r.n_matched) for r in got.collect()} == {(7, 40, 40)}
+    assert "BroadcastHashJoin [mask" in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_pipeline_stage_judges_rows_not_ids(spark, tmp_path):
     item = prose(440, 40)
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
