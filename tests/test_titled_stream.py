@@ -79,3 +79,19 @@ def test_late_lines_are_counted_and_a_delay_keeps_them(spark, tmp_path):
             feed.put(name, "20260705120000", text)
         feed.run(delay)
         assert (("20260704121500", 7) in feed.rows()) != lost
+
+
+def test_open_cycles_are_held_on_disk_whatever_a_batch_finds(spark, tmp_path):
+    """The store in the executors' memory would grow with the lines of a batch; other streams keep theirs."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    feed = Feed(spark, tmp_path)
+    for cycle in ("20260704120000", "20260704121500"):
+        feed.put("events", cycle, *(event(i, f"https://{i % 7}") for i in range(40)))
+        feed.put("titles", cycle, *(title_line(f"https://{i}", f"{cycle} {i}") for i in range(5)))
+    feed.run("0 seconds")
+    want = {(c, i): f"{c} {i % 7}" if i % 7 < 5 else None for c in ("20260704120000", "20260704121500") for i in range(40)}
+    assert {k: v[0] for k, v in feed.rows().items()} == want
+    stores = [s for p in feed.query.recentProgress for s in p["stateOperators"]]
+    assert stores and all(any(name.startswith("rocksdb") for name in s["customMetrics"]) for s in stores)
+    assert spark.conf.get(provider) == before

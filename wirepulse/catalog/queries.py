@@ -30,7 +30,7 @@ from wirepulse.plans.retention import create_landing_table, run_retention
 from wirepulse.plans.scored_layer import ScoredLayer
 from wirepulse.plans.story_job import inline_event_ids
 from wirepulse.schemas import EVENT_COLUMNS
-from wirepulse.session import fresh_path
+from wirepulse.session import SHUFFLE_CLEANUP, fresh_path, settings
 from wirepulse.sources import json_lines, landing, text_files
 from wirepulse.sources.event_export import classify_lines, good_rows, reject_counts
 from wirepulse.sources.title_export import parse_titles
@@ -805,10 +805,11 @@ def stream_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and titles as two streams, joined by cycle and URL, read from the landing log. All files are
     there at the start, so no cycle has to wait for late ones."""
     lines, titles, out, state = (fresh_path(spark, n) for n in ("lines", "titles", "landing", "state"))
-    for rows, path in ((inputs.event_lines, lines), (inputs.cycle_title_lines, titles)):
-        rows(spark, sf_dir).repartitionByRange("cycle", "line_no").sortWithinPartitions("cycle", "line_no").select(
-            "cycle", "value"
-        ).write.partitionBy("cycle").text(path)
+    with settings(spark, SHUFFLE_CLEANUP):
+        for rows, path in ((inputs.event_lines, lines), (inputs.cycle_title_lines, titles)):
+            rows(spark, sf_dir).repartitionByRange("cycle", "line_no").sortWithinPartitions("cycle", "line_no").select(
+                "cycle", "value"
+            ).write.partitionBy("cycle").text(path, compression="gzip")
     start_titled_ingest(spark, lines, titles, out, state, delay="0 seconds").awaitTermination()
     return landing.read_log(spark, out).select("cycle", "global_event_id", "num_articles", "source_url", "page_title")
 
