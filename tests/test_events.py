@@ -247,6 +247,24 @@ def test_exploded_requests_are_not_broadcast(spark):
     assert "SortMergeJoin [_deg" in plan and "BroadcastHashJoin [_deg" not in plan
 
 
+def test_pairs_of_requests_and_blocks_are_not_shuffled_to_be_judged(spark):
+    """The score that a request is sure to reach comes to the requests, and events below it don't leave the join."""
+    asked = [{"limit": 2}, {"limit": 3, "bbox": "-80,-80,80,80"}, {"limit": 400}, {"limit": 2, "at": NOON}]
+    checked = requests.with_codes(requests.validate_requests(request_rows(spark, *asked)))
+    boxed = checked.fillna({"west": -180.0, "south": -90.0, "east": 180.0, "north": 90.0})
+    events = score(batch(spark, [event(i, lat=i % 9 - 4.0, num_articles=i % 101, num_sources=i % 26) for i in range(1, 300)]), EVENING)
+    opened = requests.opened_blocks(boxed.select("request_id", "west", "south", "east", "north", "start", "end", "at", "codes", "limit"),
+                                    requests.event_blocks(requests.event_points(events)))
+    joins = [x for x in opened._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert "SortMergeJoin [_deg" in joins[0]  # the last one; nothing is joined to the pairs that met
+    sure = {r.request_id: r._sure for r in opened.select("request_id", "_sure").distinct().collect()}
+    assert sure[0] > 0.3 and sure[1] > 0.3 and sure[2] is None and sure[3] > 0.3
+    answers = requests.answer_requests(boxed, events).collect()
+    for request, limit in enumerate((2, 3, 299, 2)):
+        got = [r for r in answers if r.request_id == request]
+        assert len(got) == limit and all(r.effective_intensity >= (sure[request] or 0) - 1e-8 for r in got)
+
+
 def test_whole_map_requests_open_few_blocks_and_lose_nothing(spark):
     rows = [
         event(i, lat=(i * 37 % 170) - 85.0, lon=(i * 53 % 350) - 175.0, event_root_code=f"{i % 20 + 1:02d}",
